@@ -1,3 +1,10 @@
 """Quern: retrieval, code-analytics and corpus preparation on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel by value, so that a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
