@@ -10,8 +10,10 @@ documents can serve as pivots that tell them apart. The pivots of the first leve
 shingle; the triangle inequality through the pivots that it leaves behind bounds how far its boundary reaches. If x and
 y link and s is their first common shingle, all shingles of x before s count into |x - y| <= |x| - ceil(0.75 |x|), so x
 is replicated to the regions of its first |x| - ceil(0.75 |x|) + 1 shingles, and every linking pair meets in a region.
-Within a region the window of sizes (the triangle inequality through the empty set) and the shingles that are left
-behind s (through {s}) cut the pairs further.
+Going on by SHARED - 1 more shingles makes it meet in SHARED regions (or ceil(0.75 |x|), if that is less), so a pair
+that meets in fewer is dropped unless it meets in a large region, which is joined for itself. The window of sizes (the
+triangle inequality through the empty set) and the shingles that are left behind the first common one (through {s})
+cut the pairs further.
 
 Regions, recursively. A region of more than LEAF texts takes PIVOTS of its documents as pivots and splits into their
 Voronoi cells. Texts within e of a pivot are linked with it, and so with each other. What remains are pairs in which
@@ -47,6 +49,8 @@ from quern.llm.shingles import class_of, shingle_set
 
 #: Similarity in hundredths, and the distance that goes with it.
 NEAR = 75
+#: How many regions a linking pair must share (fewer where a text has not that many common shingles at least).
+SHARED = 6
 #: Regions of at most so many texts are joined pairwise; larger ones take this many pivots.
 LEAF, PIVOTS = 64, 4
 #: Counters of a task's Misra-Gries summary; entries of the merged one; least frequency of an entry.
@@ -135,9 +139,14 @@ def _ordered(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, first: int) -
     return np.concatenate([rare, common[np.lexsort((common, n))][: first - len(rare)]])
 
 
+def shared(n):
+    """How many regions a set of n, the smaller of two, shares at least with one that it links with."""
+    return np.minimum(SHARED, -(-NEAR * n // 100))
+
+
 def reach(n: int) -> int:
     """How many leading shingles of a set of n are pivots of regions that it must be in."""
-    return n - -(-NEAR * n // 100) + 1
+    return n - -(-NEAR * n // 100) + int(shared(n))
 
 
 def _place(heavy: np.ndarray, counts: np.ndarray):
@@ -166,21 +175,26 @@ def _place(heavy: np.ndarray, counts: np.ndarray):
     return place
 
 
-def _within(nx, ny, px, py):
-    """The windows: sizes, and what may still be common from the pivot on."""
-    fits = 100 * np.minimum(nx, ny) >= NEAR * np.maximum(nx, ny)
-    return fits & ((100 + NEAR) * np.minimum(nx - px, ny - py) >= NEAR * (nx + ny))
+def _summed(x, y, need, left, times=None):
+    """Distinct pairs (x < y) with the regions they share, the regions they need, and whether one leaves enough behind."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((high, low))
+    low, high, need, left = low[order], high[order], need[order], left[order]
+    times = np.ones(len(low), np.int64) if times is None else times[order]
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    return low[first], high[first], need[first], np.maximum.reduceat(left, first), np.add.reduceat(times, first)
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: (0, x, y, 0, 0) for pairs of small regions, (1, key, node, n, pos) for large ones."""
+    """Rows sorted by key and node become (0, x, y, regions needed, window open, regions shared) for pairs of small
+    regions and (1, key, node, n, 0, 0) for large regions."""
     held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
     large = None  # the key of the large region that the stream is in
 
-    def out(kind, a, b, n, p):
+    def out(kind, a, b, n, left, times):
+        numbers = [pa.array(x.astype(np.int32)) for x in (n, left, times)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))],
-            ["kind", "a", "b", "n", "pos"],
+            [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), *numbers], ["kind", "a", "b", "n", "open", "times"]
         )
 
     def settle(rows, last):
@@ -205,21 +219,23 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = [c[tail] for c in (key, node, n, pos)]
             starts, ends, size, big = starts[:-1], ends[:-1], size[:-1], big[:-1]
         if keep.any():
-            yield out(1, key[keep], node[keep], n[keep], pos[keep])
+            zero = np.zeros(int(keep.sum()), np.int32)
+            yield out(1, key[keep], node[keep], n[keep], zero, zero)
         pairs = []
         for g in np.unique(size[(~big) & (size > 1)]):
             rows_of = starts[(size == g) & ~big][:, None] + np.arange(g)
             i, j = np.triu_indices(g, 1)
             for part in np.array_split(rows_of, max(1, len(rows_of) * len(i) // 2_000_000)):
                 x, y = part[:, i].ravel(), part[:, j].ravel()
-                ok = _within(n[x], n[y], pos[x], pos[y])
-                pairs.append(np.stack([node[x[ok]], node[y[ok]]], axis=1))
-        if pairs and sum(map(len, pairs)):
-            both = np.concatenate(pairs)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]]
-            zero = np.zeros(len(both), np.int32)
-            yield out(0, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), zero, zero)
+                nx, ny = n[x], n[y]
+                ok = 100 * np.minimum(nx, ny) >= NEAR * np.maximum(nx, ny)
+                x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
+                if len(x):
+                    left = (100 + NEAR) * np.minimum(nx - pos[x], ny - pos[y]) >= NEAR * (nx + ny)
+                    pairs.append(_summed(node[x], node[y], shared(np.minimum(nx, ny)), left.astype(np.int32)))
+        if pairs:
+            low, high, need, left, times = _summed(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+            yield out(0, low, high, need, left, times)
 
     for batch in batches:
         rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
@@ -385,8 +401,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     only = texts.select("text")
     placed = only.mapInArrow(_place(heavy, counts), "key long, node long, n int, pos int")
     placed = placed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    met = cut(placed.mapInArrow(_leaves, "kind int, a long, b long, n int, pos int").distinct())
-    pairs = met.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = placed.mapInArrow(_leaves, "kind int, a long, b long, n int, open int, times int").groupBy("kind", "a", "b")
+    met = met.agg(F.max("n").alias("n"), F.max("open").alias("open"), F.sum("times").alias("times"))
+    met = cut(met.where("kind = 1 OR (open = 1 AND times >= n)"))
+    pairs = met.where("kind = 0").select("a", "b")
     big = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]
     pivots = cut(big.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots")))
