@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_codec, sharding
+from quern.llm import (
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    quality,
+    sentencepiece_codec,
+    sharding,
+)
 from quern.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +30,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(documents(spark, sf_dir, "conversations"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir))
 
@@ -32,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(documents(spark, sf_dir))
 
@@ -43,14 +61,61 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_chat_format": op3_chat_format,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        f AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k,
+                   length('<s>[ROLE]  [/ROLE] [INST]  [/INST]</s>') + 1
+                   + length(regexp_replace(role, '(\\*)(</?s>|\[/?INST\]|\[/?ROLE\])', '\\\1\2', 'g'))
+                   + length(regexp_replace(text, '(\\*)(</?s>|\[/?INST\]|\[/?ROLE\])', '\\\1\2', 'g')) AS n
+            FROM c),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss,
+                   CAST(sum(n) AS BIGINT) AS formatted_chars
+            FROM f GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS l FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+                     ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS g
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+        m AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (
+            SELECT x, y FROM m JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.k + b.k - c)),
+        sym AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (
+            SELECT doc_id AS d, doc_id AS z FROM documents
+            UNION
+            SELECT r.d, b.y FROM r JOIN sym b ON b.x = r.z)
+        SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, t.component_id
+        FROM w LEFT JOIN n USING (doc_id)
+        JOIN (SELECT d, min(z) AS component_id FROM r GROUP BY d) t ON t.d = w.doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(length(text), 0) AS n,
