@@ -13,6 +13,7 @@ from quern.llm import (
     jaccard_join,
     language_id,
     mixing,
+    pii,
     quality,
     sentencepiece_codec,
     sharding,
@@ -58,6 +59,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
