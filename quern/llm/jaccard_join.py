@@ -371,15 +371,15 @@ def _outside(big: DataFrame, pivots: DataFrame, distances: DataFrame, links: Dat
     per = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     top = per.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("g"))
     top = top.where(F.col("top.k") < F.col("g")).select("key", F.col("top.root").alias("main"))
-    # distances of every member to every pivot of its region, in one array; the place of a pivot is its number
-    pv = pivots.select("key", F.posexplode("pivots").alias("cell", "p"))
-    met = member.join(top, "key").join(pv, "key")
-    d = distances.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    met = met.withColumn("a", F.least("node", "p")).withColumn("b", F.greatest("node", "p")).join(d, ["a", "b"], "left")
-    met = met.withColumn("d", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-    seen = met.groupBy("key", "node", "root", "main").agg(F.array_sort(F.collect_list(F.struct("cell", "d"))).alias("ds"))
-    seen = seen.select("key", "node", (F.col("root") != F.col("main")).alias("out"), "root", F.col("ds.d").alias("far"), F.array_min(F.col("ds.d")).alias("best"))
-    seen = cut(seen.withColumn("home", F.array_position("far", F.col("best")).cast("int") - 1))
+    # distances of every member to the pivots of its region, in the order of the pivots
+    far_of = distances.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
+    names = pivots.select(F.explode("pivots").alias("p")).distinct()
+    ends = far_of.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").union(far_of.select("b", "a", "d"))
+    ends = ends.join(names, "p", "left_semi").groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("p", "d"))).alias("to"))
+    met = member.join(top, "key").join(pivots, "key").join(ends, F.col("node") == F.col("x"), "left")
+    far = F.expr("transform(pivots, p -> if(p = node, 0D, coalesce(to[p], 1D)))")
+    seen = met.select("key", "node", (F.col("root") != F.col("main")).alias("out"), "root", far.alias("far"))
+    seen = cut(seen.withColumn("best", F.array_min("far")).withColumn("home", F.array_position("far", F.array_min("far")).cast("int") - 1))
     n_out = seen.where("out").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OUTSIDE_BLOCK).cast("int").alias("obs"))
     n_home = seen.groupBy("key", "home").agg(F.ceil(F.count(F.lit(1)) / HOME_BLOCK).cast("int").alias("mbs")).withColumnRenamed("home", "cell")
     window = 2 * (1 - NEAR / 100) + 1e-9
@@ -405,7 +405,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = met.agg(F.max("n").alias("n"), F.max("open").alias("open"), F.sum("times").alias("times"))
     met = cut(met.where("kind = 1 OR (open = 1 AND times >= n)"))
     pairs = met.where("kind = 0").select("a", "b")
-    big = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    # Large regions whose members have the same least hash are joined as one: overlapping regions become few.
+    whole = met.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("node"))
+    lead = whole.groupBy(F.col("region").alias("r")).agg(F.min_by("node", F.xxhash64("node", F.lit(0))).alias("key"))
+    big = cut(whole.join(lead, whole.region == lead.r).select("key", "node").distinct())
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]
     pivots = cut(big.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots")))
     star = big.join(pivots, "key").select("node", F.explode("pivots").alias("p")).where("node <> p")
