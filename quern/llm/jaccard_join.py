@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected, cut, partitions
+from quern.llm.common import connected, cut, partitions, small_batches
 from quern.llm.shingles import class_of, shingle_set
 
 #: Similarity in hundredths, and the distance that goes with it.
@@ -72,7 +72,11 @@ class Counts:
         self.size, self.keys, self.counts = size, np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys, return_counts=True)
+        """Counts keys, which are sorted in place. All new counts are taken down by one first: singles never enter."""
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.diff(np.r_[first, len(keys)]) - 1
+        new, n = keys[first[n > 0]], n[n > 0]
         merged, where = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
         total = np.bincount(where, weights=np.concatenate([self.counts, n]), minlength=len(merged)).astype(np.int64)
         if len(merged) > self.size:
@@ -100,7 +104,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.zeros(len(names), np.int32)), batch.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())],
             ["kind", "a", "b", "c"],
         )
-    often = summary.counts >= 2
+    often = summary.counts >= 1
     n = int(often.sum())
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.ones(n, np.int32)), pa.array(_signed(summary.keys[often])), pa.nulls(n, pa.int64()), pa.array(summary.counts[often])],
@@ -395,6 +399,11 @@ def _outside(big: DataFrame, pivots: DataFrame, distances: DataFrame, links: Dat
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     survey = cut(texts.mapInArrow(_survey, "kind int, a long, b long, c long"))
     heavy, counts = frequent(survey)
@@ -426,6 +435,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select(F.col("node").alias("cls"), "component")
     out = rows.join(named, rows.node == named.cls, "left")
+    # everything that runs Python is materialised by now; what is left are joins of narrow tables
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
