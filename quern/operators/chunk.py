@@ -49,8 +49,9 @@ def pack_lines(lines: list[str], kind: str, first: int = 1, source: str | None =
     """Lines packed into chunks of at most MOST * TOLERANCE units.
 
     A line beyond that is cut into segments of MOST units. Where the rest of the file would be a small remainder, the
-    last chunk is ended earlier so that the remainder is large enough; its text keeps the lines that begin the next chunk
-    (so that hashes agree with indexes built the same way). Chunks of less than LEAST units are dropped.
+    line numbers of the boundary move up so that the remainder has enough lines, while the text stays as it was packed;
+    and after a cut line that had nothing before it, the next chunk counts from that line. Both keep line numbers and
+    hashes equal to those of indexes built the same way. Chunks of less than LEAST units are dropped.
     """
     most = int(MOST * TOLERANCE)
     sizes = [units(line) + (i < len(lines) - 1) for i, line in enumerate(lines)]
@@ -85,9 +86,6 @@ def pack_lines(lines: list[str], kind: str, first: int = 1, source: str | None =
                         split = k
                         break
             close(split)
-            i = max(start, 0) if i >= start else i
-            if split < i - 1:
-                i = split + 1
             held.append(lines[i])
             size += sizes[i]
         else:
