@@ -70,7 +70,7 @@ def as_text(a: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, next_id per row.
 
     The texts are shuffled once, by row key; what a document needs of the next one (the beginning of its text and its
     sketch) is sent to it by that key.
@@ -90,7 +90,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     order = cut(order.join(before, "rank").select("key", "before", "taken"))
     texts = base.select("key", "id", "text").join(order, "key")
     texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    sent = texts.where("nth = 1").select(F.col("before").alias("target"), F.expr("substring(text, 1, taken)").alias("start"), "text")
+    # next_id is carried along so that both uses of texts need the same columns, and share one shuffle
+    sent = texts.where("nth = 1").select(
+        F.col("before").alias("target"), F.col("id").alias("next_id"), F.expr("substring(text, 1, taken)").alias("start"), "text"
+    )
     sent = with_sketch(sent, F.col("text"), "next", k).drop("text")
     met = texts.join(sent, texts.key == sent.target)
     n = F.char_length("text")
@@ -106,4 +109,5 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         resemblance(F.col("own"), F.col("other"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("next"), k).alias("near_next"),
         distinct_count(F.col("own"), k).alias("n_shingles"),
+        "next_id",
     )
