@@ -55,6 +55,8 @@ SHARED = 6
 LEAF, PIVOTS = 64, 4
 #: Counters of a task's Misra-Gries summary; entries of the merged one; least frequency of an entry.
 COUNTERS, HEAVY, FREQUENT = 1 << 15, 1 << 16, 8
+#: Pairs that are measured together at most (about).
+PAIRS_TOGETHER = 1024
 #: Texts at a time on either side of a block of the recursive step.
 OUTSIDE_BLOCK, HOME_BLOCK = 256, 2048
 #: Words of 64 bits of the filter that spares hashing sets nobody asked for.
@@ -325,14 +327,15 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, total) for each pair (a < b).
 
     A pair is measured in the group of the least neighbour of a, so that a cluster's sets travel to one place rather
-    than once for each pair; groups of more than OUTSIDE_BLOCK texts are split by hash.
+    than once for each pair; groups of more than PAIRS_TOGETHER pairs are split by the hash of a.
     """
     both = pairs.union(pairs.select("b", "a"))
     least = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")).select("x", F.least("x", "m").alias("grp"))
-    size = least.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("k"))
-    parts = F.ceil(F.col("k") / F.lit(OUTSIDE_BLOCK)).cast("int")
-    homes = least.join(size, F.col("grp") == F.col("g")).select("x", "grp", F.pmod(F.xxhash64("x"), parts).cast("int").alias("sub"))
-    placed = cut(pairs.join(homes, pairs.a == homes.x).select("grp", "sub", "a", "b"))
+    grouped = cut(pairs.join(least, pairs.a == least.x).select("grp", "a", "b"))
+    size = grouped.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("k"))
+    parts = F.ceil(F.col("k") / F.lit(PAIRS_TOGETHER)).cast("int")
+    sub = F.pmod(F.xxhash64("a"), parts).cast("int")
+    placed = cut(grouped.join(size, F.col("grp") == F.col("g")).select("grp", sub.alias("sub"), "a", "b"))
     nodes = placed.select("grp", "sub", "a").union(placed.select("grp", "sub", F.col("b").alias("a"))).distinct()
     held = nodes.join(sets, nodes.a == sets.node).select("grp", "sub", F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "shingles")
     asked = placed.select("grp", "sub", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles"))
