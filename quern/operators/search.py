@@ -7,12 +7,15 @@ ranking: a selective filter never starves the result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import tokens
+from quern.functions.text import TOKEN, tokens
 from quern.functions.vectors import cosine
+from quern.operators.graph import materialised
 from quern.plans.requests import TextQuery, leg_budgets
 
 K1, B = 1.2, 0.75
@@ -48,18 +51,22 @@ def lengths(texts: DataFrame) -> tuple[int, float]:
 def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column | None = None) -> DataFrame:
     """(id, score): BM25 over the query's parts; a phrase counts as one term that occurs where its words follow in order.
 
-    One pass counts every part in every text (no explosion of the texts into terms); document frequencies come from an
-    aggregation of that narrow table.
+    One pass over the texts counts their tokens and every part (a text that lacks a part's first token is not searched
+    for it); that narrow table is materialised, and gives document frequencies and scores.
     """
     parts = [tuple(p) for p in (_split(t) for t in [*query.phrases, *query.terms]) if p]
     parts = list(dict.fromkeys(parts))
     schema = texts.select("id").schema["id"].dataType.simpleString()
     if not parts:
         return texts.sparkSession.createDataFrame([], f"id {schema}, score double")
-    rows = texts.select("*", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("__ts"))
-    rows = rows.select("*", F.size("__ts").cast("long").alias("__dl"))
-    rows = rows.withColumn("__joined", F.concat(F.lit(" "), F.array_join("__ts", "  "), F.lit(" ")))
-    counts = rows.select("*", *[_times(F.col("__joined"), p).cast("long").alias(f"__tf{i}") for i, p in enumerate(parts)]).drop("__ts", "__joined", "text")
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    kept = [c for c in texts.columns if c != "text"]
+    counts = materialised(
+        texts.withColumn("__low", low).select(
+            *kept, F.regexp_count("__low", F.lit(TOKEN)).cast("long").alias("__dl"),
+            *[_times(F.col("__low"), p).cast("long").alias(f"__tf{i}") for i, p in enumerate(parts)],
+        )
+    )
     stats = counts.agg(
         F.count(F.lit(1)), F.avg("__dl"), *[F.coalesce(F.sum((F.col(f"__tf{i}") > 0).cast("long")), F.lit(0)) for i in range(len(parts))]
     ).first()
@@ -77,14 +84,15 @@ def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column |
 def _split(text: str) -> list[str]:
     import regex
 
-    return regex.findall(r"[\p{L}\p{N}_.$]+", text.lower())
-
+    return regex.findall(TOKEN, text.lower())
 
-def _times(joined: Column, part: tuple[str, ...]) -> Column:
-    """How often a sequence of tokens occurs in tokens joined with a blank on either side of each; overlaps count."""
-    import re
 
-    return F.regexp_count(joined, F.lit("(?=" + "".join(f" {re.escape(t)} " for t in part) + ")"))
+def _times(low: Column, part: tuple[str, ...]) -> Column:
+    """How often a sequence of tokens occurs in a lower-case text; overlaps count."""
+    inside = TOKEN.rstrip("+")
+    between = "[^" + inside.strip("[]") + "]+"
+    pattern = f"(?<!{inside})(?={between.join(map(re.escape, part))}(?!{inside}))"
+    return F.when(F.contains(low, F.lit(part[0])), F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
 def ranks(hits: DataFrame, name: str) -> DataFrame:
