@@ -123,10 +123,15 @@ def hybrid(vectors: DataFrame, texts: DataFrame, query: list[float], text: TextQ
 
 
 def without_contained(hits: DataFrame) -> DataFrame:
-    """Hits (path, id, start_line, end_line, ...) without those strictly inside another hit of their file."""
-    other = hits.select(F.col("path").alias("__p"), F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    inside = (F.col("path") == F.col("__p")) & (F.col("__s") <= F.col("start_line")) & (F.col("__e") >= F.col("end_line"))
-    return hits.join(other, inside & ((F.col("__s") != F.col("start_line")) | (F.col("__e") != F.col("end_line"))), "left_anti")
+    """Hits (path, id, start_line, end_line, ...) without those strictly inside another hit of their file.
+
+    With a file's distinct ranges ordered by start, the longer first, a range lies inside another one exactly if some
+    range before it ends no earlier: a running maximum instead of a join of a file's hits with each other.
+    """
+    ranges = hits.select("path", "start_line", "end_line").distinct()
+    w = Window.partitionBy("path").orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranges.withColumn("__reach", F.max("end_line").over(w)).where(F.col("__reach") >= F.col("end_line"))
+    return hits.join(inner, ["path", "start_line", "end_line"], "left_anti")
 
 
 def by_file(hits: DataFrame) -> DataFrame:
