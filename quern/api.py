@@ -10,6 +10,7 @@ from quern.functions.ids import uuid5
 from quern.functions.text import embedding_text
 from quern.operators import chunk, graph, incremental, lines, parse, rerank, search
 from quern.operators.graph import materialised
+from quern.operators.parse import outline_text
 from quern.plans.config import Config, query_prefix
 from quern.plans.requests import PathFilter, TextQuery, effective_min_score, glob_regex, valid_limit
 from quern.sources import corpus
@@ -69,7 +70,7 @@ class Engine:
         """Outlines of the files that match, by path; at most `limit` files (all without)."""
         files = corpus.scan(self.spark, root).where(PathFilter.compile(only).column(F.col("path")))
         files = files.withColumn("language", corpus.language(F.col("path"))).where("language IS NOT NULL")
-        make = F.pandas_udf(lambda p, t, g: p.combine(t, lambda a, b: (a, b)).combine(g, lambda x, c: parse.outline_text(x[0], x[1], c)), "string")
+        make = F.pandas_udf(lambda p, t, g: p.combine(t, lambda a, b: (a, b)).combine(g, lambda x, c: outline_text(x[0], x[1], c)), "string")
         rows = files.select("path", make("path", "text", "language").alias("outline")).orderBy("path")
         return {r.path: r.outline for r in (rows if limit is None else rows.limit(limit)).collect()}
 

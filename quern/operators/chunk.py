@@ -14,6 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.parse import Node, parsed
+
+#: Languages whose definitions are found, by extension.
+PARSED = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go",
+    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp",
+}
 #: Sizes in UTF-16 units: least and most of a block, tolerance, least remainder after a split.
 LEAST, MOST, TOLERANCE, REMAINDER = 100, 2000, 1.15, 200
 SCHEMA = (
@@ -150,10 +157,49 @@ def markdown(text: str) -> list[Chunk]:
     return out
 
 
+def code(path: str, text: str, language: str) -> list[Chunk]:
+    """Chunks of a source file by its definitions; packed lines where there are none.
+
+    A definition of a fitting size is a block. A function or method that is too large, or a class without definitions
+    in it, is packed by lines; a larger class is left to its members. Blocks inside an earlier kept one are dropped.
+    """
+    lines, most = text.split("\n"), MOST * TOLERANCE
+    nodes = sorted((n for n in parsed(path, text, language).nodes if n.type != "module"), key=lambda n: (n.start, -n.end))
+    if not nodes:
+        return pack_lines(lines, "fallback_chunk")
+
+    def around(n: Node) -> list[Node]:
+        return [o for o in nodes if o is not n and o.start <= n.start and n.end <= o.end]
+
+    out: list[Chunk] = []
+    for n in nodes:
+        body = lines[n.start - 1 : n.end]
+        content = "\n".join(body)
+        size = units(content)
+        if size < LEAST:
+            continue
+        parents = tuple((o.name, o.type) for o in around(n))
+        shown = " > ".join(f"{kind} {name}" for name, kind in [*parents, (n.name, n.type)])
+        if size <= most:
+            made = [Chunk(n.type, n.start, n.end, content, source="definition")]
+        elif n.type == "class" and any(n in around(o) for o in nodes):
+            continue
+        else:
+            made = pack_lines(body, n.type, n.start, "definition")
+        for c in made:
+            c.identifier, c.parents, c.display = n.name, parents, shown
+        out += made
+    stays = contained([(c.start_line, c.end_line, c.content) for c in out])
+    return [c for c, ok in zip(out, stays, strict=True) if ok]
+
+
 def chunk_text(path: str, text: str) -> list[Chunk]:
-    """Chunks of a file by its extension: Markdown sections, else packed lines."""
-    if path.lower().endswith((".md", ".markdown")):
+    """Chunks of a file by its extension: Markdown sections, definitions, else packed lines."""
+    ending = path.lower().rsplit(".", 1)[-1]
+    if ending in ("md", "markdown"):
         return markdown(text)
+    if ending in PARSED:
+        return code(path, text, PARSED[ending])
     return pack_lines(text.split("\n"), "fallback_chunk")
 
 

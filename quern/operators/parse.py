@@ -8,6 +8,7 @@ knows no types and no macros; that is its fidelity. Everything runs per file in
 from __future__ import annotations
 
 import ast
+import bisect
 import posixpath
 import re
 from collections.abc import Iterator
@@ -141,8 +142,6 @@ def brace_file(path: str, text: str) -> Parsed:
         line_of.append(m.end())
 
     def line(at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(line_of, at)
 
     nodes, stack, heads = [], [], set()

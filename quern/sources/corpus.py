@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.ids import content_hash
+from quern.operators.chunk import PARSED
 from quern.sources import ignore
 
 #: Largest file that is indexed, and that is analysed.
@@ -16,10 +17,7 @@ EXTENSIONS = (
     " ml mli lua scala toml zig elm ejs erb vb"
 ).split()
 LINE_ONLY = ("vb", "scala", "swift")
-LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go",
-    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "cs": "csharp",
-}
+LANGUAGES = PARSED | {"rb": "ruby", "php": "php"}
 
 
 def extension(path: Column) -> Column:

@@ -118,6 +118,18 @@ def test_markdown_sections():
     ]
 
 
+def test_code_chunks():
+    small = "def small():\n    return 1\n"
+    fit = "class Fit:\n    def one(self):\n" + "".join(f"        a{i} = {i}\n" for i in range(12)) + "        return a1\n"
+    large = "class Large:\n" + "".join(f"    def m{k}(self):\n" + "".join(f"        value_{i} = {i} * {k}\n" for i in range(40)) for k in range(4))
+    long = "def long():\n" + "".join(f"    statement_{i} = {i} + {i}\n" for i in range(150))
+    got = chunk.chunk_text("a.py", small + fit + large + long)
+    kinds = [(c.type, c.identifier) for c in got]
+    assert kinds[:5] == [("class", "Fit"), *[("method", f"m{k}") for k in range(4)]] and set(kinds[5:]) == {("function", "long")} and len(kinds) > 6
+    assert got[1].display == "class Large > method m0" and got[1].source == "definition"
+    assert chunk.chunk_text("a.py", "x = 1\n" * 40)[0].type == "fallback_chunk" and chunk.chunk_text("a.py", "def (\n" * 40)[0].type == "fallback_chunk"
+
+
 def test_batches_and_retries():
     assert chunk.batches([50, 60, 9000, 40], most=100) == [0, 1, None, 1]
     assert chunk.shortened("aa\nbb\ncc", 5) == "aa\nbb" and chunk.shortened("abcdef", 3) == "abc"
