@@ -95,6 +95,86 @@ def _times(low: Column, part: tuple[str, ...]) -> Column:
     return F.when(F.contains(low, F.lit(part[0])), F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
+def bm25_batch(texts: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of every query (id, text) by BM25 over its distinct tokens, exactly.
+
+    Queries come in blocks of bounded size. For a block, one pass over the texts counts its tokens (document frequencies,
+    lengths: at most one row a token and task), a second one scores each text against all queries of the block at once
+    and keeps k rows a query and task; only those are shuffled to the final ranking.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = texts.sparkSession
+    n_blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b"))
+    schema = "query_id long, id long, score double"
+    out = spark.createDataFrame([], schema)
+    for b in range(n_blocks):
+        asked = [(r.id, sorted(set(_split(r.text or "")))) for r in dealt.where(F.col("b") == b).orderBy("id").collect()]
+        words = sorted({w for _, ws in asked for w in ws})
+        number = {w: i for i, w in enumerate(words)}
+        if not words:
+            continue
+        lists: list[list[int]] = [[] for _ in words]
+        for q, (_, ws) in enumerate(asked):
+            for w in ws:
+                lists[number[w]].append(q)
+        starts = np.r_[0, np.cumsum([len(x) for x in lists])]
+        of = np.array([q for x in lists for q in x])
+        ids = np.array([i for i, _ in asked])
+
+        def counted(text, number=number, find=_split):
+            found = find(text or "")
+            at = [number[w] for w in found if w in number]
+            return len(found), np.unique(np.array(at, dtype=np.int64), return_counts=True)
+
+        def survey(batches, counted=counted, size=len(words)):
+            df, n, length = np.zeros(size, np.int64), 0, 0
+            for batch in batches:
+                for text in batch["text"]:
+                    dl, (at, _) = counted(text)
+                    df[at] += 1
+                    n, length = n + 1, length + dl
+            yield pd.DataFrame({"at": np.r_[np.arange(size), -1, -2], "n": np.r_[df, n, length]})
+
+        stats = texts.select("text").mapInPandas(survey, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"]
+        n, mean = int(stats[-1]), stats[-2] / max(1, stats[-1]) or 1.0
+        df = stats.reindex(range(len(words))).to_numpy(dtype=float)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+        def score(batches, counted=counted, idf=idf, mean=mean, starts=starts, of=of, ids=ids, k=k):
+            best: list[tuple] = []
+            held = 0
+
+            def top(parts):
+                rows = pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("query_id", "id", "score"))})
+                return rows.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+            for batch in batches:
+                for i, text in zip(batch["id"], batch["text"], strict=True):
+                    dl, (at, tf) = counted(text)
+                    if not len(at):
+                        continue
+                    w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                    sizes = starts[at + 1] - starts[at]
+                    ends = np.cumsum(sizes)
+                    places = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - sizes), sizes)
+                    total = np.bincount(of[places], weights=np.repeat(w, sizes), minlength=len(ids))
+                    hit = np.flatnonzero(total > 0)
+                    best.append((ids[hit], np.full(len(hit), i), np.round(total[hit], ROUND)))
+                    held += len(hit)
+                    if held > 200_000:
+                        t = top(best)
+                        best, held = [(t["query_id"].to_numpy(), t["id"].to_numpy(), t["score"].to_numpy())], len(t)
+            if best:
+                yield top(best)
+
+        out = out.unionByName(texts.select("id", "text").mapInPandas(score, schema))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def ranks(hits: DataFrame, name: str) -> DataFrame:
     """(id, name): ranks from 0. hits is already limited to a leg's budget, so one task suffices."""
     w = Window.orderBy(F.desc("score"), "id")

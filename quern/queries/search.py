@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids, vectors
 from quern.operators import pooling, search
 from quern.plans.requests import PathFilter, TextQuery
-from quern.sources.tables import document_path, read
+from quern.sources.tables import document_path, read, spread
 
 LIMIT = 20
 TEXT = '"of the" worthless estion'
@@ -20,7 +20,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("id"), "text", document_path().alias("path"))
 
 
@@ -51,6 +51,12 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(_texts(spark, sf_dir), TextQuery.parse(TEXT), LIMIT)
 
 
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query against all documents, 10 hits each."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return search.bm25_batch(_texts(spark, sf_dir).select("id", "text"), items, 10)
+
+
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = search.postings(_texts(spark, sf_dir), positions=False)
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -188,7 +194,7 @@ def point_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_min_score, dense_topk_prefilter, bm25_topk, bm25_phrase, bm25_statistics, rrf_hybrid,
+        dense_topk, dense_min_score, dense_topk_prefilter, bm25_topk, bm25_phrase, bm25_batch, bm25_statistics, rrf_hybrid,
         rrf_hybrid_guarantee, two_hop_rrf60, path_filter_or, path_filter_and, path_filter_exclude, containment_dedup,
         file_grouping, knn_all, recall_at_k, mrr, mean_pool, softmax_pool, last_pool, centered_norms, vector_validity,
         file_hash, segment_hash, point_uuid5,
@@ -269,6 +275,16 @@ ORACLE_SQL = {
     """,
     "bm25_topk": _bm25_sql([["worthless"], ["estion"], ["thing"]], LIMIT),
     "bm25_phrase": _bm25_sql(_PARTS, LIMIT),
+    "bm25_batch": f"""
+        WITH t AS ({_TOKENS}), c AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
+        p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
+        d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_.$]+')) AS term FROM benchmark),
+        s AS (SELECT item_id AS query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+                     / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+              FROM q JOIN p USING (term) JOIN d USING (term), c GROUP BY ALL)
+        SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10
+    """,
     "bm25_statistics": f"""
         SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(ts) AS t FROM ({_TOKENS})) GROUP BY t
     """,

@@ -15,3 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def document_path() -> Column:
     """A document as a file: source/lang/doc_id.md."""
     return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; a no-op for any input that is not a few small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -249,3 +249,17 @@ def test_rerank(spark):
     s = spark.createDataFrame([(0, 1.0), (1, 2.0), (5, 4.0)], "pos int, score double")
     r = spark.createDataFrame([("a", 0, 1), ("b", 4, 9), ("c", 7, 8)], "chunk string, first int, last int")
     assert {x.chunk: x.score for x in rerank.chunk_scores(s, r).collect()} == {"a": 3.0, "b": 4.0, "c": 0.0}
+
+
+def test_batch_search_agrees_with_single(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(80)], "id long, text string").repartition(3)
+    queries = [(q, " ".join(rng.sample(words, 3))) for q in range(7)] + [(90, ""), (91, None)]
+    got = {}
+    for r in search.bm25_batch(texts, spark.createDataFrame(queries, "id long, text string"), 5, block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert set(got) <= set(range(7))
+    for q, text_ in queries[:7]:
+        want = [(r.id, r.score) for r in search.bm25(texts, TextQuery.parse(text_), 5).collect()]
+        assert [(i, s) for _, i, s in sorted(got.get(q, []))] == want
