@@ -90,6 +90,17 @@ class Vocabulary:
     spelling: list[bytes]  # bytes that an id stands for, with spaces for markers
     longest: int
 
+    def packed(self) -> tuple:
+        """Plain arrays, which a broadcast carries to executors that lack this package."""
+        t = self.trie
+        return (t.base, t.check, t.value), (self.ids, self.scores, self.byte_ids, self.fallback, self.spelling, self.longest)
+
+    @classmethod
+    def unpacked(cls, parts: tuple) -> Vocabulary:
+        trie = DoubleArray.__new__(DoubleArray)
+        trie.base, trie.check, trie.value = parts[0]
+        return cls(trie, *parts[1])
+
 
 @lru_cache(maxsize=4)
 def load(path: str = VOCABULARY) -> Vocabulary:
@@ -246,11 +257,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     round_trip tells whether the ids, decoded, give back the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary).packed())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary.unpacked(shared.value)
         encoder = Encoder(v)
         is_byte = np.zeros(len(v.spelling), bool)
         is_byte[v.byte_ids] = True
@@ -278,12 +289,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 def decoded(rows: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """rows with a column `decoded`: the text that the ids stand for."""
-    shared = rows.sparkSession.sparkContext.broadcast(load(vocabulary))
+    shared = rows.sparkSession.sparkContext.broadcast(load(vocabulary).packed())
     at = rows.columns.index(ids_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary.unpacked(shared.value)
         for batch in batches:
-            texts = [decode(ids, shared.value) for ids in batch.column(at).to_pylist()]
+            texts = [decode(ids, v) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string")
