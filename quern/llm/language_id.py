@@ -223,7 +223,9 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_c
             names, scores = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    # by place instead of by name, since a name may hold a dot
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,3 +33,24 @@ def test_pipeline(spark, tmp_path):
     assert ids[4] == ids[3] and all(r.round_trip for r in steps[names[-1]].collect())
     again = corpus_pipeline.run(spark, where)
     assert sorted(r.doc_id for r in again.collect()) == ids[4]
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key string, rank long, component_id long, copies int, `a.b` string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_bear_odd_rows(spark, empty, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing and odd column names, no rows at all."""
+    rows = [(i, f"the quick{i} brown fox jumps over the lazy dog number {i} again " * 3, "en", "s", 1, "k", i, i, i, "x") for i in range(30)]
+    rows += [rows[0], rows[0], (None,) * 10, (50, "", None, None, None, None, None, None, None, None), (51, "word " * 30000, "en", None, 1, "k", 1, 1, 1, "y")]
+    rows += [(None, "another text without an id that has some words in it", "en", "s", 1, "k", 1, 1, 1, "z")]
+    docs = spark.createDataFrame([] if empty else rows, EXTRA)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert {tuple(r) for r in found} <= {tuple(r) for r in rows}
+        assert bool(found) != empty
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, "").collect()
+    assert sum(r.doc_id == 0 for r in kept) == (0 if empty else 1)
