@@ -8,8 +8,6 @@ import numpy as np
 import pandas as pd
 
 WIDTH = 5
-#: Odd multipliers, one for each place of a shingle: consecutive steps of a Weyl sequence.
-_PLACES = np.array([((2 * k + 1) * 0x9E3779B97F4A7C15) % 2**64 | 1 for k in range(1, WIDTH + 1)], dtype=np.uint64)
 
 
 def scramble(z: np.ndarray) -> np.ndarray:
@@ -19,6 +17,12 @@ def scramble(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: Odd multipliers, one for each place of a shingle, so that the order of its words counts: scrambled steps of a Weyl
+#: sequence. No sum of some of them with signs is 0 or a multiple of 2^6, so two shingles that differ collide for at most
+#: one in 2^59 of the word hashes, also where words repeat.
+_PLACES = scramble(np.array([k * 0x9E3779B97F4A7C15 % 2**64 for k in range(1, WIDTH + 1)], dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles of a text; with fewer words the whole sequence as one; else empty.
 
