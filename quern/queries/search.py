@@ -119,7 +119,7 @@ def containment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_file(_hits(spark, sf_dir)).limit(1000)
+    return search.by_file(_hits(spark, sf_dir))
 
 
 def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
