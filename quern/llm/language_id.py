@@ -3,8 +3,12 @@
 Features: the text in lower case, every run of characters other than letters as one boundary; n-grams of 1 to 3
 characters hashed into 2^BITS buckets; tf = log(1 + count), times idf, L2-normalised. Document frequencies come from
 every learnable document. The weights are trained with FTRL-proximal under an elastic-net penalty (L1 makes them
-sparse) on a bounded sample of at most about SAMPLE learnable documents, spread evenly over the languages; a fifth of
-the sample is kept back to fit the softmax temperature. Sample, order and result are deterministic.
+sparse) on a bounded sample of at most about SAMPLE learnable documents (or EACH for each language, if that is more),
+spread evenly over the languages; a fifth of the sample, but never the only document of a language, is kept back to fit
+the softmax temperature. Sample, order and result are deterministic.
+
+Every language of a learnable document is learned. The weights grow with the languages, so more than LANGUAGES of them
+are an error: none is left out in silence.
 
 A document is learnable when its language is known and crc32 of its id (as text) leaves a remainder other than 1 by 3.
 A prediction looks at the text alone.
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 
 BITS = 14
 BUCKETS = 1 << BITS
-#: Documents to learn from at most (about), and languages at most (the most frequent ones).
-SAMPLE, LANGUAGES = 6000, 200
+#: Documents to learn from at most (about), but so many of each language; languages beyond which training is refused.
+SAMPLE, EACH, LANGUAGES = 6000, 10, 1000
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 2
 #: Least score of a document that the filter keeps.
@@ -117,7 +121,8 @@ def train_ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes:
             more = ni + g * g
             z[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
             n[at] = more
-    return weights(z, n).astype(np.float32)
+    # in blocks, for the intermediate arrays would be several times the weights
+    return np.concatenate([weights(z[i : i + 1024], n[i : i + 1024]).astype(np.float32) for i in range(0, BUCKETS, 1024)])
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -164,6 +169,7 @@ def _trainer(languages: list[str], idf: np.ndarray):
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         y = np.array([r[1] for r in rows])
         apart = np.arange(len(rows)) % 5 == 4
+        apart[np.unique(y, return_index=True)[1]] = False
         fit = np.flatnonzero(~apart)
         w = train_ftrl([rows[i][2:] for i in fit], y[fit], len(languages))
         held = np.flatnonzero(apart)
@@ -179,7 +185,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where((rest != 1) & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("language")).alias("turn")
     )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang_col} to learn: their weights grow too large for a task")
     languages = sorted(r["lang"] for r in sizes)
     blank = Model([], np.zeros((BUCKETS, 0), np.float32), np.ones(BUCKETS, np.float32), 1.0)
     if not languages:
@@ -190,7 +198,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     df = df[df["bucket"] >= 0]
     by_bucket[df["bucket"].to_numpy()] = df["n"].to_numpy()
     idf = (np.log((1 + n) / (1 + by_bucket)) + 1).astype(np.float32)
-    quota = max(1, SAMPLE // len(languages))
+    quota = max(EACH, SAMPLE // len(languages))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
     drawn = known.where(F.pmod("turn", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     rows = drawn.repartition(1).mapInArrow(_trainer(languages, idf), "weights binary, temperature double").collect()
