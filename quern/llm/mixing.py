@@ -10,13 +10,15 @@ The prefix sum is a distributed rank (see common.ranked), so a source with a thi
 tasks. Reruns agree: the offset is derived from the seed and the source.
 
 Defined results: null text has size 0; a source of size 0 has target 0; null is a source of its own; repeated rows
-count as documents of their own; an empty table gives an empty result.
+count as documents of their own, also those that differ in other columns than id and text; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.llm.common import cut, ranked, word_count
@@ -67,15 +69,22 @@ def copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    rest: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, source, size, key, source_size, target, copies) for each row of docs; key tells texts of one doc_id apart."""
+    """(doc_id, source, size, key, source_size, target, copies) for each row of docs; key tells texts of one doc_id apart.
+
+    A column `rest`, if given, comes out too; it orders rows of one source, doc_id and text.
+    """
+    more = [] if rest is None else [rest.alias("rest")]
     narrow = docs.select(
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("key"),
+        *more,
     )
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("key")]
+    order += [F.col("rest")] if more else []
     placed = cut(ranked(narrow, order, ["source"]))
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, share, most, weights).withColumnRenamed("source", "__source")
@@ -92,18 +101,36 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _rest(docs: DataFrame, but: set[str]) -> Column:
+    """A hash of the columns of a row but some. A null counts by its place, which xxhash64 alone passes over."""
+    parts = [F.lit(0)]
+    for f in docs.schema.fields:
+        if f.name not in but:
+            c = F.col(f"`{f.name}`")
+            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+            parts += [c.isNull(), F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) if nested else c]
+    return F.xxhash64(*parts)
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (0 to `most` times), with the columns of docs."""
     cols = docs.columns
-    # Repeated rows of one doc_id and text share one decision each time they occur: their copies are summed, then dealt back.
-    dealt = copies(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0")
-    dealt = dealt.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"))
+    rest = _rest(docs, {id_col, text_col, source_col})
+    # Rows that are equal in all columns share one decision each time they occur: their copies are summed, then dealt back.
+    dealt = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, rest=rest, **options).where("copies > 0")
+    keys = [F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "key", "rest")]
+    dealt = dealt.groupBy(*keys).agg(F.sum("copies").alias("__copies"))
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"),
         F.col(id_col).alias("__rid"),
+        F.col(source_col).alias("__rsource"),
         F.xxhash64(F.col(text_col)).alias("__rkey"),
+        rest.alias("__rrest"),
     )
-    w = Window.partitionBy("__rid", "__rkey").orderBy(F.lit(0))
-    joined = row.join(dealt, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rkey") == F.col("__key")))
+    w = Window.partitionBy("__rid", "__rsource", "__rkey", "__rrest").orderBy(F.lit(0))
+    same = F.col("__rid").eqNullSafe(F.col("__doc_id")) & F.col("__rsource").eqNullSafe(F.col("__source"))
+    joined = row.join(dealt, same & (F.col("__rkey") == F.col("__key")) & (F.col("__rrest") == F.col("__rest")))
     joined = joined.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
     return joined.select(F.explode(F.array_repeat("__row", F.col("__copies").cast("int"))).alias("__row")).select("__row.*")
