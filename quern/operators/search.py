@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import TOKEN, tokens
+from quern.functions.text import TOKEN, folded, folded_str, tokens
 from quern.functions.vectors import cosine
 from quern.operators.graph import materialised
 from quern.plans.requests import TextQuery, leg_budgets
@@ -59,7 +59,7 @@ def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column |
     schema = texts.select("id").schema["id"].dataType.simpleString()
     if not parts:
         return texts.sparkSession.createDataFrame([], f"id {schema}, score double")
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    low = folded(F.coalesce(F.col("text"), F.lit("")))
     kept = [c for c in texts.columns if c != "text"]
     counts = materialised(
         texts.withColumn("__low", low).select(
@@ -84,7 +84,7 @@ def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column |
 def _split(text: str) -> list[str]:
     import regex
 
-    return regex.findall(TOKEN, text.lower())
+    return regex.findall(TOKEN, folded_str(text))
 
 
 def _times(low: Column, part: tuple[str, ...]) -> Column:

@@ -56,12 +56,25 @@ def split_filters(text: str | None) -> list[str]:
 
 
 def expand_braces(pattern: str) -> list[str]:
-    found = re.search(r"\{([^}]+)\}", pattern)
-    if not found:
-        return [pattern]
-    head, tail = pattern[: found.start()], pattern[found.end() :]
-    options = [o for o in map(str.strip, found[1].split(",")) if o]
-    return [p for o in options for p in expand_braces(head + o + tail)]
+    """The alternatives of a pattern: its first group of braces that closes is spread out, then what comes of it.
+
+    Empty options are dropped; a group that has no other option stands for itself, and ends the expansion.
+    """
+    waiting, done = [pattern], []
+    while waiting:
+        p = waiting.pop(0)
+        opens = [i for i, c in enumerate(p) if c == "{" and p[i + 1 : i + 2] != "}"]
+        start = opens[0] if opens else -1
+        close = p.find("}", start) if opens else -1
+        if close < 0:
+            done.append(p)
+            continue
+        options = [x.strip() for x in p[start + 1 : close].split(",") if x.strip()]
+        if not options:
+            done.append(p)
+            continue
+        waiting[:0] = [p[:start] + x + p[close + 1 :] for x in options]
+    return done
 
 
 def literals(pattern: str) -> list[str]:

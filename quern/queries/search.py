@@ -206,7 +206,7 @@ _DENSE = """
     SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
     FROM embeddings
 """
-_TOKENS = r"SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_.$]+') AS ts FROM documents"
+_TOKENS = r"SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_.$]+') AS ts FROM documents"
 
 
 def _bm25_sql(parts: list[list[str]], limit: int) -> str:
@@ -279,7 +279,7 @@ ORACLE_SQL = {
         WITH t AS ({_TOKENS}), c AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
         p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
         d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_.$]+')) AS term FROM benchmark),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_.$]+')) AS term FROM benchmark),
         s AS (SELECT item_id AS query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
                      / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
               FROM q JOIN p USING (term) JOIN d USING (term), c GROUP BY ALL)

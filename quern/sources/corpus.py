@@ -13,7 +13,7 @@ from quern.sources import ignore
 INDEX_BYTES, ANALYSE_BYTES = 1 << 20, 10 << 20
 #: Extensions (fixed values): what is indexed, and what is only ever chunked by lines.
 EXTENSIONS = (
-    "tla js jsx ts tsx vue py rs go c h cpp hpp cs rb java php swift sol kt kts ex exs el html htm md markdown json css rdl"
+    "tla js mjs jsx ts vue tsx py rs go c h cpp hpp cs rb java php swift sol kt kts ex exs el html htm md markdown json css rdl"
     " ml mli lua scala toml zig elm ejs erb vb"
 ).split()
 LINE_ONLY = ("vb", "scala", "swift")

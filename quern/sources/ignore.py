@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: Folders that are never scanned (fixed values).
+#: Folders that are never scanned (fixed values); hidden folders in which tools keep their caches go by their ending.
 DEFAULT_FOLDERS = (
-    "node_modules", "__pycache__", "env", "venv", "target", "dist", "out", "bundle", "vendor", "tmp", "temp", "deps", "pkg", "Pods",
-    ".git", ".svn", ".hg", ".idea", ".vscode", ".cache",
+    ".git", ".svn", ".hg", "node_modules", "vendor", "deps", "pkg", "Pods", "dist", "build", "out", "bundle", "coverage",
+    ".cache", ".nyc_output", ".*-cache", ".pytest_cache", "__pycache__", "env", "venv", "tmp", "temp",
 )
 
 
