@@ -63,9 +63,9 @@ def test_names_and_ranges():
 
 
 def test_ignore_rules(spark):
-    table = ignore.default_rules("*.log\n!keep.log\n/build\ndocs/**/tmp\n# note\n\nsecret?.txt\nfolder/\n", "keep.log")
+    table = ignore.default_rules("*.log\n!keep.log\n/made\ndocs/**/tmp\n# note\n\nsecret?.txt\nfolder/\n", "keep.log")
     cases = {
-        "a.log": True, "x/b.log": True, "keep.log": True, "build/x": True, "src/build/x": False, "docs/a/tmp/f": True, "secret1.txt": True,
+        "a.log": True, "x/b.log": True, "keep.log": True, "made/x": True, "src/made/x": False, "src/build/x": True, "docs/a/tmp/f": True, "secret1.txt": True,
         "secret12.txt": False, "folder/x/y": True, "node_modules/a.js": True, "src/a.py": False, ".git/config": True,
     }
     assert {p: ignore.ignored(p, table) for p in cases} == cases
