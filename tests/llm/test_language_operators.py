@@ -338,10 +338,3 @@ def test_pii(spark, docs, none):
         assert set(base) <= set(r.spans.split(",")) | {""}
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(i == k for _, i, _ in found) for k in range(4)]
     assert len(rows) == both.count() and pii.report(none).count() == 0
-
-
-def test_pii_expectation_maximisation():
-    table = [(0, (1, 1, 2, 1), 900.0), (0, (0, 0, 2, 0), 300.0), (0, (1, 1, 1, 1), 50.0), (0, (0, 1, 2, 0), 20.0)]
-    post, rates = pii.estimate(table)
-    assert post[0, (1, 1, 2, 1)] > 0.95 and post[0, (0, 0, 2, 0)] < 0.05
-    assert rates[0][True][1] > 0.9 and len(pii.train(table)) == 8
