@@ -174,14 +174,18 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents),
         levels AS (SELECT unnest(range(0, 61)) AS depth),
         b AS (
-            SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS shard_bytes
+            SELECT depth, h >> (60 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS bucket, count(*) AS n, min(h) = max(h) AS one
             FROM d, levels GROUP BY ALL),
         pick AS (
-            SELECT d.doc_id, d.h, d.n_bytes, min(b.depth) AS depth
-            FROM d JOIN b ON b.prefix = d.h >> (60 - b.depth) WHERE b.shard_bytes <= 4194304 GROUP BY ALL)
-        SELECT p.doc_id, p.n_bytes, p.depth,
-               CASE WHEN p.depth = 0 THEN '' ELSE right(lpad(bin(p.h >> (60 - p.depth)), 60, '0'), p.depth) END AS shard,
-               CAST(b.shard_bytes AS BIGINT) AS shard_bytes
-        FROM pick p JOIN b ON b.depth = p.depth AND b.prefix = p.h >> (60 - p.depth)
+            SELECT d.doc_id, d.h, d.n_bytes, min(b.depth) AS depth, row_number() OVER (PARTITION BY d.h) - 1 AS k
+            FROM (SELECT *, row_number() OVER () AS i FROM d) d JOIN b ON b.prefix = d.h >> (60 - b.depth)
+            WHERE b.bucket <= 4194304 OR b.one GROUP BY d.i, d.doc_id, d.h, d.n_bytes),
+        placed AS (
+            SELECT p.*, b.bucket, b.n, CASE WHEN p.depth = 0 THEN '' ELSE right(lpad(bin(p.h >> (60 - p.depth)), 60, '0'), p.depth) END AS bits,
+                   bucket > 4194304 AND n > 1 AS paged, greatest(1, 4194304 // greatest(n_bytes, 1)) AS fits
+            FROM pick p JOIN b ON b.depth = p.depth AND b.prefix = p.h >> (60 - p.depth))
+        SELECT doc_id, n_bytes, depth, CASE WHEN paged THEN bits || '.' || (k // fits) ELSE bits END AS shard,
+               CAST(CASE WHEN paged THEN least(fits, n - (k // fits) * fits) * n_bytes ELSE bucket END AS BIGINT) AS shard_bytes
+        FROM placed
     """,
 }

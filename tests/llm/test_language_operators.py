@@ -189,6 +189,31 @@ def test_sharding(spark, docs, none):
     assert sorted(p.n for p in pages) == [1000] * 5
 
 
+def test_sharding_stops_at_single_documents_and_deep_buckets(spark):
+    """An oversized document is alone, wholly repeated rows are paged, the rest is as plain splitting has it."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(1, 400)) for i in range(120)] + [(500, "y" * 9000), (501, "z" * 700)] + [(501, "z" * 700)] * 4 + [(None, None)] * 3
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1500).collect()
+
+    def code(i, t):
+        inner = hashlib.md5((t or "").encode()).hexdigest()
+        return int(hashlib.md5(f"{'' if i is None else i}:{inner}".encode()).hexdigest()[:15], 16)
+
+    def split(items, depth, prefix):
+        size = sum(len(t or "") for _, t in items)
+        if not items or size <= 1500 or len({code(*r) for r in items}) == 1:
+            return [(r, prefix, size) for r in items]
+        halves = [[r for r in items if code(*r) >> (59 - depth) & 1 == bit] for bit in (0, 1)]
+        return [x for bit, half in enumerate(halves) for x in split(half, depth + 1, prefix + str(bit))]
+
+    want = split(rows, 0, "")
+    plain = sorted((str(r[0]), len(r[1] or ""), p, n) for r, p, n in want if r[0] != 501)
+    assert sorted((str(r.doc_id), r.n_bytes, r.shard, r.shard_bytes) for r in got if r.doc_id != 501) == plain
+    pages = sorted((r.shard, r.shard_bytes) for r in got if r.doc_id == 501)
+    bits = next(p for r, p, _ in want if r[0] == 501)
+    assert pages == [(f"{bits}.0", 1400)] * 2 + [(f"{bits}.1", 1400)] * 2 + [(f"{bits}.2", 700)]
+
+
 def test_language_id(spark, none):
     rng = random.Random(3)
     sound = {"aa": "the and of ing", "bb": "der und ich ung", "cc": "que les eau çon"}
