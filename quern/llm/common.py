@@ -18,10 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, or (tests, local mode) a temporary one."""
+    """The folder for checkpoints: the one the cluster names, or in local mode (tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -61,6 +63,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """A hash of the columns of a row but some. A null counts by its place, which xxhash64 alone passes over."""
+    parts = [F.lit(0)]
+    for f in df.schema.fields:
+        if f.name not in but:
+            c = F.col(f"`{f.name}`")
+            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+            parts += [c.isNull(), F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) if nested else c]
+    return F.xxhash64(*parts)
+
+
 def ranked(df: DataFrame, order: list[Column], within: list[str] | None = None) -> DataFrame:
     """df with `rank` (long, from 1) by `order` inside each `within` group, without gathering a group in one task.
 
