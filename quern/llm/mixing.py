@@ -18,20 +18,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.llm.common import cut, ranked, word_count
+from quern.llm.common import cut, partitions, ranked, row_hash, word_count
 
 WEIGHTS = (3, 1, 2)
+#: Copies of one row that are given out by one task.
+TOGETHER = 1000
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target, rate) from (source, source_size): water-filling by weight under a cap."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
+    placed = ranked(sizes, [F.col("source").asc_nulls_last()])
+    turn = (F.col("rank") - 1) % len(weights)
     table = cut(
-        sizes.withColumn("w", F.element_at(F.array(*[F.lit(x) for x in weights]), turn.cast("int") + 1).cast("long"))
+        placed.withColumn("w", F.element_at(F.array(*[F.lit(x) for x in weights]), turn.cast("int") + 1).cast("long"))
         .withColumn("cap", F.col("source_size") * most)
         .withColumn("capped", F.col("source_size") == 0)
     )
@@ -101,36 +102,27 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _rest(docs: DataFrame, but: set[str]) -> Column:
-    """A hash of the columns of a row but some. A null counts by its place, which xxhash64 alone passes over."""
-    parts = [F.lit(0)]
-    for f in docs.schema.fields:
-        if f.name not in but:
-            c = F.col(f"`{f.name}`")
-            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-            parts += [c.isNull(), F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) if nested else c]
-    return F.xxhash64(*parts)
-
-
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
 ) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (0 to `most` times), with the columns of docs."""
     cols = docs.columns
-    rest = _rest(docs, {id_col, text_col, source_col})
-    # Rows that are equal in all columns share one decision each time they occur: their copies are summed, then dealt back.
+    rest = row_hash(docs, (id_col, text_col, source_col))
+    # Rows that are equal in all columns share one decision each time they occur: their copies are summed, and one of
+    # the rows, the first that each task sees before anything is shuffled, is given out that often.
     dealt = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, rest=rest, **options).where("copies > 0")
-    keys = [F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "key", "rest")]
-    dealt = dealt.groupBy(*keys).agg(F.sum("copies").alias("__copies"))
-    row = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"),
-        F.col(id_col).alias("__rid"),
-        F.col(source_col).alias("__rsource"),
-        F.xxhash64(F.col(text_col)).alias("__rkey"),
-        rest.alias("__rrest"),
+    dealt = cut(dealt.groupBy(F.struct("doc_id", "source", "key", "rest").alias("__dealt")).agg(F.sum("copies").alias("__copies")))
+    key = F.struct(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("key"), rest.alias("rest")
     )
-    w = Window.partitionBy("__rid", "__rsource", "__rkey", "__rrest").orderBy(F.lit(0))
-    same = F.col("__rid").eqNullSafe(F.col("__doc_id")) & F.col("__rsource").eqNullSafe(F.col("__source"))
-    joined = row.join(dealt, same & (F.col("__rkey") == F.col("__key")) & (F.col("__rrest") == F.col("__rest")))
-    joined = joined.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
-    return joined.select(F.explode(F.array_repeat("__row", F.col("__copies").cast("int"))).alias("__row")).select("__row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), key.alias("__key"))
+    row = row.withColumn("__rn", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))).where("__rn = 1").drop("__rn")
+    taken = row.join(dealt, F.col("__key") == F.col("__dealt"))
+    few = taken.where(F.col("__copies") <= TOGETHER).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    if dealt.where(F.col("__copies") > TOGETHER).isEmpty():
+        return few.select("__row.*")
+    # a row that is repeated without number is given out by many tasks
+    many = taken.where(F.col("__copies") > TOGETHER).withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1, F.lit(TOGETHER).cast("long"))))
+    many = many.withColumn("__any", F.xxhash64("__at")).repartition(partitions(docs.sparkSession), "__any")
+    many = many.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(TOGETHER), F.col("__copies") - F.col("__at")))))
+    return few.select("__row.*").unionByName(many.select("__row.*"))
