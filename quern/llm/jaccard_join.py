@@ -15,11 +15,16 @@ that meets in fewer is dropped unless it meets in a large region, which is joine
 triangle inequality through the empty set) and the shingles that are left behind the first common one (through {s})
 cut the pairs further.
 
-Regions, recursively. A region of more than LEAF texts takes PIVOTS of its documents as pivots and splits into their
-Voronoi cells. Texts within e of a pivot are linked with it, and so with each other. What remains are pairs in which
-one text lies outside the region's largest component: such a text x is replicated to the cell of each pivot p with
-d(x, p) <= d(x, nearest) + 2e, tested there against the texts at home in that cell whose distances to all pivots lie
-within e of its own, in blocks of bounded size. No pair of the largest component is tested and none outside is lost.
+Regions, recursively. Regions of more than LEAF texts that overlap are joined as one, which is split level by level.
+PIVOTS of its documents become pivots, and the distances of all its texts to them are measured exactly. A text within e
+of a pivot is linked with it and belongs to its core; texts of one core are connected and need no test among each other.
+Every text is at home in the Voronoi cell of its nearest pivot, and is replicated as a guest to the cell of each pivot p
+with d(x, p) <= d(x, nearest) + 2e: if y is at home there and d(x, y) <= e, then d(x, p) <= e + d(y, p) <=
+e + d(y, nearest of x) <= 2e + d(x, nearest). A cell with few tests left is joined: texts outside its main core
+against the texts at home, in blocks of bounded size, by windows on their distances to the pivots. Other cells are
+split again. Where a split does not help (no bounded number of pivots tells texts apart that lie far from all of them)
+the cell turns to singleton pivots of its own, ordered by their exact frequency inside the cell, so that what all its
+texts share comes last; what is large even then is joined in blocks. Nothing is lost on the way.
 
 Copies. Documents with equal sets form one class, named by a hash of the set; a class enters the join once for each
 task that reads it, so a group of copies of any size costs no more than a line a task.
@@ -38,11 +43,13 @@ empty result. Columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import connected, cut, partitions, small_batches
 from quern.llm.shingles import class_of, shingle_set
@@ -51,14 +58,18 @@ from quern.llm.shingles import class_of, shingle_set
 NEAR = 75
 #: How many regions a linking pair must share (fewer where a text has not that many common shingles at least).
 SHARED = 6
-#: Regions of at most so many texts are joined pairwise; larger ones take this many pivots.
-LEAF, PIVOTS = 64, 4
+#: Regions of at most so many texts are joined pairwise; larger ones take this many pivots on each of so many levels.
+LEAF, PIVOTS, LEVELS = 32, 4, 8
+#: A split helps if it leaves at most this share of the tests.
+HELPS = 0.75
+#: Frequency in the summary from which on a region is known to be large before it is read, and is dealt to many tasks.
+HOT = 1024
 #: Counters of a task's Misra-Gries summary; entries of the merged one; least frequency of an entry.
 COUNTERS, HEAVY, FREQUENT = 1 << 15, 1 << 16, 8
 #: Pairs that are measured together at most (about).
 PAIRS_TOGETHER = 1024
-#: Texts at a time on either side of a block of the recursive step.
-OUTSIDE_BLOCK, HOME_BLOCK = 256, 2048
+#: Shingles at a time on either side of a block of the recursive step (about), and texts that are measured together.
+OUTSIDE_BLOCK, HOME_BLOCK, MEASURED_TOGETHER = 1 << 17, 1 << 20, 512
 #: Words of 64 bits of the filter that spares hashing sets nobody asked for.
 FILTER_WORDS = 1 << 17
 
@@ -155,13 +166,17 @@ def reach(n: int) -> int:
     return n - -(-NEAR * n // 100) + int(shared(n))
 
 
-def _place(heavy: np.ndarray, counts: np.ndarray):
-    """(key, node, n, pos) for every region that a class belongs to, once for each task and class."""
+def _place(heavy: np.ndarray, counts: np.ndarray, spread: int):
+    """(key, node, n, pos, sub) for every region that a class belongs to, once for each task and class.
+
+    sub deals the rows of regions that are known to be large over `spread` places; it is -1 for all others.
+    """
+    hot = heavy[counts >= HOT]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes, places = [], [], [], []
+            keys, nodes, sizes, places, subs = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text)
                 if not len(s) or (name := class_of(s)) in seen:
@@ -172,11 +187,11 @@ def _place(heavy: np.ndarray, counts: np.ndarray):
                 nodes.append(np.full(len(k), name, np.int64))
                 sizes.append(np.full(len(k), len(s), np.int32))
                 places.append(np.arange(len(k), dtype=np.int32))
+                known = hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), bool)
+                subs.append(np.where(known, name % spread, -1).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                    ["key", "node", "n", "pos"],
-                )
+                columns = [_signed(np.concatenate(keys)), *(np.concatenate(c) for c in (nodes, sizes, places, subs))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "pos", "sub"])
 
     return place
 
@@ -193,9 +208,9 @@ def _summed(x, y, need, left, times=None):
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node become (0, x, y, regions needed, window open, regions shared) for pairs of small
-    regions and (1, key, node, n, 0, 0) for large regions."""
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
-    large = None  # the key of the large region that the stream is in
+    regions, (1, first node, node, n, 0, 0) for large regions, and (2, key, node, n, 0, 0) for those that lie in many tasks."""
+    held = [np.empty(0, np.int64) for _ in range(5)]
+    large, lead = None, 0  # the key and the first node of the large region that the stream is in
 
     def out(kind, a, b, n, left, times):
         numbers = [pa.array(x.astype(np.int32)) for x in (n, left, times)]
@@ -204,29 +219,33 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     def settle(rows, last):
-        nonlocal held, large
-        key, node, n, pos = rows
+        nonlocal held, large, lead
+        key, node, n, pos, sub = rows
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n, pos = key[fresh], node[fresh], n[fresh], pos[fresh]
+        key, node, n, pos, sub = key[fresh], node[fresh], n[fresh], pos[fresh], sub[fresh]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
         ends = np.r_[starts[1:], len(key)] if len(key) else starts
         size = ends - starts
-        big = (size > LEAF) | (key[starts] == large if large is not None else False)
+        goes_on = key[starts] == large if large is not None else np.zeros(len(starts), bool)
+        big = (size > LEAF) | goes_on | (sub[starts] >= 0)
+        first = np.where(goes_on, lead, node[starts])
+        owner = np.repeat(np.where(sub[starts] >= 0, key[starts], first), size)
         keep = np.repeat(big, size)
         if len(starts) and not last:  # the last region may go on in the next batch
             tail = slice(starts[-1], ends[-1])
             if big[-1]:
-                large = key[starts[-1]]
+                large, lead = key[starts[-1]], first[-1]
                 # one row is kept back, to recognise a repeated node at the seam
-                held = [c[ends[-1] - 1 : ends[-1]] for c in (key, node, n, pos)]
+                held = [c[ends[-1] - 1 : ends[-1]] for c in (key, node, n, pos, sub)]
                 keep[ends[-1] - 1] = False
             else:
-                held = [c[tail] for c in (key, node, n, pos)]
+                held = [c[tail] for c in (key, node, n, pos, sub)]
             starts, ends, size, big = starts[:-1], ends[:-1], size[:-1], big[:-1]
-        if keep.any():
-            zero = np.zeros(int(keep.sum()), np.int32)
-            yield out(1, key[keep], node[keep], n[keep], zero, zero)
+        for kind, chosen in ((1, keep & (sub < 0)), (2, keep & (sub >= 0))):
+            if chosen.any():
+                zero = np.zeros(int(chosen.sum()), np.int32)
+                yield out(kind, owner[chosen], node[chosen], n[chosen], zero, zero)
         pairs = []
         for g in np.unique(size[(~big) & (size > 1)]):
             rows_of = starts[(size == g) & ~big][:, None] + np.arange(g)
@@ -342,8 +361,35 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(_grouped(held.unionByName(asked), ["grp", "sub"], _compare, "a long, b long, common long, total long"))
 
 
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, sub and kind, pivots (kind 0) before texts (kind 1): the texts with their distances to the
+    pivots of their cell and the pivots that they link with. Holds the pivots of one cell and a batch."""
+    at, pivots = None, []
+    for batch in batches:
+        cell, sub, kind, node = (batch.column(i).to_numpy() for i in range(4))
+        raw = batch.column(7)
+        rows, far, near = [], [], []
+        for i in range(batch.num_rows):
+            if (cell[i], sub[i]) != at:
+                at, pivots = (cell[i], sub[i]), []
+            s = np.frombuffer(raw[i].as_py(), np.uint64)
+            if kind[i] == 0:
+                pivots.append((int(node[i]), s))
+                continue
+            rows.append(i)
+            common = [np.count_nonzero(p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s) for _, p in pivots]
+            total = [len(s) + len(p) - c for (_, p), c in zip(pivots, common, strict=True)]
+            far.append([1 - c / t for c, t in zip(common, total, strict=True)])
+            near.append([p for (p, _), c, t in zip(pivots, common, total, strict=True) if 100 * c >= NEAR * t])
+        part = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(3), part.column(4), part.column(5), part.column(6), pa.array(far, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64()))],
+            ["cell", "node", "n", "home", "core", "far", "near"],
+        )
+
+
 def _cells(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links between the outside texts (side 0) and the home texts (side 1) of a block of a Voronoi cell."""
+    """Links between the outside texts (side 0) and the home texts (side 1) of a block of a cell."""
     side, node, root = (group.column(c).to_numpy() for c in ("side", "node", "root"))
     far = np.array(group.column("far").to_pylist(), dtype=float)
     sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
@@ -370,34 +416,123 @@ def _cells(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _outside(big: DataFrame, pivots: DataFrame, distances: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of large regions between texts that are not yet connected."""
-    roots = connected(links)
-    member = big.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    member = cut(member)
-    per = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    top = per.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("g"))
-    top = top.where(F.col("top.k") < F.col("g")).select("key", F.col("top.root").alias("main"))
-    # distances of every member to the pivots of its region, in the order of the pivots
-    far_of = distances.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    names = pivots.select(F.explode("pivots").alias("p")).distinct()
-    ends = far_of.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").union(far_of.select("b", "a", "d"))
-    ends = ends.join(names, "p", "left_semi").groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("p", "d"))).alias("to"))
-    met = member.join(top, "key").join(pivots, "key").join(ends, F.col("node") == F.col("x"), "left")
-    far = F.expr("transform(pivots, p -> if(p = node, 0D, coalesce(to[p], 1D)))")
-    seen = met.select("key", "node", (F.col("root") != F.col("main")).alias("out"), "root", far.alias("far"))
-    seen = cut(seen.withColumn("best", F.array_min("far")).withColumn("home", F.array_position("far", F.array_min("far")).cast("int") - 1))
-    n_out = seen.where("out").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OUTSIDE_BLOCK).cast("int").alias("obs"))
-    n_home = seen.groupBy("key", "home").agg(F.ceil(F.count(F.lit(1)) / HOME_BLOCK).cast("int").alias("mbs")).withColumnRenamed("home", "cell")
-    window = 2 * (1 - NEAR / 100) + 1e-9
-    reached = F.expr(f"filter(transform(far, (d, i) -> if(d <= best + {window}, cast(i as int), null)), x -> x is not null)")
-    out = seen.where("out").withColumn("cell", F.explode(reached)).join(n_home, ["key", "cell"]).join(n_out, "key")
-    out = out.withColumn("ob", F.pmod(F.xxhash64("node"), F.col("obs")).cast("int")).withColumn("mb", F.explode(F.expr("sequence(0, mbs - 1)")))
-    at_home = seen.withColumnRenamed("home", "cell").join(n_home, ["key", "cell"]).join(n_out, "key")
-    at_home = at_home.withColumn("mb", F.pmod(F.xxhash64("node"), F.col("mbs")).cast("int")).withColumn("ob", F.explode(F.expr("sequence(0, obs - 1)")))
-    cols = ["key", "cell", "ob", "mb", "side", "node", "root", "far"]
-    rows = out.withColumn("side", F.lit(0)).select(*cols).unionByName(at_home.withColumn("side", F.lit(1)).select(*cols))
-    return cut(_grouped(rows.join(sets, "node").select(*cols, "shingles"), ["key", "cell", "ob", "mb"], _cells, "a long, b long"))
+def _tests(cells: DataFrame) -> DataFrame:
+    """(cell, texts, main, tests): the size of each cell, its main core, and how many pairs are left to test in it."""
+    core = cells.groupBy("cell", "core").agg(F.count(F.lit(1)).alias("t"), F.sum(F.col("home").cast("long")).alias("h"))
+    top = F.max(F.when(F.col("core").isNotNull(), F.struct("t", "h", "core")))
+    whole = core.groupBy("cell").agg(F.sum("t").alias("texts"), F.sum("h").alias("homes"), top.alias("top"))
+    spared = F.coalesce(F.col("top.t") * F.col("top.h"), F.lit(0))
+    return whole.select("cell", "texts", F.col("top.core").alias("main"), (F.col("texts") * F.col("homes") - spared).alias("tests"))
+
+
+def _in_blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of cells (cell, main, node, n, home, core, far): texts outside the main core against those at home."""
+    outside = F.col("core").isNull() | F.coalesce(F.col("core") != F.col("main"), F.lit(True))
+    both = cells.withColumn("out", outside).withColumn("root", F.coalesce("core", "node"))
+    size = both.groupBy("cell").agg(
+        F.ceil(F.sum(F.when(F.col("out"), F.col("n"))) / OUTSIDE_BLOCK).cast("int").alias("obs"),
+        F.ceil(F.sum(F.when(F.col("home"), F.col("n"))) / HOME_BLOCK).cast("int").alias("mbs"),
+    )
+    met = both.join(size.where("obs > 0 AND mbs > 0").withColumnRenamed("cell", "c"), F.col("cell") == F.col("c"))
+    ob, mb = F.pmod(F.xxhash64("node"), F.col("obs")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("mbs")).cast("int")
+    cols = ["cell", "ob", "mb", "side", "node", "root", "far"]
+    out = met.where("out").withColumn("side", F.lit(0)).withColumn("ob", ob).withColumn("mb", F.explode(F.expr("sequence(0, mbs - 1)")))
+    home = met.where("home").withColumn("side", F.lit(1)).withColumn("mb", mb).withColumn("ob", F.explode(F.expr("sequence(0, obs - 1)")))
+    rows = out.select(*cols).unionByName(home.select(*cols))
+    return _grouped(rows.join(sets, "node").select(*cols, "shingles"), ["cell", "ob", "mb"], _cells, "a long, b long")
+
+
+def _by_own_pivots(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of cells that no document pivots split: singleton pivots, rarest inside the cell first."""
+    held = cells.join(sets, "node").select("cell", "node", "n", "core", "shingles")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            which = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            words = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(which) for i in range(3)), words], ["cell", "node", "n", "s"])
+
+    each = cut(held.select("cell", "node", "n", "shingles").mapInArrow(spread, "cell long, node long, n int, s long"))
+    often = each.groupBy(F.col("cell").alias("c"), F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("k"))
+    ordered = each.join(often, (F.col("cell") == F.col("c")) & (F.col("s") == F.col("t")))
+    place = F.row_number().over(Window.partitionBy("cell", "node").orderBy("k", "s")) - 1
+    least = F.ceil(F.col("n") * NEAR / 100)
+    # alone in the cell, a shingle is a region of one text
+    placed = ordered.withColumn("pos", place).where((F.col("pos") < F.col("n") - least + F.least(F.lit(SHARED), least)) & (F.col("k") > 1))
+    placed = placed.select(F.xxhash64("cell", "s").alias("key"), "node", "n", "pos", F.lit(-1).alias("sub"))
+    met = _met(placed.repartition(partitions(cells.sparkSession), "key"))
+    core = cells.where("core IS NOT NULL").select(F.col("node").alias("x"), "core").distinct()
+    pairs = met.where("kind = 0").select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(core.select(F.col("x"), F.col("core").alias(f"core_{end}")), F.col(end) == F.col("x"), "left").drop("x")
+    pairs = cut(pairs.where("core_a IS NULL OR core_b IS NULL OR core_a <> core_b").select("a", "b").distinct())
+    none = F.lit(None).cast("long")
+    wide = met.where("kind = 1").select(F.col("a").alias("cell"), none.alias("main"), F.col("b").alias("node"), "n", F.lit(True).alias("home"))
+    wide = wide.join(core, F.col("node") == F.col("x"), "left").drop("x").dropDuplicates(["cell", "node"]).withColumn("far", F.array().cast("array<double>"))
+    return _links(_measured(pairs, sets)).unionByName(_in_blocks(wide, sets))
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where(F.lit(100) * F.col("common") >= F.lit(NEAR) * F.col("total")).select("a", "b")
+
+
+def _met(placed: DataFrame) -> DataFrame:
+    """What _leaves makes of placed rows, with the pairs that meet in too few regions dropped."""
+    met = placed.sortWithinPartitions("key", "node").mapInArrow(_leaves, "kind int, a long, b long, n int, open int, times int")
+    met = met.groupBy("kind", "a", "b").agg(F.max("n").alias("n"), F.max("open").alias("open"), F.sum("times").alias("times"))
+    return cut(met.where("kind > 0 OR (open = 1 AND times >= n)"))
+
+
+def voronoi(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what links within regions (cell, node, n), by recursion over Voronoi cells.
+
+    Texts that link with one another are connected by the result, not necessarily by a link of their own.
+    """
+    none = F.lit(None).cast("long")
+    cells = regions.select("cell", "node", "n", F.lit(True).alias("home"), none.alias("core"))
+    links, few, stuck = [], [], []
+    for level in range(LEVELS):
+        chosen = [F.min_by("node", F.struct(F.col("core").isNotNull(), F.xxhash64("node", F.lit(level * PIVOTS + i)))) for i in range(PIVOTS)]
+        info = cells.where("home").groupBy(F.col("cell").alias("c")).agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+        size = cells.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count(F.lit(1)) / MEASURED_TOGETHER).cast("int").alias("parts"))
+        info = cut(info.join(size, "c"))
+        sub = F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.col("parts")).cast("int")
+        texts = cells.join(info, F.col("cell") == F.col("c")).select("cell", sub.alias("sub"), F.lit(1).alias("kind"), "node", "n", "home", "core")
+        pivots = info.select("c", F.explode("pivots").alias("node"), "parts")
+        pivots = pivots.select(F.col("c").alias("cell"), F.explode(F.expr("sequence(0, parts - 1)")).alias("sub"), F.lit(0).alias("kind"), "node",
+                               F.lit(0).alias("n"), F.lit(True).alias("home"), none.alias("core"))
+        rows = texts.unionByName(pivots).join(sets, "node").select(*texts.columns, "shingles")
+        dealt = rows.repartition(partitions(rows.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub", "kind", "node")
+        seen = dealt.mapInArrow(_distances, "cell long, node long, n int, home boolean, core long, far array<double>, near array<long>")
+        seen = cut(seen.withColumn("core", F.coalesce("core", F.get("near", F.lit(0)))))
+        links.append(seen.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        before = _tests(seen)
+        best = F.array_min("far")
+        window = 2 * (1 - NEAR / 100) + 1e-9
+        reached = F.filter(F.sequence(F.lit(0), F.size("far") - 1), lambda i: F.get("far", i) <= best + window)
+        below = seen.withColumn("i", F.explode(reached)).withColumn("own", F.array_position("far", best) - 1)
+        below = cut(below.select(F.col("cell").alias("parent"), F.xxhash64("cell", F.lit(level), "i").alias("cell"), "node", "n", (F.col("home") & (F.col("i") == F.col("own"))).alias("home"), "core", "far"))
+        after = cut(_tests(below).join(below.select("parent", "cell").distinct(), "cell"))
+        left = after.groupBy(F.col("parent").alias("p")).agg(F.sum("tests").alias("left"))
+        judged = cut(before.join(left, F.col("cell") == F.col("p")).select("cell", "main", "texts", "tests", (F.col("left") <= HELPS * F.col("tests")).alias("helps")))
+        small = (F.col("tests") <= LEAF * LEAF) | (F.col("texts") <= LEAF)
+        done, hopeless = judged.where(small & (F.col("tests") > 0)), judged.where(~small & ~F.col("helps"))
+        few.append(seen.join(done.select("cell", "main"), "cell").select("cell", "main", "node", "n", "home", "core", "far"))
+        stuck.append(seen.join(hopeless.select("cell"), "cell", "left_semi").select("cell", "node", "n", "core"))
+        open_ = judged.where(~small & F.col("helps")).select(F.col("cell").alias("q"))
+        ready = after.join(open_, F.col("parent") == F.col("q"), "left_semi")
+        tight = (F.col("tests") <= LEAF * LEAF) | (F.col("texts") <= LEAF)
+        few.append(below.join(ready.where(tight & (F.col("tests") > 0)).select("cell", "main"), "cell").select("cell", "main", "node", "n", "home", "core", "far"))
+        cells = cut(below.join(ready.where(~tight).select("cell"), "cell", "left_semi").select("cell", "node", "n", "home", "core"))
+        if cells.isEmpty():
+            break
+    stuck.append(cells.select("cell", "node", "n", "core"))
+    slow = cut(reduce(DataFrame.unionByName, stuck))
+    links.append(cut(_in_blocks(reduce(DataFrame.unionByName, few), sets)))
+    if not slow.isEmpty():
+        links.append(cut(_by_own_pivots(slow, sets)))
+    return reduce(DataFrame.unionByName, links)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,26 +546,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     survey = cut(texts.mapInArrow(_survey, "kind int, a long, b long, c long"))
     heavy, counts = frequent(survey)
     only = texts.select("text")
-    placed = only.mapInArrow(_place(heavy, counts), "key long, node long, n int, pos int")
-    placed = placed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    met = placed.mapInArrow(_leaves, "kind int, a long, b long, n int, open int, times int").groupBy("kind", "a", "b")
-    met = met.agg(F.max("n").alias("n"), F.max("open").alias("open"), F.sum("times").alias("times"))
-    met = cut(met.where("kind = 1 OR (open = 1 AND times >= n)"))
+    n = partitions(docs.sparkSession)
+    placed = only.mapInArrow(_place(heavy, counts, n), "key long, node long, n int, pos int, sub int")
+    met = _met(placed.repartition(n, "key", "sub"))
     pairs = met.where("kind = 0").select("a", "b")
-    # Large regions whose members have the same least hash are joined as one: overlapping regions become few.
-    whole = met.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("node"))
-    lead = whole.groupBy(F.col("region").alias("r")).agg(F.min_by("node", F.xxhash64("node", F.lit(0))).alias("key"))
-    big = cut(whole.join(lead, whole.region == lead.r).select("key", "node").distinct())
-    chosen = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]
-    pivots = cut(big.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots")))
-    star = big.join(pivots, "key").select("node", F.explode("pivots").alias("p")).where("node <> p")
-    pairs = cut(pairs.union(star.select(F.least("node", "p"), F.greatest("node", "p"))).distinct())
+    # Large regions with the same first node are joined as one: overlapping regions become few. Regions in many tasks
+    # are at most HEAVY, as each is an entry of the summary.
+    hot = met.where("kind = 2")
+    lead = hot.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("lead"))
+    hot = hot.join(F.broadcast(lead), F.col("a") == F.col("k")).select(F.col("lead").alias("cell"), F.col("b").alias("node"), "n")
+    big = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "n")
+    big = cut(big.unionByName(hot).distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(big.select("node")).distinct()
     sets = cut(_sets_of(only, nodes))
-    measured = _measured(pairs, sets)
-    links = measured.where(F.lit(100) * F.col("common") >= F.lit(NEAR) * F.col("total")).select("a", "b")
-    if not pivots.isEmpty():
-        links = cut(links.union(_outside(big, pivots, measured, links, sets)))
+    links = _links(_measured(pairs, sets))
+    if not big.isEmpty():
+        links = cut(links.unionByName(voronoi(big, sets)))
     roots = connected(links)
     rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     classes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
