@@ -14,8 +14,8 @@ A document is learnable when its language is known and crc32 of its id (as text)
 A prediction looks at the text alone.
 
 Defined results: `und` with score 0 for a null text and for one without a letter, and for all texts when there is
-nothing to learn from. Rows with a null id are predicted but not learned from. Repeated rows are rows of their own.
-An empty table gives an empty result.
+nothing to learn from. Rows with a null id are predicted but not learned from. Repeated rows are rows of their own, but of rows
+that share an id (and language) one is drawn to learn from. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -201,6 +201,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     quota = max(EACH, SAMPLE // len(languages))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
     drawn = known.where(F.pmod("turn", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    # one row an id, so that an id that many rows share cannot make the sample grow
+    drawn = drawn.groupBy("lang", "turn").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "lang", "turn")
     rows = drawn.repartition(1).mapInArrow(_trainer(languages, idf), "weights binary, temperature double").collect()
     if not rows:
         return blank

@@ -8,7 +8,7 @@ document's score puts the posterior of its path, without the document's own shar
 own evidence: logit(score) = logit(p) + logit(path posterior without it) - logit(global mean).
 
 Defined results: null text counts as empty; a null host or path is a site of its own. Documents with equal ids are
-rows of their own; of several labels of one id the highest counts. Without labels of both kinds p is 0.5 for every
+rows of their own (one of them is learned from); of several labels of one id the highest counts. Without labels of both kinds p is 0.5 for every
 document, and all stay. An empty table gives an empty result. Columns other than those named are not read.
 """
 
@@ -92,7 +92,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray | None:
-    """Weights of the document classifier, from a bounded sample of labels."""
+    """Weights of the document classifier, from a bounded sample of labels and one text (of the least hash) for each."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     one = one.groupBy(F.col(id_col).alias("__label_id")).agg(F.max(label_col).cast("double").alias("y"))
     n = one.count()
@@ -100,8 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     drawn = one.where(F.pmod(F.xxhash64("__label_id", F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(drawn), F.col("__id") == F.col("__label_id")).select("text", "y")
-    got = rows.mapInArrow(_features, "x array<double>, y double").collect()
+    rows = rows.join(F.broadcast(drawn), F.col("__id") == F.col("__label_id"))
+    # one row a label, so that an id that many rows share cannot make the sample grow
+    rows = rows.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("y").alias("y"))
+    got = rows.select("t.text", "y").mapInArrow(_features, "x array<double>, y double").collect()
     if not got:
         return None
     return fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))
