@@ -4,14 +4,17 @@ Messages form trees by their parents. Iterative self-joins with doubling steps e
 to its root, in as many rounds as the logarithm of the deepest path; the branches of a tree are ranked by the mean score
 of their messages, and the best `branches` of each tree are formatted as one conversation each.
 
-Template: every turn is `<s>[ROLE]role[/ROLE] [INST] text [/INST]</s>` and a newline. A control string inside a role or
+Template: every turn is `<s>[ROLE] role [/ROLE] [INST] text [/INST]</s>` and a newline. A control string inside a role or
 text is escaped by one backslash before it, or one more if backslashes stand there already; a control string counts as
 such only without a backslash before it, and the template always writes a space between a text and a control string
 (roles end in `[/ROLE]` after a space as well), so reading back is exact. The loss mask covers the texts of assistants.
 
 Defined results: a null text or role counts as empty. Rows of equal (conversation, turn) are ordered by role and text
-and follow one another. A message whose parent is missing is a root. Rows with a null conversation form the
-conversation null. An empty table gives only what the caller adds.
+and follow one another. A message whose parent is missing is a root. Of messages with equal (conversation, id) the one
+of the least (parent, role, text, score) counts, nulls first; a null score ranks as 0. Parents that run in a circle are
+an error. Rows with a null conversation form the conversation null. Other columns are not read. A conversation is one
+value of the result, so its turns come together in one task by contract; texts may be of any length that a value may
+have. An empty table gives only what the caller adds.
 """
 
 from __future__ import annotations
@@ -52,9 +55,19 @@ def parents(rows: DataFrame) -> DataFrame:
     )
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """One message (conv, id, parent, role, text, score) for each (conv, id)."""
+    rest = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return messages.groupBy("conv", "id").agg(F.min(rest).alias("m")).select("conv", "id", "m.*")
+
+
 def paths(messages: DataFrame) -> DataFrame:
-    """(conv, leaf, id, up) for each leaf and each message on its path; up counts steps from the leaf to the message."""
+    """(conv, leaf, id, up) for each leaf and each message on its path; up counts steps from the leaf to the message.
+
+    A path cannot have more messages than its conversation: jumps that long mean a circle, and raise ValueError.
+    """
     link = cut(messages.select("conv", "id", "parent"))
+    most = link.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     known = link.select(F.col("conv").alias("c"), F.col("id").alias("i"))
     up = link.where(F.col("parent").isNotNull()).join(known, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("i")), "left_semi")
     answered = up.select(F.col("conv").alias("c"), F.col("parent").alias("i")).distinct()
@@ -63,14 +76,14 @@ def paths(messages: DataFrame) -> DataFrame:
     jump = cut(up.select(F.col("conv").alias("jc"), F.col("id").alias("jf"), F.col("parent").alias("jt")))
     step = 1
     while not jump.isEmpty():
+        if step >= most:
+            raise ValueError("the parents run in a circle")
         more = found.join(jump, F.col("conv").eqNullSafe(F.col("jc")) & (F.col("id") == F.col("jf")))
         found = cut(found.unionByName(more.select("conv", "leaf", F.col("jt").alias("id"), (F.col("up") + step).alias("up"))))
         second = jump.select(F.col("jc").alias("kc"), F.col("jf").alias("kf"), F.col("jt").alias("kt"))
         jump = jump.join(second, F.col("jc").eqNullSafe(F.col("kc")) & (F.col("jt") == F.col("kf")))
         jump = cut(jump.select("jc", "jf", F.col("kt").alias("jt")))
         step *= 2
-        if step > 1 << 40:
-            raise ValueError("the parents run in a circle")
     return found
 
 
@@ -136,6 +149,12 @@ def conversations(rows: DataFrame, branches: int | None = 1) -> DataFrame:
     return formatted(chosen(messages, paths(messages), branches))
 
 
+def trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
+    """(conv, leaf, formatted) for reply trees of messages (conv, id, parent, role, text, score)."""
+    one = cut(one_each(messages))
+    return formatted(chosen(one, paths(one), branches))
+
+
 def digests(texts: DataFrame, conv_type: str = "long") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from formatted conversations."""
 
