@@ -288,7 +288,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """rows with a column `decoded`: the text that the ids stand for."""
+    """rows with a column `decoded`, the text that the ids stand for; one that is there already is replaced."""
+    rows = rows.drop("decoded")
     shared = rows.sparkSession.sparkContext.broadcast(load(vocabulary).packed())
     at = rows.columns.index(ids_col)
 
