@@ -2,13 +2,14 @@
 
 Vertices: id (and seq, the order of insertion, which breaks ties). Edges: caller, callee. Everything iterative works on
 frontiers with joins and checkpoints each round, so no graph is gathered; rounds are bounded by depth or path length.
+What a request shows (the tree of a root) is put in order in one task for each root, as it is one answer.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,11 +17,20 @@ from pyspark.sql.window import Window
 SURE, NEAREST = 1.0, 0.6
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder that the cluster names (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; in local mode a temporary one where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-graph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-graph-"))
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,40 +55,59 @@ def module_distance(a: Column, b: Column) -> Column:
     return F.size(x) + F.size(y) - 2 * common
 
 
+def first_lines(edges: DataFrame) -> DataFrame:
+    """One edge for each caller and callee, with its first call (file and line) where edges have `file` or `line`."""
+    more = [c for c in ("file", "line") if c in edges.columns]
+    if not more:
+        return edges.select("caller", "callee").distinct()
+    first = edges.groupBy("caller", "callee").agg(F.min(F.struct(*more)).alias("__f"))
+    return first.select("caller", "callee", *[F.col(f"__f.{c}").alias(c) for c in more])
+
+
 def resolve(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges with callee resolved, is_resolved and confidence.
+    """edges with callee resolved, is_resolved and confidence; equal edges once, with their first call line if they have one.
 
     An exact id wins; else the only vertex of that simple name in the caller's own module; else the nearest one by module
-    distance, the first inserted among equals. The nearest is found without pairing an edge with all vertices of its
-    name: an index holds, for each name and each prefix of a module path, the first vertex among the shallowest below
-    that prefix, and an edge asks it once for each prefix of its own path.
+    distance, the first inserted among equals. The nearest is found once for each name and module that asks, without
+    pairing it with all vertices of its name: an index holds, for each name and each prefix of a module path, the first
+    vertex among the shallowest below that prefix, and an asker looks it up once for each prefix of its own path.
     """
-    v = vertices.select("id", "seq", simple_name(F.col("id")).alias("name"), module_path(F.col("id")).alias("module"))
-    v = v.withColumn("parts", F.when(F.col("module") == "", F.array().cast("array<string>")).otherwise(F.split("module", "/")))
-    e = edges.withColumn("__e", F.struct("caller", "callee")).select("caller", "callee").distinct()
-    exact = e.join(v.select(F.col("id").alias("callee")), "callee", "left_semi").select(
-        "caller", "callee", F.col("callee").alias("target"), F.lit(True).alias("is_resolved"), F.lit(SURE).alias("confidence")
-    )
-    loose = e.join(v.select(F.col("id").alias("callee")), "callee", "left_anti")
-    loose = loose.withColumn("name", simple_name(F.col("callee"))).withColumn("module", module_path(F.col("caller")))
+    def parts(module: str) -> Column:
+        return F.when(F.col(module) == "", F.array().cast("array<string>")).otherwise(F.split(module, "/"))
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        cuts = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.struct(n.alias("c"), F.array_join(F.slice(F.col("parts"), 1, n), "/").alias("prefix")))
+        return rows.withColumn("p", F.explode(cuts)).withColumns({"c": F.col("p.c"), "prefix": F.col("p.prefix")})
+
+    v = vertices.select("id", "seq", simple_name(F.col("id")).alias("name"), module_path(F.col("id")).alias("module")).withColumn("parts", parts("module"))
+    e = first_lines(edges)
+    more = [c for c in e.columns if c not in ("caller", "callee")]
+    known = v.select(F.col("id").alias("callee"), F.lit(True).alias("exact"))
+    e = e.join(known, "callee", "left").withColumn("name", simple_name(F.col("callee"))).withColumn("module", module_path(F.col("caller")))
+    asks = e.where("exact IS NULL").select("name", "module").distinct()
     names = v.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     own = v.groupBy("name", "module").agg(F.count(F.lit(1)).alias("here"), F.min("id").alias("mine"))
-    depths = F.sequence(F.lit(0), F.size("parts"))
-    index = v.select("name", "id", "seq", F.size("parts").alias("len"), F.explode(F.transform(depths, lambda n: F.struct(n.alias("c"), F.array_join(F.slice(F.col("parts"), 1, n), "/").alias("prefix")))).alias("p"))
-    index = index.groupBy("name", F.col("p.c").alias("c"), F.col("p.prefix").alias("prefix")).agg(F.min(F.struct("len", "seq", "id")).alias("best"))
-    asks = loose.withColumn("parts", F.when(F.col("module") == "", F.array().cast("array<string>")).otherwise(F.split("module", "/")))
-    asks = asks.withColumn("p", F.explode(F.transform(depths, lambda n: F.struct(n.alias("c"), F.array_join(F.slice(F.col("parts"), 1, n), "/").alias("prefix")))))
-    asks = asks.select("caller", "callee", "name", F.size("parts").alias("own_len"), F.col("p.c").alias("c"), F.col("p.prefix").alias("prefix"))
+    index = prefixes(v.withColumn("len", F.size("parts"))).groupBy("name", "c", "prefix").agg(F.min(F.struct("len", "seq", "id")).alias("best"))
+    looks = prefixes(asks.withColumn("parts", parts("module")).withColumn("own_len", F.size("parts")))
     rank = F.struct((F.col("own_len") + F.col("best.len") - 2 * F.col("c")).alias("d"), F.col("best.seq").alias("seq"), F.col("best.id").alias("id"))
-    near = asks.join(index, ["name", "c", "prefix"]).groupBy("caller", "callee").agg(F.min(rank).getField("id").alias("near"))
-    found = loose.join(names, "name", "left").join(own, ["name", "module"], "left").join(near, ["caller", "callee"], "left")
+    near = looks.join(index, ["name", "c", "prefix"]).groupBy("name", "module").agg(F.min(rank).getField("id").alias("near"))
+    answers = near.join(names, "name").join(own, ["name", "module"], "left")
     alone = F.col("here") == 1
-    found = found.select(
-        "caller", "callee", F.coalesce(F.when(alone, F.col("mine")), F.col("near"), F.col("callee")).alias("target"),
-        F.col("n").isNotNull().alias("is_resolved"),
-        F.when(F.col("n").isNull(), F.lit(None).cast("double")).when(alone | (F.col("n") == 1), SURE).otherwise(NEAREST).alias("confidence"),
+    answers = answers.select("name", "module", F.when(alone, F.col("mine")).otherwise(F.col("near")).alias("found"), (F.coalesce(alone, F.lit(False)) | (F.col("n") == 1)).alias("sure"))
+    out = e.join(answers, ["name", "module"], "left")
+    exact = F.col("exact").isNotNull()
+    return out.select(
+        "caller", "callee", F.when(exact, F.col("callee")).otherwise(F.coalesce("found", "callee")).alias("target"),
+        (exact | F.col("found").isNotNull()).alias("is_resolved"),
+        F.when(exact, SURE).when(F.col("found").isNull(), F.lit(None).cast("double")).when(F.col("sure"), SURE).otherwise(NEAREST).alias("confidence"), *more,
     )
-    return exact.unionByName(found)
+
+
+def depends_on(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, depends_on): for each vertex the distinct vertices that it calls, sorted."""
+    called = adjacency(vertices, edges).groupBy(F.col("caller").alias("id")).agg(F.array_sort(F.collect_list("callee")).alias("depends_on"))
+    kind = vertices.schema["id"].dataType.simpleString()
+    return vertices.select("id").join(called, "id", "left").select("id", F.coalesce("depends_on", F.array().cast(f"array<{kind}>")).alias("depends_on"))
 
 
 def adjacency(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,33 +140,40 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False)
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """(src, dst, length, path): one shortest directed path of at most `longest` edges for each reachable pair.
-
-    Among equally short paths the one that is least as an array stays. A vertex reaches itself by the path of itself.
-    """
-    wanted = materialised(pairs.select("src", "dst").distinct())
-    front = wanted.select("src").distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path"))
-    seen = front.select("src", "at")
-    found = wanted.where("src = dst").select("src", "dst", F.lit(0).alias("length"), F.array("src").alias("path"))
+def _paths(edges: DataFrame, starts: DataFrame, wanted, longest: int) -> DataFrame:
+    """(src, dst, length, path) by frontiers from starts (src); wanted(rows) keeps those of (src, at, path) that are asked for."""
     step = edges.select(F.col("caller").alias("at"), F.col("callee").alias("next"))
+    front = materialised(starts.select("src").distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path")))
+    seen, found = front.select("src", "at"), wanted(front).select("src", F.col("at").alias("dst"), F.lit(0).alias("length"), "path")
     for n in range(1, longest + 1):
         onward = front.join(step, "at").select("src", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
         onward = onward.join(seen, ["src", "at"], "left_anti").groupBy("src", "at").agg(F.min("path").alias("path"))
         front = materialised(onward)
         if front.isEmpty():
             break
-        hit = front.withColumnRenamed("at", "dst").join(wanted, ["src", "dst"], "left_semi")
-        found = found.unionByName(hit.select("src", "dst", F.lit(n).alias("length"), "path"))
+        found = found.unionByName(wanted(front).select("src", F.col("at").alias("dst"), F.lit(n).alias("length"), "path"))
         seen = materialised(seen.unionByName(front.select("src", "at")))
     return found
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """(src, dst, length, path): one shortest directed path of at most `longest` edges for each reachable pair.
+
+    Among equally short paths the one that is least as an array stays. A vertex reaches itself by the path of itself.
+    """
+    asked = materialised(pairs.select("src", F.col("dst").alias("at")).distinct())
+    return _paths(edges, asked, lambda rows: rows.join(asked, ["src", "at"], "left_semi"), longest)
+
+
 def chains(edges: DataFrame, matched: DataFrame, longest: int = 10) -> DataFrame:
-    """Shortest paths between matched vertices (id, seq), from the earlier to the later one, shortest first."""
-    a, b = matched.select(F.col("id").alias("src"), F.col("seq").alias("i")), matched.select(F.col("id").alias("dst"), F.col("seq").alias("j"))
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j")).select("src", "dst")
-    return shortest_paths(edges, pairs, longest).where("length > 0").orderBy("length", "src", "dst")
+    """Shortest paths between matched vertices (id, seq), from the earlier to the later one, shortest first.
+
+    The frontiers start from the matched vertices; pairs come about only where one has reached another.
+    """
+    m = materialised(matched.select("id", "seq").distinct())
+    a, b = m.select(F.col("id").alias("src"), F.col("seq").alias("i")), m.select(F.col("id").alias("at"), F.col("seq").alias("j"))
+    rows = _paths(edges, a, lambda r: r.join(b, "at").join(a, "src").where("i < j"), longest)
+    return rows.orderBy("length", "src", "dst")
 
 
 def direct(edges: DataFrame, matched: DataFrame) -> DataFrame:
@@ -145,9 +181,29 @@ def direct(edges: DataFrame, matched: DataFrame) -> DataFrame:
     return adjacency(matched, edges)
 
 
-def tree(edges: list[tuple[str, str]], root: str, depth: int) -> list[tuple[str, int, list[str]]]:
+def connections(edges: DataFrame, matched: DataFrame, longest: int = 10) -> DataFrame:
+    """(kind, src, dst, length, path) of matched vertices (id, seq): all that a request for connections answers.
+
+    kind is `matched` (src alone), `direct` (an edge with both ends matched), `chain` (a shortest path from an earlier to
+    a later matched vertex) or `involved` (src alone: a vertex of a direct edge or a chain).
+    """
+    m = materialised(matched.select("id", "seq").distinct())
+    edge, chain = materialised(direct(edges, m)), materialised(chains(edges, m, longest))
+    ends = edge.select(F.col("caller").alias("id")).union(edge.select("callee")).union(chain.select(F.explode("path").alias("id")))
+    kind = m.schema["id"].dataType.simpleString()
+    none, no_path = F.lit(None).cast(kind), F.lit(None).cast(f"array<{kind}>")
+
+    def alone(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.lit(name).alias("kind"), F.col("id").alias("src"), none.alias("dst"), F.lit(None).cast("int").alias("length"), no_path.alias("path"))
+
+    straight = edge.select(F.lit("direct").alias("kind"), F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("length"), F.array("caller", "callee").alias("path"))
+    long = chain.select(F.lit("chain").alias("kind"), "src", "dst", "length", "path")
+    return alone(m, "matched").unionByName(straight).unionByName(long).unionByName(alone(ends.distinct(), "involved"))
+
+
+def tree(edges: list[tuple], root, depth: int) -> list[tuple]:
     """The callee tree of one root as (id, depth, path from the root): depth first, a vertex is expanded once."""
-    below: dict[str, list[str]] = {}
+    below: dict = {}
     for a, b in edges:
         below.setdefault(a, []).append(b)
     out, opened = [], set()
@@ -163,6 +219,46 @@ def tree(edges: list[tuple[str, str]], root: str, depth: int) -> list[tuple[str,
     return out
 
 
+def trees(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False, order: DataFrame | None = None) -> DataFrame:
+    """(root, place, id, depth, path) of the callee (or caller) tree of each root (id): depth first, a vertex expanded once.
+
+    Children come in the order of `order` (id, seq), by id without it. The edges within reach are found by frontiers of
+    all roots at once; a root's own are put in order in one task, which holds no more than the tree it answers with.
+    """
+    import pandas as pd
+
+    step = edges.select("callee", "caller").toDF("a", "b") if reverse else edges.select("caller", "callee").toDF("a", "b")
+    step = materialised(step.distinct())
+    front = materialised(roots.select(F.col("id").alias("root"), F.col("id").alias("a")).distinct())
+    seen, near = front, None
+    for d in range(depth):
+        taken = materialised(front.join(step, "a").select("root", "a", "b"))
+        near = taken if near is None else near.unionByName(taken)
+        if d == depth - 1 or taken.isEmpty():
+            break
+        front = materialised(taken.select("root", F.col("b").alias("a")).distinct().join(seen, ["root", "a"], "left_anti"))
+        seen = seen.unionByName(front)
+    place = F.col("b") if order is None else F.col("seq")
+    if order is not None:
+        near = near.join(order.select(F.col("id").alias("b"), "seq"), "b", "left")
+    kind = roots.schema["id"].dataType.simpleString()
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "b"])
+        out = tree(list(zip(rows["a"], rows["b"], strict=True)), key[0], depth)
+        return pd.DataFrame([(key[0], i, n, d, path) for i, (n, d, path) in enumerate(out)], columns=["root", "place", "id", "depth", "path"])
+
+    return near.select("root", "a", "b", place.alias("place")).groupBy("root").applyInPandas(grow, f"root {kind}, place int, id {kind}, depth int, path array<{kind}>")
+
+
+def described(root: str, callees: list[tuple], callers: list[tuple], names: dict[str, str] | None = None) -> str:
+    """A vertex with its trees as text; names say how a vertex is shown (its id with its lines)."""
+    def lines(rows: list[tuple]) -> list[str]:
+        return ["  " + x for x in render(root, rows, names).split("\n")[1:]] if rows else ["    (none)"]
+
+    return "\n".join([(names or {}).get(root, root), "", "  ↓ calls (callee)", *lines(callees), "", "  ↑ called by (caller)", *lines(callers)])
+
+
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): callers before callees, by peeling off vertices that nobody left calls; cycles and what only they
     lead to have no level."""
@@ -235,6 +331,23 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.unionByName(edges.groupBy(state.alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "name", "n"))
 
 
+def examples(rows: DataFrame, by: str, shown: str, most: int = 20) -> DataFrame:
+    """(by, n, examples): the rows of each value of a column, and the first of them by another, joined by commas.
+
+    The first are kept in each task before anything is shuffled, so a value may hold any share of the rows.
+    """
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(by).orderBy(shown)
+    few = rows.select(by, shown).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).groupBy(by)
+    return n.join(few.agg(F.array_join(F.array_sort(F.collect_list(shown)), ",").alias("examples")), by)
+
+
+def unresolved(edges: DataFrame, most: int = 20) -> DataFrame:
+    """(callee, n): the names that most edges could not be resolved to."""
+    rows = edges.where(~F.col("is_resolved")).groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
+    return rows.orderBy(F.desc("n"), "callee").limit(most)
+
+
 def elements(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(ord, json): a graph for display, vertices first, then resolved edges named caller->callee."""
     node = F.to_json(F.struct(F.struct("id", "name").alias("data"), F.concat(F.lit("node-"), "component_type").alias("classes")))
@@ -242,19 +355,18 @@ def elements(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select(F.lit(0).alias("ord"), node.alias("json")).unionByName(edges.where("is_resolved").select(F.lit(1).alias("ord"), edge.alias("json")))
 
 
-def render(root: str, rows: list[tuple[str, int, list[str]]]) -> str:
+def render(root, rows: list[tuple], names: dict | None = None) -> str:
     """A tree as text with box-drawing lines."""
-    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    names = names or {}
+    children: dict[tuple, list[tuple]] = {}
     for _, _, path in rows:
         children.setdefault(tuple(path[:-1]), []).append(tuple(path))
-    out = [root]
-
-    def walk(at: tuple[str, ...], indent: str) -> None:
-        below = children.get(at, [])
-        for i, path in enumerate(below):
-            last = i == len(below) - 1
-            out.append(f"{indent}{'└── ' if last else '├── '}{path[-1]}")
-            walk(path, indent + ("    " if last else "│   "))
-
-    walk((root,), "")
+    out, stack = [str(names.get(root, root))], [((root,), "", None)]
+    while stack:
+        at, indent, last = stack.pop()
+        if last is not None:
+            out.append(f"{indent}{'└── ' if last else '├── '}{names.get(at[-1], at[-1])}")
+            indent += "    " if last else "│   "
+        below = children.pop(at, [])
+        stack += [(path, indent, i == len(below) - 1) for i, path in reversed(list(enumerate(below)))]
     return "\n".join(out)

@@ -54,7 +54,7 @@ def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column |
     One pass over the texts counts their tokens and every part (a text that lacks a part's first token is not searched
     for it); that narrow table is materialised, and gives document frequencies and scores.
     """
-    parts = [tuple(p) for p in (_split(t) for t in [*query.phrases, *query.terms]) if p]
+    parts = [tuple(p) for p in (split_tokens(t) for t in [*query.phrases, *query.terms]) if p]
     parts = list(dict.fromkeys(parts))
     schema = texts.select("id").schema["id"].dataType.simpleString()
     if not parts:
@@ -81,7 +81,7 @@ def bm25(texts: DataFrame, query: TextQuery, limit: int | None, where: Column |
     return rows if limit is None else rows.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def _split(text: str) -> list[str]:
+def split_tokens(text: str) -> list[str]:
     import regex
 
     return regex.findall(TOKEN, folded_str(text))
@@ -111,7 +111,7 @@ def bm25_batch(texts: DataFrame, queries: DataFrame, k: int, block: int = 1024)
     schema = "query_id long, id long, score double"
     out = spark.createDataFrame([], schema)
     for b in range(n_blocks):
-        asked = [(r.id, sorted(set(_split(r.text or "")))) for r in dealt.where(F.col("b") == b).orderBy("id").collect()]
+        asked = [(r.id, sorted(set(split_tokens(r.text or "")))) for r in dealt.where(F.col("b") == b).orderBy("id").collect()]
         words = sorted({w for _, ws in asked for w in ws})
         number = {w: i for i, w in enumerate(words)}
         if not words:
@@ -124,7 +124,7 @@ def bm25_batch(texts: DataFrame, queries: DataFrame, k: int, block: int = 1024)
         of = np.array([q for x in lists for q in x])
         ids = np.array([i for i, _ in asked])
 
-        def counted(text, number=number, find=_split):
+        def counted(text, number=number, find=split_tokens):
             found = find(text or "")
             at = [number[w] for w in found if w in number]
             return len(found), np.unique(np.array(at, dtype=np.int64), return_counts=True)
@@ -191,17 +191,41 @@ def fused(legs: list[DataFrame], k: int = 2) -> DataFrame:
     return out.withColumn("score", F.round(score, ROUND))
 
 
-def hybrid(vectors: DataFrame, texts: DataFrame, query: list[float], text: TextQuery, limit: int, guarantee: bool = True,
-           weights: tuple[float, float] = (1.0, 0.3), where: Column | None = None) -> DataFrame:
-    """(id, score, dense_rank, sparse_rank, place): both legs fused; lexical hits beyond the limit are appended if guaranteed."""
-    n_dense, n_sparse = leg_budgets(limit, *weights)
-    legs = [dense(vectors, query, n_dense, where=where), bm25(texts, text, n_sparse, where=where)]
-    rows = fused(legs).withColumnsRenamed({"rank0": "dense_rank", "rank1": "sparse_rank"})
+def hybrid_of(dense_hits: DataFrame, sparse_hits: DataFrame, limit: int, guarantee: bool = True) -> DataFrame:
+    """(id, score, dense_rank, sparse_rank, place): two legs (id, score) fused; lexical hits beyond the limit are appended if guaranteed."""
+    rows = fused([dense_hits, sparse_hits]).withColumnsRenamed({"rank0": "dense_rank", "rank1": "sparse_rank"})
     rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     keep = F.col("place") <= limit
     return rows.where(keep | F.col("sparse_rank").isNotNull() if guarantee else keep)
 
 
+def hybrid(vectors: DataFrame, texts: DataFrame, query: list[float], text: TextQuery, limit: int, guarantee: bool = True,
+           weights: tuple[float, float] = (1.0, 0.3), where: Column | None = None) -> DataFrame:
+    """hybrid_of a dense and a lexical search, each with its share of hits."""
+    n_dense, n_sparse = leg_budgets(limit, *weights)
+    return hybrid_of(dense(vectors, query, n_dense, where=where), bm25(texts, text, n_sparse, where=where), limit, guarantee)
+
+
+def two_hop(texts: DataFrame, question: str, first: int = 10, passages: int = 3, chars: int = 500, limit: int = 50, k: int = 60) -> DataFrame:
+    """(id, score, rank0, rank1): the hits of a question and of the question with its best passages, fused at k, best first.
+
+    The second query is the question, "Relevant context:" and the texts of the first `passages` hits, each cut to `chars`
+    characters and apart by `---`; only those few texts reach the driver. Without a first hit there is none at all.
+    """
+    spark = texts.sparkSession
+
+    def ask(text: str, most: int) -> DataFrame:
+        rows = bm25_batch(texts, spark.createDataFrame([(0, text)], "id long, text string"), most)
+        return materialised(rows.select("id", "score"))
+
+    one = ask(question, first)
+    best = one.orderBy(F.desc("score"), "id").limit(passages).join(texts, "id").orderBy(F.desc("score"), "id").select("text").collect()
+    context = [t if len(t) <= chars else t[:chars] + "..." for (t,) in best if t]
+    wide = question + "\n\nRelevant context:\n" + "\n---\n".join(context) if context else question
+    two = ask(wide, limit) if best else one
+    return fused([one, two], k).select("id", "score", "rank0", "rank1").orderBy(F.desc("score"), "id")
+
+
 def without_contained(hits: DataFrame) -> DataFrame:
     """Hits (path, id, start_line, end_line, ...) without those strictly inside another hit of their file.
 
@@ -222,19 +246,18 @@ def by_file(hits: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("top_score"), "path")
 
 
-def block_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
+def block_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512, slice_: int = 8192) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest vectors of each query, exactly, in blocks.
 
-    Queries are dealt into blocks; every task takes one slice of the vectors against one block, as a matrix product, and
-    keeps k rows a query; only those are shuffled to the final ranking. Both tables have id and embedding.
+    Queries are dealt into blocks, vectors into slices of bounded size; a group is one block against one slice, as a
+    matrix product, and keeps k rows a query; only those are shuffled to the final ranking. A vector is sent once for
+    each block, a query once for each slice. Both tables have id and embedding.
     """
     import numpy as np
     import pandas as pd
 
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-queries.count() // block))
+    slices = max(1, -(-vectors.count() // slice_))
     q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "id", "embedding")
     q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     v = vectors.select(F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"), "id", "embedding")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ids, vectors
-from quern.operators import pooling, search
+from quern.operators import evaluate, pooling, search
+from quern.operators.graph import shared_dir
 from quern.plans.requests import PathFilter, TextQuery
+from quern.sources.lexicon import LexicalIndex
 from quern.sources.tables import document_path, read, spread
 
 LIMIT = 20
@@ -78,11 +82,38 @@ def rrf_hybrid_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_hop_rrf60(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical searches, the second with a wider query, fused at 60."""
-    texts = _texts(spark, sf_dir)
-    legs = [search.bm25(texts, TextQuery.parse(q), 50) for q in ("worthless estion", "worthless estion thing pathetic")]
-    rows = search.fused(legs, k=60).select("id", "score", "rank0", "rank1")
-    return rows.orderBy(F.desc("score"), "id").limit(LIMIT)
+    """A question, then the question with the first hop's best passages, fused at 60."""
+    return search.two_hop(_texts(spark, sf_dir).select("id", "text"), "worthless estion", first=10, passages=3, chars=200, limit=50).limit(LIMIT)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of the documents, built once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+        _INDEXES[key] = LexicalIndex(spark, folder)
+        _INDEXES[key].build(_texts(spark, sf_dir).select("id", "text"))
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as bm25_topk, asked of the stored index."""
+    return _index(spark, sf_dir).search(TextQuery.parse("worthless estion thing"), LIMIT)
+
+
+def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as bm25_phrase, asked of the stored index."""
+    return _index(spark, sf_dir).search(TextQuery.parse(TEXT), LIMIT)
+
+
+def indexed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rrf_hybrid, its lexical leg asked of the stored index."""
+    legs = search.leg_budgets(LIMIT)
+    dense = search.dense(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), legs[0])
+    return search.hybrid_of(dense, _index(spark, sf_dir).search(TextQuery.parse(TEXT), legs[1]), LIMIT, guarantee=False)
 
 
 def _paths(spark: SparkSession, sf_dir: str, patterns: list[str], mode: str = "or") -> DataFrame:
@@ -131,28 +162,18 @@ def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    label = v.select("id", "label")
-    near = knn_all(spark, sf_dir).join(label, "id").withColumnRenamed("label", "found")
-    gold = label.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
-    return near.join(gold, "query_id").withColumn("hit", F.col("found") == F.col("wanted"))
+    label = _vectors(spark, sf_dir).select("id", "label")
+    return evaluate.graded(knn_all(spark, sf_dir), label.withColumnRenamed("id", "query_id"), label)
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries with a hit of their own label within the first k, for k of 1, 2, 5."""
-    first = _graded(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    n = _vectors(spark, sf_dir).where(F.col("id") % 20 == 0).agg(F.count(F.lit(1)).alias("n"))
-    at = first.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5)))).groupBy("k")
-    at = at.agg(F.sum((F.col("first") <= F.col("k")).cast("long")).alias("hits"))
-    return at.join(F.broadcast(n)).select("k", "hits", "n", F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
+    n = _vectors(spark, sf_dir).where(F.col("id") % 20 == 0).count()
+    return evaluate.recall(evaluate.first_hits(_graded(spark, sf_dir)), n, [1, 2, 5])
 
 
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _graded(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    return first.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
-        F.count_if(F.col("first") == 1).alias("first_hits"),
-    )
+    return evaluate.reciprocal_rank(evaluate.first_hits(_graded(spark, sf_dir)))
 
 
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_topk, dense_min_score, dense_topk_prefilter, bm25_topk, bm25_phrase, bm25_batch, bm25_statistics, rrf_hybrid,
-        rrf_hybrid_guarantee, two_hop_rrf60, path_filter_or, path_filter_and, path_filter_exclude, containment_dedup,
+        rrf_hybrid_guarantee, two_hop_rrf60, indexed_topk, indexed_phrase, indexed_hybrid, path_filter_or, path_filter_and, path_filter_exclude, containment_dedup,
         file_grouping, knn_all, recall_at_k, mrr, mean_pool, softmax_pool, last_pool, centered_norms, vector_validity,
         file_hash, segment_hash, point_uuid5,
     )
@@ -293,13 +314,27 @@ ORACLE_SQL = {
         WITH {_LEGS} SELECT p.*, {_DOC} AS path, substr(text, 1, 80) AS preview
         FROM p JOIN documents ON doc_id = id WHERE place <= 20 OR sparse_rank IS NOT NULL
     """,
+    "indexed_topk": _bm25_sql([["worthless"], ["estion"], ["thing"]], LIMIT),
+    "indexed_phrase": _bm25_sql(_PARTS, LIMIT),
+    "indexed_hybrid": f"WITH {_LEGS} SELECT * FROM p WHERE place <= 20",
     "two_hop_rrf60": f"""
-        WITH a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank0 FROM ({_bm25_sql([["worthless"], ["estion"]], 50)})),
-        b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank1
-              FROM ({_bm25_sql([["worthless"], ["estion"], ["thing"], ["pathetic"]], 50)}))
+        WITH t AS MATERIALIZED ({_TOKENS}), c AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
+        p AS MATERIALIZED (
+            SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
+        d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        w AS (SELECT id, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+                     / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) AS x FROM p JOIN d USING (term), c),
+        a AS (SELECT id, round(sum(x), 6) AS score FROM w WHERE term IN ('worthless', 'estion') GROUP BY id ORDER BY score DESC, id LIMIT 10),
+        r0 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank0 FROM a),
+        e AS (SELECT 'worthless estion' || chr(10) || chr(10) || 'Relevant context:' || chr(10) || string_agg(
+                  CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY rank0) AS q
+              FROM r0 JOIN documents ON doc_id = id WHERE rank0 < 3 AND text <> ''),
+        q AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(q)), '[\\p{{L}}\\p{{N}}_.$]+')) AS term FROM e),
+        b AS (SELECT id, round(sum(x), 6) AS score FROM w JOIN q USING (term) GROUP BY id ORDER BY score DESC, id LIMIT 50),
+        r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank1 FROM b)
         SELECT id, rank0, rank1,
                round(coalesce(1.0::DOUBLE / (rank0 + 60), 0) + coalesce(1.0::DOUBLE / (rank1 + 60), 0), 6) AS score
-        FROM a FULL JOIN b USING (id) ORDER BY score DESC, id LIMIT 20
+        FROM r0 FULL JOIN r1 USING (id) ORDER BY score DESC, id LIMIT 20
     """,
     "path_filter_or": """
         SELECT page_id, url FROM pages WHERE (contains(lower(url), 'http') AND contains(lower(url), '/en/'))
@@ -316,7 +351,7 @@ ORACLE_SQL = {
         SELECT path, k.hits, top_score, avg_score, n - k.hits AS removed
         FROM (SELECT path, count(*) AS n, max(score) AS top_score FROM h GROUP BY path)
         JOIN (SELECT path, count(*) AS hits, round(avg(score), 6) AS avg_score FROM kept GROUP BY path) k USING (path)
-        ORDER BY top_score DESC, path LIMIT 1000
+        ORDER BY top_score DESC, path
     """,
     "knn_all": f"WITH {_KNN} SELECT query_id, id, score, rank FROM k",
     "recall_at_k": f"""
