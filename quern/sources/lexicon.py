@@ -83,8 +83,10 @@ class LexicalIndex:
     @staticmethod
     def _times(places: list[Column]) -> Column:
         """How often tokens at these positions follow one another."""
-        first, *rest = places
-        follow = first
-        for k, p in enumerate(rest, 1):
-            follow = F.array_intersect(follow, F.transform(p, lambda x, k=k: x - k))
+        def back(p: Column, k: int) -> Column:
+            return F.transform(p, lambda x: x - k)
+
+        follow = places[0]
+        for k, p in enumerate(places[1:], 1):
+            follow = F.array_intersect(follow, back(p, k))
         return F.coalesce(F.array_size(follow), F.lit(0)).cast("long")
