@@ -15,6 +15,11 @@ that meets in fewer is dropped unless it meets in a large region, which is joine
 triangle inequality through the empty set) and the shingles that are left behind the first common one (through {s})
 cut the pairs further.
 
+Sieve. A set is mapped to bits by the parity of its shingles in each of as many places as it has shingles (256 at
+least): a contraction, for the bits that two sets differ in are at most the shingles that they differ in. A region of
+more than LEAF texts (and at most SIEVED) is first compared by these bits alone, a 64th of the sets: texts whose bits
+lie too far from all others leave it, and where few pairs are left they are measured as they are. What is left is dense.
+
 Regions, recursively. Regions of more than LEAF texts that overlap are joined as one, which is split level by level.
 PIVOTS of its documents become pivots, and the distances of all its texts to them are measured exactly. A text within e
 of a pivot is linked with it and belongs to its core; texts of one core are connected and need no test among each other.
@@ -60,6 +65,8 @@ NEAR = 75
 SHARED = 6
 #: Regions of at most so many texts are joined pairwise; larger ones take this many pivots on each of so many levels.
 LEAF, PIVOTS, LEVELS = 32, 4, 8
+#: Regions of at most so many texts are sieved by bits, of which a set has at least so many.
+SIEVED, LEAST_BITS = 4096, 256
 #: A split helps if it leaves at most this share of the tests.
 HELPS = 0.75
 #: Frequency in the summary from which on a region is known to be large before it is read, and is dealt to many tasks.
@@ -98,30 +105,39 @@ class Counts:
         self.keys, self.counts = merged, total
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each of 2^k places, as many as the set has shingles at least, whether it has an odd number of shingles there."""
+    places = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row (0, id, class or null, set size); at the end (1, shingle, null, count) of the frequent shingles."""
+    """For each row (0, id, class or null, set size, the set's bits where the task first sees the class); at the end
+    (1, shingle, null, count, null) of the frequent shingles."""
     seen: set[int] = set()
     summary = Counts(COUNTERS)
     for batch in batches:
-        names, sizes, fresh = [], [], []
+        names, sizes, fresh, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text)
             names.append(class_of(s) if len(s) else None)
             sizes.append(len(s))
+            bits.append(None)
             if len(s) and names[-1] not in seen:
                 seen.add(names[-1])
                 fresh.append(s)
+                bits[-1] = parity_bits(s)
         if fresh:
             summary.add(np.concatenate(fresh))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(names), np.int32)), batch.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())],
-            ["kind", "a", "b", "c"],
+            [pa.array(np.zeros(len(names), np.int32)), batch.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+            ["kind", "a", "b", "c", "bits"],
         )
     often = summary.counts >= 1
     n = int(often.sum())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(n, np.int32)), pa.array(_signed(summary.keys[often])), pa.nulls(n, pa.int64()), pa.array(summary.counts[often])],
-        ["kind", "a", "b", "c"],
+        [pa.array(np.ones(n, np.int32)), pa.array(_signed(summary.keys[often])), pa.nulls(n, pa.int64()), pa.array(summary.counts[often]), pa.nulls(n, pa.binary())],
+        ["kind", "a", "b", "c", "bits"],
     )
 
 
@@ -325,6 +341,54 @@ def _grouped(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
     return dealt.mapInArrow(stream, schema)
 
 
+def _near_bits(n: np.ndarray, bits: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which texts (sizes, bits) have another one that their bits let link with them, and those pairs (places) if at most `most`."""
+    width = np.array([len(b) for b in bits])
+    partnered, found, count = np.zeros(len(n), bool), [], 0
+    for w in np.unique(width):
+        # the sizes of texts that link are within 4/3, so the longer one has as many bits or twice as many, which fold
+        same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        who = np.r_[same, twice]
+        rows = np.stack([*(bits[i] for i in same), *(bits[i][:w] ^ bits[i][w:] for i in twice)])
+        for k, i in enumerate(same):
+            others = who[k + 1 :]
+            apart = np.bitwise_count(rows[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
+            ok = (100 + NEAR) * apart <= (100 - NEAR) * (n[others] + n[i])
+            near = others[ok & (100 * np.minimum(n[others], n[i]) >= NEAR * np.maximum(n[others], n[i]))]
+            if len(near):
+                partnered[i] = partnered[near] = True
+                count += len(near)
+                if count <= most:
+                    found.append(np.stack([np.full(len(near), i), near]))
+    if count > most:
+        return partnered, None
+    return partnered, np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+
+
+def _sieve(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A region (cell, node, n, bits): (0, node, node, 0) for the few pairs that may link, or (1, cell, node, n) for its texts
+    that may link with another one."""
+    node, n = group.column("node").to_numpy(), group.column("n").to_numpy().astype(np.int64)
+    bits = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
+    partnered, pairs = _near_bits(n, bits, max(LEAF * LEAF // 2, len(n)))
+    if pairs is None:
+        kind, a, b, c = 1, group.column("cell").to_numpy()[partnered], node[partnered], n[partnered]
+    else:
+        x, y = node[pairs[0]], node[pairs[1]]
+        kind, a, b, c = 0, np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c.astype(np.int32))], ["kind", "a", "b", "n"])
+
+
+def _sieved(big: DataFrame, bits: DataFrame) -> DataFrame:
+    """(kind, a, b, n) as _sieve makes them of large regions (cell, node, n); those of more than SIEVED texts stay whole."""
+    size = big.groupBy(F.col("cell").alias("c")).agg((F.count(F.lit(1)) <= SIEVED).alias("fits"))
+    both = big.join(size, F.col("cell") == F.col("c")).drop("c")
+    held = both.where("fits").join(bits, "node").select("cell", "node", "n", "bits")
+    whole = both.where("not fits").select(F.lit(1).alias("kind"), F.col("cell").alias("a"), F.col("node").alias("b"), "n")
+    return cut(_grouped(held, ["cell"], _sieve, "kind int, a long, b long, n int").unionByName(whole))
+
+
 def _compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Sets (kind 0: a, shingles) and pairs (kind 1: a, b) of a group: (a, b, common, total) for each pair."""
     kind = group.column("kind").to_numpy()
@@ -543,7 +607,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    survey = cut(texts.mapInArrow(_survey, "kind int, a long, b long, c long"))
+    survey = cut(texts.mapInArrow(_survey, "kind int, a long, b long, c long, bits binary"))
     heavy, counts = frequent(survey)
     only = texts.select("text")
     n = partitions(docs.sparkSession)
@@ -557,6 +621,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hot = hot.join(F.broadcast(lead), F.col("a") == F.col("k")).select(F.col("lead").alias("cell"), F.col("b").alias("node"), "n")
     big = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "n")
     big = cut(big.unionByName(hot).distinct())
+    bits = survey.where("bits IS NOT NULL").groupBy(F.col("b").alias("node")).agg(F.first("bits").alias("bits"))
+    sieved = _sieved(big, bits)
+    pairs = pairs.union(sieved.where("kind = 0").select("a", "b")).distinct()
+    big = sieved.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "n")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(big.select("node")).distinct()
     sets = cut(_sets_of(only, nodes))
     links = _links(_measured(pairs, sets))
