@@ -35,14 +35,21 @@ class Engine:
         made = chunk.chunks(todo).join(todo.select(F.col("path").alias("file_path"), "file_hash"), "file_path")
         made = made.withColumn("text", embedding_text(F.col("file_path"), F.col("type"), F.col("identifier"), F.col("parent_chain"), F.col("content")))
         made = rerank.embedded(made, self.embedder).drop("text").withColumn("id", uuid5(F.col("segment_hash")))
-        if force:
-            self.store.clear()
-        gone = changes.where("status IN ('changed', 'deleted')").select(F.col("path").alias("file_path"))
-        if old is not None and not gone.isEmpty():
-            self.store.delete_paths(materialised(gone))
-        self.store.upsert(made)
+        gone = materialised(changes.where("status IN ('changed', 'deleted')").select(F.col("path").alias("file_path")))
+        self.store.mark("incomplete")
+        try:
+            self.store.write(made if counts.get("new") or counts.get("changed") else None, gone, anew=force)
+            self.store.mark("complete")
+        except Exception:
+            self.store.mark("error")
+            raise
         return counts
 
+    def status(self) -> str:
+        """standby before the first run, indexing during one, then indexed or error."""
+        now = self.store.state()
+        return {"incomplete": "indexing", "complete": "indexed", "error": "error"}[now["state"]] if now else "standby"
+
     def search(self, query: str, paths: list[str] | None = None, limit: int | None = None, min_score: float | None = None, hybrid: bool = True) -> DataFrame:
         """Hits with their chunks, best first. The lexical leg reads the same chunks; the threshold holds for dense search."""
         rows, limit = self.store.read(), valid_limit(limit)
@@ -84,15 +91,43 @@ class Engine:
         return vertices, materialised(resolved)
 
     def call(self, root: str, patterns: list[str], depth: int | None = None) -> DataFrame:
-        """One pattern: callers and callees of its matches (direction, id, depth). Several: chains between their matches."""
+        """One pattern: the trees of callees and callers of its matches (direction, root, place, id, depth, path).
+        Several: chains between their matches."""
+        vertices, edges = self.graph(root)
+        matched = self._matched(vertices, patterns)
+        if len(patterns) > 1:
+            return graph.chains(edges, matched, depth or 10)
+        return self._trees(vertices, edges, matched, depth or 3)
+
+    def connections(self, root: str, patterns: list[str], depth: int | None = None) -> DataFrame:
+        """(kind, src, dst, length, path): the matches of patterns, the edges and chains between them, and all involved."""
         vertices, edges = self.graph(root)
+        return graph.connections(edges, self._matched(vertices, patterns), depth or 10)
+
+    def described(self, root: str, pattern: str, depth: int | None = None) -> str:
+        """The trees of each match of a pattern as text; a vertex is shown with its lines."""
+        vertices, edges = self.graph(root)
+        matched = self._matched(vertices, [pattern])
+        rows = self._trees(vertices, edges, matched, depth or 3).orderBy("root", "direction", "place").collect()  # what is shown
+        shown = {r.root for r in rows} | {r.id for r in rows} | {r.id for r in matched.select("id").collect()}
+        held = vertices.join(self.spark.createDataFrame([(i,) for i in shown], "id string"), "id") if shown else vertices.limit(0)
+        names = {r.id: f"{r.id} L{r.start_line}-{r.end_line}" for r in held.collect()}
+        out = []
+        for m in sorted(r.id for r in matched.select("id").collect()):
+            mine = {d: [(r.id, r.depth, r.path) for r in rows if r.root == m and r.direction == d] for d in ("callees", "callers")}
+            out.append(graph.described(m, mine["callees"], mine["callers"], names))
+        return "\n\n".join(out)
+
+    @staticmethod
+    def _matched(vertices: DataFrame, patterns: list[str]) -> DataFrame:
         keep = F.lit(False)
         for p in patterns:
             low = p.lower()
             keep = keep | F.col("id").rlike(glob_regex(p)) | (F.lower("id") == low) | (F.lower("name") == low)
-        matched = vertices.where(keep).select("id", "seq")
-        if len(patterns) > 1:
-            return graph.chains(edges, matched, depth or 10)
-        down = graph.bfs(edges, matched, depth or 3).withColumn("direction", F.lit("callees"))
-        up = graph.bfs(edges, matched, depth or 3, reverse=True).withColumn("direction", F.lit("callers"))
-        return down.unionByName(up).select("direction", "id", "depth")
+        return vertices.where(keep).select("id", "seq")
+
+    @staticmethod
+    def _trees(vertices: DataFrame, edges: DataFrame, matched: DataFrame, depth: int) -> DataFrame:
+        down = graph.trees(edges, matched, depth, order=vertices).withColumn("direction", F.lit("callees"))
+        up = graph.trees(edges, matched, depth, reverse=True, order=vertices).withColumn("direction", F.lit("callers"))
+        return down.unionByName(up).select("direction", "root", "place", "id", "depth", "path")

@@ -103,6 +103,17 @@ def resolve(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def imported(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """calls with their callee by an import map (name, target): its own entry, else that of what comes before its first dot."""
+    table = names.groupBy("name").agg(F.min("target").alias("target"))
+    head, rest = F.substring_index("callee", ".", 1), F.regexp_extract("callee", r"^[^.]*\.(.+)$", 1)
+    rows = calls.withColumn("__head", head).withColumn("__rest", rest)
+    rows = rows.join(table.select(F.col("name").alias("callee"), F.col("target").alias("__own")), "callee", "left")
+    rows = rows.join(table.select(F.col("name").alias("__head"), F.col("target").alias("__of_head")), "__head", "left")
+    by_head = F.when((F.col("__rest") != "") & F.col("__of_head").isNotNull(), F.concat("__of_head", F.lit("."), "__rest"))
+    return rows.withColumn("callee", F.coalesce("__own", by_head, "callee")).select(*calls.columns)
+
+
 def depends_on(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depends_on): for each vertex the distinct vertices that it calls, sorted."""
     called = adjacency(vertices, edges).groupBy(F.col("caller").alias("id")).agg(F.array_sort(F.collect_list("callee")).alias("depends_on"))

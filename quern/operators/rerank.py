@@ -26,6 +26,18 @@ class Summarizer(Protocol):
     def summarize(self, texts: pd.Series) -> pd.Series: ...
 
 
+class Highlighter(Protocol):
+    def highlight(self, query: str, texts: pd.Series) -> pd.Series: ...
+
+
+class OverlapHighlighter:
+    """The lines of a text that hold a word of the query; empty where none does."""
+
+    def highlight(self, query: str, texts: pd.Series) -> pd.Series:
+        wanted = set(re.findall(r"\w+", query.lower()))
+        return texts.map(lambda t: "\n".join(x for x in (t or "").split("\n") if wanted & set(re.findall(r"\w+", x.lower()))))
+
+
 class HashingEmbedder:
     """A deterministic embedder without a model: signed hashes of words, L2-normalised."""
 
@@ -72,6 +84,12 @@ def reranked(hits: DataFrame, query: str, scorer: Scorer, text_col: str = "text"
     return rows.orderBy(F.desc("score"), F.desc("original_score"), "id")
 
 
+def highlighted(hits: DataFrame, query: str, highlighter: Highlighter, text_col: str = "content") -> DataFrame:
+    """hits with `highlighted`; what a highlighter leaves empty is not related to the query."""
+    to = F.pandas_udf(lambda s: highlighter.highlight(query, s), "string")
+    return hits.withColumn("highlighted", to(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def cross_encoder_scores(rows: DataFrame, raw: str = "raw", by: str = "query_id") -> DataFrame:
     """rows with `score`: raw scores by 10, through a sigmoid where a query has any outside 0 to 1."""
     w = Window.partitionBy(by)

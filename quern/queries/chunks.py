@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as t
 from quern.functions.ids import content_hash
-from quern.operators import chunk, incremental
+from quern.operators import caches, chunk, incremental
 from quern.sources.tables import document_path, read
 
 
@@ -85,20 +85,21 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks whose summary is cached: by hash of the text; the cache misses ids divisible by 5 and expired by 3."""
-    blocks = read(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("code_hash"))
-    cache = blocks.where(F.col("doc_id") % 5 != 0).groupBy("code_hash").agg(F.min("doc_id").alias("cached"))
-    joined = blocks.join(cache, "code_hash", "left")
-    state = F.when(F.col("cached").isNull(), "miss").when(F.col("cached") % 3 == 0, "expired").otherwise("hit")
-    return joined.select("doc_id", "cached", state.alias("state"))
+    """Documents as blocks of their sources (files): the cache lacks ids divisible by 5, and knows those by 3 under another
+    fingerprint; the file hash of one source in seven is unchanged."""
+    docs = read(spark, sf_dir, "documents").where("source IS NOT NULL")
+    blocks = docs.select("doc_id", F.col("source").alias("file"), F.lit("now").alias("file_hash"), content_hash(F.col("text")).alias("code_hash"))
+    held = blocks.where(F.col("doc_id") % 5 != 0).groupBy("file", "code_hash").agg(F.min("doc_id").alias("first"))
+    same = F.when(F.regexp_extract("file", "([0-9]*)$", 1).cast("int") % 7 == 0, "now").otherwise("before")
+    cache = held.select(
+        "file", "code_hash", same.alias("file_hash"), F.when(F.col("first") % 3 == 0, "old").otherwise("p").alias("fingerprint"),
+        F.concat(F.lit("summary of "), F.col("first").cast("string")).alias("summary"),
+    )
+    return caches.summary_states(blocks, cache, "p").select("doc_id", "file", "summary", "state")
 
 
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary_cache_join(spark, sf_dir)
-    return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == "hit").alias("hits"),
-        F.round(F.avg((F.col("state") == "hit").cast("double")), 6).alias("rate"),
-    )
+    return caches.hit_rates(summary_cache_join(spark, sf_dir))
 
 
 def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +125,12 @@ _SNAP = f"""
                  WHEN old_hash = new_hash THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b USING (path))
 """
 _CACHE = """
-    k AS (SELECT doc_id, sha256(text) AS h FROM documents),
-    c AS (SELECT h, min(doc_id) AS cached FROM k WHERE doc_id % 5 <> 0 GROUP BY h),
-    s AS (SELECT doc_id, cached, CASE WHEN cached IS NULL THEN 'miss' WHEN cached % 3 = 0 THEN 'expired' ELSE 'hit' END AS state
-          FROM k LEFT JOIN c USING (h))
+    k AS (SELECT doc_id, source AS file, sha256(text) AS h FROM documents WHERE source IS NOT NULL),
+    c AS (SELECT file, h, min(doc_id) AS first FROM k WHERE doc_id % 5 <> 0 GROUP BY ALL),
+    g AS (SELECT DISTINCT file FROM c WHERE first % 3 <> 0 AND TRY_CAST(regexp_extract(file, '([0-9]*)$', 1) AS INTEGER) % 7 = 0),
+    t AS (SELECT doc_id, file, first, CASE WHEN g.file IS NOT NULL THEN 'hit' WHEN first IS NULL THEN 'miss' WHEN first % 3 = 0 THEN 'stale' ELSE 'hit' END AS state
+          FROM k LEFT JOIN c USING (file, h) LEFT JOIN g USING (file)),
+    s AS (SELECT doc_id, file, CASE WHEN state = 'hit' THEN 'summary of ' || first END AS summary, state FROM t)
 """
 ORACLE_SQL = {
     "line_counts": """
@@ -153,8 +156,8 @@ ORACLE_SQL = {
     """,
     "summary_cache_join": f"WITH {_CACHE} SELECT * FROM s",
     "cache_stats": f"""
-        WITH {_CACHE} SELECT count(*) AS total, CAST(count_if(state = 'hit') AS BIGINT) AS hits,
-               round(avg(CASE WHEN state = 'hit' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM s
+        WITH {_CACHE} SELECT file, count(*) AS blocks, CAST(count_if(state = 'hit') AS BIGINT) AS hits,
+               round(avg(CASE WHEN state = 'hit' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM s GROUP BY file
     """,
     "safe_filenames": r"""
         WITH n AS (SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_extract(url, '^\w+://([^/]*/[a-z]*)', 1),

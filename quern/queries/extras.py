@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quern.functions.vectors import cosine
-from quern.operators import rerank, search
+from quern.operators import caches, evaluate, graph, intervals, rerank, search
 from quern.queries.graph import edge_resolve, vertices
 from quern.queries.search import _graded, _vectors
 from quern.sources.tables import document_path, read
@@ -17,25 +15,29 @@ def smallest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For a line of each order (a file) the smallest range of lines around it, the first among equals."""
     items = read(spark, sf_dir, "lineitem")
     start = F.col("l_linenumber") * 6
-    ranges = items.select("l_orderkey", F.col("l_linenumber").alias("node"), start.alias("s"), (start + F.col("l_quantity").cast("int")).alias("e"))
+    end = start + F.col("l_quantity").cast("int")
+    ranges = items.select("l_orderkey", F.col("l_linenumber").alias("node"), F.col("l_linenumber").alias("seq"), start.alias("start_line"), end.alias("end_line"))
     lines = items.groupBy("l_orderkey").agg((F.max("l_linenumber") * 7).alias("line"))
-    inside = ranges.join(lines, "l_orderkey").where("line BETWEEN s AND e").groupBy("l_orderkey", "line")
-    best = F.min(F.struct((F.col("e") - F.col("s")).alias("span"), "node"))
-    return inside.agg(best.alias("b")).select("l_orderkey", "line", F.col("b.node").alias("node"), F.col("b.span").alias("span"))
+    return intervals.smallest_around(lines, ranges, "l_orderkey").select("l_orderkey", "line", "node", "span")
+
+
+def first_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line of an order (a file) the first of its ranges of lines around it, in the order of insertion."""
+    items = read(spark, sf_dir, "lineitem")
+    start = F.col("l_linenumber") * 6
+    end = start + F.col("l_quantity").cast("int")
+    ranges = items.select("l_orderkey", F.col("l_linenumber").alias("node"), F.col("l_linenumber").alias("seq"), start.alias("start_line"), end.alias("end_line"))
+    lines = items.select("l_orderkey", (F.col("l_linenumber") * 9).alias("line")).distinct()
+    return intervals.first_around(lines, ranges, "l_orderkey").select("l_orderkey", "line", "node")
 
 
 def component_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices by type with the first 20 of each."""
-    v = vertices(spark, sf_dir)
-    n = v.groupBy("component_type").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("component_type").orderBy("id")
-    few = v.withColumn("k", F.row_number().over(w)).where("k <= 20").groupBy("component_type")
-    return n.join(few.agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples")), "component_type")
+    return graph.examples(vertices(spark, sf_dir), "component_type", "id")
 
 
 def unresolved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edge_resolve(spark, sf_dir).where(~F.col("is_resolved")).groupBy("callee")
-    return rows.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "callee").limit(20)
+    return graph.unresolved(edge_resolve(spark, sf_dir))
 
 
 def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,15 +46,11 @@ def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def median_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle element (index n div 2) of the queries' first ranks; queries without a hit rank 6."""
-    first = _graded(spark, sf_dir).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(6)).alias("first"))
-    w = Window.orderBy("first", "query_id")
-    rows = first.withColumn("k", F.row_number().over(w) - 1).join(F.broadcast(first.agg(F.count(F.lit(1)).alias("n"))))
-    return rows.where(F.col("k") == F.floor(F.col("n") / 2)).select(F.col("first").alias("median"), "n")
+    return evaluate.median_rank(evaluate.first_hits(_graded(spark, sf_dir)), missing=6)
 
 
 def score_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _graded(spark, sf_dir).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.max("score").alias("most"))
-    return rows
+    return evaluate.spread(_graded(spark, sf_dir))
 
 
 def cross_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +71,9 @@ def nearest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     parts = v.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     table = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select(F.col("label").alias("nearest"), F.col("c.x").alias("c"))
-    near = v.join(F.broadcast(table)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("c")), 5))
-    best = F.max(F.struct("score", (-F.col("nearest")).alias("tie")))
-    return near.groupBy("id").agg(best.alias("b")).select("id", (-F.col("b.tie")).alias("nearest"), F.col("b.score").alias("score"))
+    entries = table.select(F.col("nearest").cast("long").alias("id"), F.col("c").alias("embedding"))
+    near = search.block_topk(v.select("id", F.col("embedding").cast("array<double>").alias("embedding")), entries, 1)
+    return near.select(F.col("query_id").alias("id"), F.col("id").cast("int").alias("nearest"), "score")
 
 
 def context_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,17 +89,27 @@ def file_best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents' analyses hold: cached under the same hash, of at most 10 000 characters."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.char_length("text").cast("long").alias("n"))
-    cache = docs.where("doc_id % 4 <> 0 AND n <= 10000").select(F.col("doc_id").alias("d"), F.col("h").alias("ch"))
-    joined = docs.join(cache, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("ch")), "left")
-    return joined.groupBy(F.col("d").isNotNull().alias("cached")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("file_hash"), F.char_length("text").cast("long").alias("n"))
+    # a cache that lacks ids divisible by 4, holds files of up to 10 000 characters (as nodes: ten a node), and knows those
+    # divisible by 5 under another hash and those by 7 under another fingerprint
+    stale = F.when(F.col("path") % 5 == 0, F.lit("?")).otherwise(F.col("file_hash"))
+    cache = docs.where("path % 4 <> 0").select(
+        "path", stale.alias("file_hash"), F.when(F.col("path") % 7 == 0, "old").otherwise("now").alias("fingerprint"),
+        F.ceil(F.col("n") / 10).alias("n_nodes"), F.col("n").alias("size"), F.current_timestamp().alias("analysed"),
+    )
+    held = caches.valid_analyses(cache, docs, "now").select("path", F.lit(True).alias("cached"))
+    joined = docs.join(held, "path", "left")
+    return joined.groupBy(F.coalesce("cached", F.lit(False)).alias("cached")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"))
 
 
 def imported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names by an import map: a brand's full name, or that of the part before its `#`."""
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.substring_index("p_brand", "#", 1).alias("head"))
+    """Names by an import map: brands as they are, or by what comes before their first dot."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     table = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("first")).where(F.col("first") % 2 == 0).select(F.col("p_brand").alias("b"), "first")
-    return parts.join(table, F.col("p_brand") == F.col("b"), "left").select("p_partkey", F.coalesce(F.concat("b", F.lit("@"), F.col("first").cast("string")), "head").alias("name"))
+    names = table.select(F.col("b").alias("name"), F.concat("b", F.lit("@"), F.col("first").cast("string")).alias("target"))
+    names = names.unionByName(table.where("first % 3 = 0").select(F.regexp_replace("b", "#", "").alias("name"), F.concat(F.lit("half/"), "b").alias("target")))
+    calls = parts.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(".part"))).alias("callee"))
+    return graph.imported(calls, names).select("p_partkey", F.col("callee").alias("name"))
 
 
 def hybrid_missing_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +121,7 @@ def hybrid_missing_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        smallest_enclosing, component_examples, unresolved_examples, confidence_counts, median_rank, score_spread, cross_encoder, span_scores,
+        smallest_enclosing, first_around, component_examples, unresolved_examples, confidence_counts, median_rank, score_spread, cross_encoder, span_scores,
         nearest_labels, context_headers, file_best_scores, analysis_cache, imported_names, hybrid_missing_leg,
     )
 }
@@ -131,6 +139,11 @@ def _oracles() -> dict[str, str]:
             SELECT l_orderkey, line, arg_min(node, (e - s) * 100 + node) AS node, min(e - s) AS span
             FROM r JOIN l USING (l_orderkey) WHERE line BETWEEN s AND e GROUP BY ALL
         """,
+        "first_around": """
+            WITH r AS (SELECT l_orderkey, l_linenumber AS node, l_linenumber * 6 AS s, l_linenumber * 6 + l_quantity::INTEGER AS e FROM lineitem),
+            l AS (SELECT DISTINCT l_orderkey, l_linenumber * 9 AS line FROM lineitem)
+            SELECT l_orderkey, line, min(node) AS node FROM r JOIN l USING (l_orderkey) WHERE line BETWEEN s AND e GROUP BY ALL
+        """,
         "component_examples": f"""
             WITH {g._V} SELECT component_type, max(n) AS n, string_agg(id, ',' ORDER BY id) AS examples
             FROM (SELECT *, row_number() OVER (PARTITION BY component_type ORDER BY id) AS k, count(*) OVER (PARTITION BY component_type) AS n FROM v)
@@ -157,7 +170,7 @@ def _oracles() -> dict[str, str]:
             WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
             a AS (SELECT label, i, avg(x) AS x FROM p GROUP BY ALL),
             c AS (SELECT label AS nearest, list(x ORDER BY i) AS c FROM a GROUP BY label),
-            s AS (SELECT vec_id AS id, nearest, round(list_cosine_similarity(embedding::DOUBLE[], c), 5) AS score FROM embeddings, c)
+            s AS (SELECT vec_id AS id, nearest, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS score FROM embeddings, c)
             SELECT id, nearest, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, nearest) = 1
         """,
         "context_headers": f"""
@@ -167,11 +180,14 @@ def _oracles() -> dict[str, str]:
             SELECT regexp_extract(url, '^\w+://([^/]*)', 1) AS host, max(length(html)) AS best, count(*) AS pages FROM pages GROUP BY 1
         """,
         "analysis_cache": """
-            SELECT doc_id % 4 <> 0 AND length(text) <= 10000 AS cached, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1
+            SELECT doc_id % 4 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND length(text) <= 10000 AS cached,
+                   count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1
         """,
         "imported_names": """
             WITH t AS (SELECT p_brand AS b, min(p_partkey) AS first FROM part GROUP BY 1 HAVING min(p_partkey) % 2 = 0)
-            SELECT p_partkey, coalesce(b || '@' || first, split_part(p_brand, '#', 1)) AS name FROM part LEFT JOIN t ON b = p_brand
+            SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN coalesce(b || '@' || first, p_brand)
+                                   WHEN first % 3 = 0 THEN 'half/' || b || '.part' ELSE replace(p_brand, '#', '') || '.part' END AS name
+            FROM part LEFT JOIN t ON b = p_brand
         """,
         "hybrid_missing_leg": """
             WITH d AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: (i % 7 - 3)::DOUBLE)), 6) AS s FROM embeddings),

@@ -43,9 +43,11 @@ def viz_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first call line of each caller and callee."""
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey")
-    first = F.min(F.struct("l_orderkey", "l_linenumber"))
-    return rows.agg(first.alias("f")).select("l_partkey", "l_suppkey", F.col("f.l_orderkey").alias("call_file"), F.col("f.l_linenumber").alias("call_line"))
+    calls = read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("caller"), F.col("l_suppkey").alias("callee"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")
+    )
+    rows = graph.first_lines(calls)
+    return rows.select(F.col("caller").alias("l_partkey"), F.col("callee").alias("l_suppkey"), F.col("file").alias("call_file"), F.col("line").alias("call_line"))
 
 
 def module_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +108,28 @@ def direct_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.direct(e, v.where("id <= 100"))
 
 
+def depends_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each vertex calls, as one line."""
+    rows = graph.depends_on(*_numbers(spark, sf_dir))
+    return rows.select("id", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("depends_on"))
+
+
+def all_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full answer on connections between the customers whose name ends in 77: matched, direct, chains, involved."""
+    v, e = _numbers(spark, sf_dir)
+    named = read(spark, sf_dir, "customer").where(F.col("c_name").rlike("77$")).select(F.col("c_custkey").alias("id"))
+    rows = graph.connections(e, v.join(named, "id", "left_semi"), 8)
+    return rows.select("kind", "src", "dst", "length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+def callee_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The callee trees of the first level (roots that nobody calls and whose id is below 200), depth 3."""
+    v, e = _numbers(spark, sf_dir)
+    roots = graph.degrees(v, e).where("is_root AND id < 200").select("id")
+    rows = graph.trees(e, roots, 2)
+    return rows.select("root", "id", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(*_numbers(spark, sf_dir))
 
@@ -128,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_resolve, summary_counts, viz_elements, edge_dedup, module_totals, module_distances, degree_and_roots, bfs_depth,
-        bfs_callers, shortest_path, connections, direct_connections, topo_levels, scc, glob_names,
+        bfs_callers, shortest_path, connections, direct_connections, depends_on, all_connections, callee_trees, topo_levels, scc, glob_names,
     )
 }
 
@@ -227,6 +251,35 @@ ORACLE_SQL = {
     "shortest_path": _walk("SELECT (n_nationkey + 1)::BIGINT AS src, (n_nationkey * 3 + 2)::BIGINT AS dst FROM nation", 10),
     "connections": _walk("SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id WHERE b.id <= 10", 10),
     "direct_connections": f"WITH {_N} SELECT * FROM e WHERE caller <= 100 AND callee <= 100",
+    "depends_on": f"""
+        WITH {_N} SELECT id, coalesce(d, '') AS depends_on FROM c
+        LEFT JOIN (SELECT caller, string_agg(callee::VARCHAR, ',' ORDER BY callee) AS d FROM e GROUP BY caller) ON caller = id
+    """,
+    "all_connections": f"""
+        WITH m AS (SELECT c_custkey AS id FROM customer WHERE c_name LIKE '%77'),
+        ch AS ({_walk("SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey WHERE a.c_name LIKE '%77' AND b.c_name LIKE '%77'", 8)}),
+        ed AS (WITH {_N} SELECT caller, callee FROM e WHERE caller IN (FROM m) AND callee IN (FROM m)),
+        inv AS (SELECT caller AS id FROM ed UNION SELECT callee FROM ed UNION SELECT unnest(string_split(path, '>'))::BIGINT FROM ch)
+        SELECT 'matched' AS kind, id AS src, NULL::BIGINT AS dst, NULL::INTEGER AS length, NULL::VARCHAR AS path FROM m
+        UNION ALL SELECT 'direct', caller, callee, 1, caller || '>' || callee FROM ed
+        UNION ALL SELECT 'chain', src, dst, length, path FROM ch
+        UNION ALL SELECT 'involved', id, NULL, NULL, NULL FROM inv
+    """,
+    "callee_trees": f"""
+        WITH {_N},
+        r AS (SELECT id FROM c WHERE id < 200 AND id NOT IN (SELECT callee FROM e)),
+        one AS (SELECT r.id AS root, callee AS id FROM r JOIN e ON caller = r.id)
+        SELECT root, id, 1 AS depth, root || '>' || id AS path FROM one
+        UNION ALL SELECT root, callee, 2, root || '>' || id || '>' || callee FROM one JOIN e ON caller = id
+    """,
+    "topo_levels": f"""
+        WITH RECURSIVE {_N},
+        r AS (SELECT caller AS a, callee AS b FROM e UNION SELECT r.a, e.callee FROM r JOIN e ON e.caller = r.b),
+        stuck AS (SELECT a AS id FROM r WHERE a = b UNION SELECT y.b FROM r x JOIN r y ON y.a = x.a WHERE x.a = x.b),
+        l AS (SELECT id, 0 AS level FROM c WHERE id NOT IN (SELECT callee FROM e)
+              UNION SELECT e.callee, level + 1 FROM l JOIN e ON e.caller = l.id WHERE e.callee NOT IN (FROM stuck))
+        SELECT id, max(level) AS level FROM l GROUP BY id
+    """,
     "scc": f"""
         WITH RECURSIVE {_N}, r AS (SELECT caller AS a, callee AS b FROM e WHERE caller <> callee
                                    UNION SELECT r.a, e.callee FROM r JOIN e ON e.caller = r.b)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import escape_controls, is_symbol_line
-from quern.operators import lines
+from quern.operators import lines, models
 from quern.sources.tables import read
 
 TERMS = ["worthless", "the", "estion"]
@@ -31,7 +31,7 @@ def line_highlight_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.best_lines(lines.scored(lines.lines_of(_texts(spark, sf_dir)), TERMS), least=0.6)
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("score"), 6).alias("total"))
+    return models.highlight_summary(rows.select(F.col("id").alias("file"), "score", F.lit(True).alias("kept")))
 
 
 def kept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ ORACLE_SQL = {
         FROM r JOIN l ON l.id = r.id AND l.line_number BETWEEN first_line AND last_line GROUP BY ALL
     """,
     "line_highlight_topk": f"WITH {_SCORED} SELECT id, line_number, round(score, 6) AS score FROM b",
-    "line_threshold": f"WITH {_SCORED} SELECT id, count(*) AS kept, round(sum(score), 6) AS total FROM s WHERE score >= 0.6 GROUP BY id",
+    "line_threshold": f"WITH {_SCORED} SELECT id AS file, count(*) AS kept, round(sum(score), 4) AS score FROM s WHERE score >= 0.6 GROUP BY id",
     "kept_groups": f"""
         WITH {_SCORED},
         k AS (SELECT *, line_number - row_number() OVER (PARTITION BY id ORDER BY line_number) AS island FROM b WHERE trim(line, ' ') <> ''),
@@ -126,6 +126,18 @@ ORACLE_SQL = {
         WITH {_LINES} SELECT line, count(*) AS n, count(DISTINCT id) AS docs FROM l WHERE trim(line, ' ') <> ''
         GROUP BY line ORDER BY n DESC, line LIMIT 50
     """,
+    "fuzzy_paths": r"""
+        WITH RECURSIVE f AS (SELECT DISTINCT regexp_replace(url, '^\w+://|[?#].*$', '', 'g') AS path FROM pages),
+        d AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path
+              FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM f)),
+        p AS (SELECT path, 'file' AS kind FROM f UNION ALL SELECT path, 'folder' FROM d WHERE path <> ''),
+        q AS (SELECT string_split('blogfr1', '') AS cs),
+        w AS (SELECT path, kind, 0 AS k, 0::BIGINT AS pos, 0 AS score FROM p
+              UNION ALL
+              SELECT path, kind, k + 1, nxt, score + CASE WHEN nxt = pos + 1 AND pos > 0 THEN 3 WHEN nxt = 1 OR substr(lower(path), nxt - 1, 1) IN ('/', '.', '-', '_') THEN 2 ELSE 1 END
+              FROM (SELECT w.*, pos + instr(substr(lower(path), pos + 1), cs[k + 1]) AS nxt FROM w, q WHERE k < len(cs)) x WHERE nxt > pos)
+        SELECT path, kind, score FROM w WHERE k = 7 ORDER BY score DESC, length(path), path LIMIT 20
+    """,
     "tag_sections": """
         WITH p AS (SELECT page_id, regexp_split_to_array(html, '<h[1-6]>') AS parts FROM pages),
         r AS (SELECT page_id, (i - 1)::INTEGER AS n, length(parts[i]) AS len FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,16 @@ def relative(path: Column, root: str) -> Column:
     return F.when(at > 0, F.substring(plain, at + len(bare) + 1, F.lit(1 << 20))).otherwise(plain)
 
 
+def refused(root: str) -> bool:
+    """Whether a folder is one that nobody means to read as a whole: the root of the file system, or the home folder."""
+    bare = root.split("://")[-1].rstrip("/")
+    return bare in ("", os.path.expanduser("~").rstrip("/"))
+
+
 def listing(spark: SparkSession, root: str, most: int | None = None, recursive: bool = True) -> DataFrame:
-    """(path, length, modified) of the files below root, without reading them; root and home are refused by the caller."""
+    """(path, length, modified) of the files below root, without reading them; of a refused folder only itself."""
+    if refused(root):
+        return spark.createDataFrame([(root, None, None)], "path string, length long, modified timestamp")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     rows = rows.select(relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
     return rows if most is None else rows.orderBy("path").limit(most)
@@ -54,6 +64,8 @@ def listing(spark: SparkSession, root: str, most: int | None = None, recursive:
 def scan(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, most_bytes: int = INDEX_BYTES,
          extensions: list[str] | None = None, tests: bool = True) -> DataFrame:
     """(path, text, file_hash, length) of the files that count: the length filter is pushed down to the reader."""
+    if refused(root):
+        raise ValueError(f"{root} is not indexed as a whole")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = rows.where(F.col("length") <= most_bytes).withColumn("path", relative(F.col("path"), root))
     keep = extension(F.col("path")).isin(extensions or EXTENSIONS) & ~ignore.column(F.col("path"), rules if rules is not None else ignore.default_rules())

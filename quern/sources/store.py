@@ -1,84 +1,117 @@
-"""A versioned store of chunks and vectors: every write makes a new version, a pointer row says which one counts.
+"""A versioned store of chunks and vectors in buckets of file paths: a write makes new files for the buckets that it touches.
 
-A version is a folder of Parquet files `data-<version>`; `pointer` is a small table of which the newest row counts, so a
-reader never sees half a write, and a lost executor costs a retry of a task. All access goes through Spark.
+A pointer row says which folder counts for each bucket, so a write is one commit, a reader never sees half of it, and
+untouched buckets stay as they are. The newest pointer row counts. All access goes through Spark; a lost executor costs
+a retry of a task.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from quern.functions.vectors import is_valid
-from quern.operators.incremental import latest
 
-POINTER = "version string, state string, dimension int, rows long, at timestamp"
+_ROW = "version string, state string, dimension int, rows long, schema string, parts array<struct<bucket:int,folder:string,rows:long>>"
+POINTER = f"{_ROW}, at timestamp"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-    def _pointer(self) -> DataFrame:
+    def state(self) -> dict | None:
+        """The row that counts: version, state (complete, incomplete or error), dimension, rows, schema, parts, at."""
         try:
-            return self.spark.read.schema(POINTER).parquet(f"{self.folder}/pointer")
+            row = self.spark.read.schema(POINTER).parquet(f"{self.folder}/pointer").orderBy(F.desc("at"), F.desc("version")).first()
         except AnalysisException:
-            return self.spark.createDataFrame([], POINTER)
-
-    def state(self) -> dict | None:
-        """The row that counts: version, state (complete or incomplete), dimension, rows, at."""
-        row = self._pointer().orderBy(F.desc("at"), F.desc("version")).first()
+            return None
         return row.asDict() if row else None
 
-    def _commit(self, rows: DataFrame | None, state: str, dimension: int | None) -> None:
-        version, n = uuid.uuid4().hex, 0
-        if rows is not None:
-            rows.write.parquet(f"{self.folder}/data-{version}")
-            n = self.spark.read.parquet(f"{self.folder}/data-{version}").count()
-        mark = self.spark.createDataFrame([(version if rows is not None else None, state, dimension, n)], "version string, state string, dimension int, rows long")
-        mark.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
+    def _commit(self, version: str | None, state: str, dimension: int | None, schema: str | None, parts: list) -> None:
+        row = (version, state, dimension, sum(n for *_, n in parts), schema, [tuple(p) for p in parts])
+        mark = self.spark.createDataFrame([row], _ROW).withColumn("at", F.current_timestamp())
+        mark.coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
+
+    def _bucket(self, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, now: dict, only: set[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(now["schema"]))
+        at = [f"{self.folder}/{p.folder}/bucket={p.bucket}" for p in now["parts"] if only is None or p.bucket in only]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame | None:
-        """The rows (id, file_path, embedding, ...) of the version that counts; None for an empty store."""
+        """The rows (id, file_path, embedding, ...) that count; None for a store that was never written."""
         now = self.state()
-        return self.spark.read.parquet(f"{self.folder}/data-{now['version']}") if now and now["version"] else None
+        return self._rows(now) if now and now["schema"] else None
+
+    def write(self, rows: DataFrame | None = None, gone: DataFrame | None = None, state: str = "complete", anew: bool = False) -> None:
+        """One commit: the rows of `gone` paths (file_path) leave, `rows` come by id in place of older ones.
+
+        rows are computed once, to the store's own folder, and checked there. Vectors must be finite and of the store's
+        dimension; another dimension, or `anew`, rebuilds the store.
+        """
+        version, now, dimension = uuid.uuid4().hex, self.state(), None
+        fresh, touched = None, set()
+        if rows is not None:
+            rows.write.parquet(f"{self.folder}/new-{version}")
+            fresh = self.spark.read.parquet(f"{self.folder}/new-{version}").withColumn("bucket", self._bucket(F.col("file_path")))
+            bad = F.count_if(F.col("file_path").isNull() | ~is_valid(F.col("embedding")))
+            bad, least, dimension = fresh.agg(bad, F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+            if bad:
+                raise ValueError("rows need a file_path and a finite vector")
+            if least != dimension:
+                raise ValueError("vectors differ in dimension")
+            touched |= {r[0] for r in fresh.select("bucket").distinct().collect()}  # at most `buckets` rows
+        old = None
+        if now and now["schema"] and not anew and (dimension is None or now["dimension"] in (None, dimension)):
+            old, dimension = now, dimension or now["dimension"]
+        if old is None and fresh is None:
+            return
+        kept = None
+        if old:
+            whole = self._rows(old).withColumn("bucket", self._bucket(F.col("file_path")))
+            if gone is not None:
+                touched |= {r[0] for r in gone.select(self._bucket(F.col("file_path"))).distinct().collect()}
+            if fresh is not None:  # an id may have moved to another path
+                touched |= {r[0] for r in whole.select("id", "bucket").join(fresh.select("id"), "id", "left_semi").select("bucket").distinct().collect()}
+            kept = self._rows(old, touched).withColumn("bucket", self._bucket(F.col("file_path")))
+            if gone is not None:
+                kept = kept.join(gone.select("file_path").distinct(), "file_path", "left_anti")
+            if fresh is not None:
+                kept = kept.join(fresh.select("id").distinct(), "id", "left_anti")
+        out = kept if fresh is None else fresh.dropDuplicates(["id"])
+        if kept is not None and fresh is not None:
+            out = out.unionByName(kept, allowMissingColumns=True)
+        schema, target = out.drop("bucket").schema.json(), f"{self.folder}/data-{version}"
+        out.repartition("bucket").write.partitionBy("bucket").parquet(target)
+        counts = self.spark.read.schema("file_path string, bucket int").parquet(target).groupBy("bucket").count().collect()
+        parts = [p for p in (old["parts"] if old else []) if p.bucket not in touched]
+        self._commit(version, state, dimension, schema, [*parts, *((r.bucket, f"data-{version}", r["count"]) for r in counts)])
 
     def upsert(self, rows: DataFrame, state: str = "complete") -> None:
-        """Rows by id: later ones replace earlier ones. Vectors must be finite and of the store's dimension; another
-        dimension rebuilds the store."""
-        bad = rows.where(F.col("file_path").isNull() | ~is_valid(F.col("embedding"))).limit(1).count()
-        if bad:
-            raise ValueError("rows need a file_path and a finite vector")
-        sizes = [r[0] for r in rows.select(F.size("embedding")).distinct().limit(2).collect()]
-        if len(sizes) > 1:
-            raise ValueError("vectors differ in dimension")
-        old, now = self.read(), self.state()
-        fresh = rows.withColumn("__new", F.lit(1))
-        if old is not None and sizes and now["dimension"] == sizes[0]:
-            fresh = fresh.unionByName(old.withColumn("__new", F.lit(0)), allowMissingColumns=True)
-        self._commit(latest(fresh, ["id"], [F.desc("__new")]).drop("__new"), state, sizes[0] if sizes else None)
+        self.write(rows, state=state)
 
     def delete_paths(self, paths: list[str] | DataFrame) -> None:
-        old = self.read()
-        if old is None:
-            return
         if isinstance(paths, list):
             paths = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
-        self._commit(old.join(paths.select("file_path").distinct(), "file_path", "left_anti"), "complete", self.state()["dimension"])
+        self.write(gone=paths)
 
     def clear(self) -> None:
-        old = self.read()
-        if old is not None:
-            self._commit(old.limit(0), "complete", self.state()["dimension"])
+        now = self.state()
+        if now and now["schema"]:
+            self._commit(uuid.uuid4().hex, "complete", now["dimension"], now["schema"], [])
 
     def mark(self, state: str) -> None:
-        """Marks the index complete or incomplete without touching its rows."""
-        now = self.state() or {"version": None, "dimension": None, "rows": 0}
-        row = self.spark.createDataFrame([(now["version"], state, now["dimension"], now["rows"])], "version string, state string, dimension int, rows long")
-        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
+        """Marks the index complete, incomplete or in error without touching its rows."""
+        now = self.state() or {"version": None, "dimension": None, "schema": None, "parts": []}
+        self._commit(now["version"], state, now["dimension"], now["schema"], now["parts"] or [])
 
     def has_data(self) -> bool:
         now = self.state()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 GAP = "500 milliseconds"
 
@@ -24,6 +24,27 @@ def coalesced(events: DataFrame, gap: str = GAP) -> DataFrame:
     return rows.select("path", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "type", "events")
 
 
+class Progress(StreamingQueryListener):
+    """Reports (rows of the batch, rows so far) after each batch of a stream, and (0, 0) when it waits for more or ends."""
+
+    def __init__(self, report: Callable[[int, int], None]):
+        self.report, self.seen = report, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.seen = 0
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        n = event.progress.numInputRows
+        self.seen += n
+        self.report(n, self.seen if n else 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.report(0, 0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.report(0, 0)
+
+
 def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = GAP, late: str = "10 minutes") -> StreamingQuery:
     """Runs `apply` on each batch of coalesced changes of a stream of events; later than `late` is dropped."""
     batches = coalesced(events.withWatermark("ts", late), gap)
