@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import (
+    ball_tree,
     chat_format,
     exact_dedup,
     fingerprints,
@@ -17,6 +18,8 @@ from quern.llm import (
     quality,
     sentencepiece_codec,
     sharding,
+    turn_repair,
+    word_bpe,
 )
 from quern.llm.common import documents
 
@@ -63,6 +66,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.report(documents(spark, sf_dir))
+
+
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.report(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(documents(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -74,8 +89,26 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_ball_tree": op12_ball_tree,
+    "op13_turn_repair": op13_turn_repair,
 }
 
+def _rounds(n: int) -> str:
+    """Assignments a1 to a(n+1) to the centroids c0 to c(n), each round's means floored; for WITH, after points and c0."""
+    step = """a{next} AS (
+            SELECT r, (min((d, c)))[1] AS d, (min((d, c)))[2] AS c
+            FROM (SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM points JOIN c{k} USING (i) GROUP BY r, c) GROUP BY r),
+        """
+    means = """c{next} AS (
+            SELECT c, i, coalesce(m, y) AS y
+            FROM c{k} LEFT JOIN (
+                SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS m
+                FROM a{next} JOIN points USING (r) GROUP BY c, i) USING (c, i)),
+        """
+    return "".join(step.format(k=k, next=k + 1) + (means.format(k=k, next=k + 1) if k < n else "") for k in range(n + 1))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
         WITH c AS (
@@ -188,4 +221,96 @@ ORACLE_SQL: dict[str, str] = {
                CAST(CASE WHEN paged THEN least(fits, n - (k // fits) * fits) * n_bytes ELSE bucket END AS BIGINT) AS shard_bytes
         FROM placed
     """,
+    "op12_ball_tree": """
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id,
+                   list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        points AS (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept),
+        c0 AS (
+            SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS y
+            FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept)
+            WHERE c < 16),
+    """
+    + _rounds(3)
+    + """
+        own AS (SELECT *, sum(d) OVER (PARTITION BY c) AS cluster_inertia, sum(d) OVER () AS inertia FROM a4),
+        named AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, cluster_inertia::BIGINT AS cluster_inertia,
+               inertia::BIGINT AS inertia, centroid_sha256
+        FROM own JOIN kept USING (r) JOIN named USING (c)
+    """,
+    "op13_turn_repair": r"""
+        WITH RECURSIVE o AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                  lambda x: ascii(x)::BIGINT) AS name
+            FROM conversations),
+        k AS (
+            SELECT *, xor(list_reduce(name, lambda h, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+                       lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(h, b)),
+                       4294967295::BIGINT), 4294967295) % 20 AS kind FROM o),
+        d AS (
+            SELECT conv_id, turn, copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k)),
+        n AS (
+            SELECT *, row_number() OVER w AS pos, lag(left(role, 1)) OVER w AS before,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                   regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare
+            FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        f AS (
+            SELECT *, left(role, 1) AS a,
+                   CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+            FROM n),
+        ids AS (SELECT DISTINCT conv_id FROM conversations),
+        v AS (
+            SELECT conv_id, 0::BIGINT AS pos, {c: 0, a: ''} AS e, {c: 1000000, a: ''} AS s, {c: 2, a: 'I'} AS u, {c: 4, a: 'II'} AS z FROM ids
+            UNION ALL
+            SELECT conv_id, pos, e, s, u, least(z, {c: u.c + 2, a: u.a || 'I'}) FROM (
+                SELECT conv_id, pos, e, s, z, least(u, {c: e.c + 2, a: e.a || 'I'}, {c: s.c + 2, a: s.a || 'I'}, {c: z.c + 2, a: z.a || 'I'}) AS u
+                FROM (
+                    SELECT v.conv_id, f.pos,
+                           {c: e.c + 3, a: e.a || 'D'} AS e,
+                           least({c: s.c + 3, a: s.a || 'D'}, {c: e.c + t + CASE WHEN f.a = 's' THEN no ELSE 1000000 END, a: e.a || 'K'}) AS s,
+                           least({c: u.c + 3, a: u.a || 'D'},
+                                 {c: e.c + t + 2 + no, a: e.a || 'R'}, {c: s.c + t + 2 + no, a: s.a || 'R'}, {c: z.c + t + 2 + no, a: z.a || 'R'},
+                                 {c: e.c + t + nu, a: e.a || 'K'}, {c: s.c + t + nu, a: s.a || 'K'}, {c: z.c + t + nu, a: z.a || 'K'}) AS u,
+                           least({c: z.c + 3, a: z.a || 'D'}, {c: u.c + t + 2 + no, a: u.a || 'R'},
+                                 {c: u.c + t + CASE WHEN f.a = 'a' THEN no ELSE 1000000 END, a: u.a || 'K'}) AS z
+                    FROM v JOIN (
+                        SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS t, CASE WHEN fault IN ('b', 'd') THEN 1000000 ELSE 0 END AS no,
+                               CASE WHEN a = 'u' AND fault NOT IN ('b', 'd') THEN 0 ELSE 1000000 END AS nu FROM f) f
+                    ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos + 1))),
+        best AS (SELECT conv_id, least(e, z) AS w FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+        edits AS (
+            SELECT conv_id, generate_subscripts(string_split(w.a, ''), 1) AS p, unnest(string_split(w.a, '')) AS edit
+            FROM best WHERE w.a <> ''),
+        placed AS (
+            SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS pos,
+                   count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS j
+            FROM edits),
+        lines AS (
+            SELECT y.conv_id, y.p, y.edit, y.j, f.role, CASE WHEN y.edit = 'I' THEN '' ELSE f.text END AS text,
+                   max(CASE WHEN y.j = 1 AND y.edit = 'K' AND f.a = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS led
+            FROM placed y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.pos = y.pos
+            WHERE y.edit <> 'D'),
+        said AS (
+            SELECT conv_id, sha256(string_agg(
+                CASE WHEN edit = 'K' THEN role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS h
+            FROM lines GROUP BY conv_id),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+                   count(*) FILTER (WHERE fault = 't') AS truncated,
+                   count(*) FILTER (WHERE before IS NOT NULL AND before || a NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+               coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, b.w.c::BIGINT AS cost, b.w.a AS audit,
+               coalesce(s.h, sha256('')) AS repaired_sha256
+        FROM ids i JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+        LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+        LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+    """,
 }
