@@ -19,17 +19,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE = "kind string, id string, name string, component_type string, path string, start_line int, end_line int, parameters array<string>, callee string, call_line int, language string"
-#: Names that are not worth an edge (fixed values): callables every program of the language has.
+#: Callables of a language that are not worth an edge. A language that is not here filters nothing.
 BUILTINS = {
-    "python": set("print len range enumerate zip map filter sorted reversed sum min max abs any all isinstance issubclass hasattr getattr setattr int float str bool list dict set tuple bytes open repr type super iter next input format id hash vars".split()),
-    "javascript": set("console.log console.error console.warn parseInt parseFloat setTimeout setInterval clearTimeout clearInterval require Array Object String Number Boolean Promise Map Set Error Symbol JSON.parse JSON.stringify Math.max Math.min Math.floor Object.keys Object.entries Object.assign Array.isArray".split()),
-    "go": set("append cap close complex copy delete len make new panic print println recover".split()),
-    "rust": set("println! print! format! vec! panic! assert! Some Ok Err Box::new Vec::new String::from".split()),
-    "c": set("printf fprintf sprintf malloc calloc realloc free memcpy memset strlen strcmp sizeof exit".split()),
-    "java": set("System.out.println System.out.print String.format Math.max Math.min".split()),
-}
+    "python": """
+        print input open str int float bool list dict tuple set frozenset bytes bytearray complex bin oct hex range
+        enumerate zip reversed sorted filter map len max min sum abs round pow divmod isinstance issubclass hasattr
+        getattr setattr delattr type callable dir vars id hash repr ascii next iter any all chr ord format eval exec
+        compile staticmethod classmethod property super object slice help
+    """,
+    "javascript": """
+        setTimeout setInterval clearTimeout clearInterval setImmediate clearImmediate queueMicrotask parseInt parseFloat
+        isNaN isFinite String Number Boolean BigInt Symbol encodeURI decodeURI encodeURIComponent decodeURIComponent
+        btoa atob eval fetch alert confirm prompt requestAnimationFrame cancelAnimationFrame requestIdleCallback
+        cancelIdleCallback Array Object Map Set WeakMap WeakSet Promise Proxy Reflect Error TypeError RangeError
+        SyntaxError Date RegExp require console.log console.error console.warn console.info console.debug console.trace
+        console.table console.time console.timeEnd console.assert JSON.parse JSON.stringify Math.abs Math.floor
+        Math.ceil Math.round Math.trunc Math.max Math.min Math.random Math.sqrt Math.pow Object.keys Object.values
+        Object.entries Object.assign Object.fromEntries Object.create Object.freeze Array.from Array.isArray Array.of
+        Promise.resolve Promise.reject Promise.all Promise.race Promise.allSettled Promise.any Number.isNaN
+        Number.isFinite Number.isInteger Number.parseFloat Number.parseInt
+    """,
+    "go": "append cap close copy delete len make new panic print println recover",
+    "c": """
+        printf scanf sprintf sscanf fprintf fscanf malloc calloc realloc free strlen strcpy strncpy strcmp strcat strncat
+        memcpy memmove memcmp memset assert exit abort atoi atof atol pow sqrt sin cos tan abs
+    """,
+}
+BUILTINS = {language: frozenset(names.split()) for language, names in BUILTINS.items()}
 BUILTINS["typescript"] = BUILTINS["javascript"]
-BUILTINS["cpp"] = BUILTINS["c"]
+#: Receivers that stand for the object of the method itself.
+OWN = ("self.", "this.")
 
 
 @dataclass
@@ -114,7 +133,7 @@ def python_file(path: str, text: str) -> Parsed:
             for n in node.names:
                 imports[n.asname or n.name] = f"{base}.{n.name}"
         elif isinstance(node, ast.Call) and (name := dotted(node.func)):
-            calls.append(("", name.removeprefix("self."), node.lineno))
+            calls.append(("", name, node.lineno))
     return Parsed(nodes, calls, imports)
 
 
@@ -171,7 +190,7 @@ def brace_file(path: str, text: str) -> Parsed:
     for m in _CALL.finditer(plain):
         name = re.sub(r"\s+", "", m[1])
         if name.split(".")[0] not in _KEYWORDS and (m.start(1), name) not in heads:
-            calls.append(("", name.removeprefix("this.").replace("::", "."), line(m.start())))
+            calls.append(("", name.replace("::", "."), line(m.start())))
     imports = {}
     for pattern in _IMPORTS:
         for m in pattern.finditer(text):
@@ -203,6 +222,8 @@ def parsed(path: str, text: str, language: str) -> Parsed:
             continue
         node = enclosing(p.nodes, at)
         top = top or node is None
+        for own in OWN:
+            callee = callee.removeprefix(own)
         calls.append((node.id if node else module_of(path), named(callee, p.imports, local), at))
     if top:
         name = module_of(path)
@@ -229,14 +250,23 @@ def analysed(files: DataFrame) -> DataFrame:
     return files.select("path", "text", "language").mapInPandas(work, NODE)
 
 
+def in_order(definitions: DataFrame) -> DataFrame:
+    """definitions (id, path, start_line, end_line) with seq, their order of insertion: by file, then line, the outer first.
+
+    seq is a struct that compares in that order, so nothing is numbered and nothing moves.
+    """
+    return definitions.withColumn("seq", F.struct("path", "start_line", (-F.col("end_line")).alias("outer"), "id"))
+
+
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, seq, name, component_type, path, start_line, end_line) and raw edges (caller, callee, call_line)."""
+    """Vertices (id, seq, name, component_type, path, start_line, end_line) and raw edges (caller, callee, call_line).
+
+    Of definitions of one id the last one counts, at the place of the first (`in_order`), as an insertion into a map does.
+    """
     rows = analysed(files)
-    seq = F.xxhash64("path", "start_line", "id")
-    vertices = rows.where("kind = 'node'").groupBy("id").agg(
-        F.min(F.struct(F.col("path"), F.col("start_line"), "name", "component_type", "end_line")).alias("f")
-    )
-    vertices = vertices.select("id", "f.*").withColumn("seq", seq)
+    one = F.struct("seq", "path", "start_line", "end_line", "name", "component_type")
+    nodes = in_order(rows.where("kind = 'node'")).groupBy("id").agg(F.max(one).alias("f"), F.min("seq").alias("seq"))
+    vertices = nodes.select("id", "seq", "f.name", "f.component_type", "f.path", "f.start_line", "f.end_line")
     edges = rows.where("kind = 'call'").groupBy(F.col("id").alias("caller"), "callee").agg(F.min("call_line").alias("call_line"))
     return vertices, edges
 

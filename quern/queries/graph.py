@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import graph
+from quern.operators import graph, parse
 from quern.sources.tables import read
 
 _ID = "concat('src', p % 5, '/lib', p % 11, '/mod', p % 17, '.F', p % 97, '_', p % 3)"
@@ -122,6 +122,18 @@ def all_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", "src", "dst", "length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+def chains_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains between the customers whose name ends in 3, as definitions in the files of their nations: their order is
+    that of file and line, which is not that of their ids."""
+    _, e = _numbers(spark, sf_dir)
+    lines = (F.lit(1000) - F.col("c_custkey") % 1000).cast("int")
+    found = read(spark, sf_dir, "customer").where(F.col("c_name").rlike("3$")).select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("src/n"), F.col("c_nationkey"), F.lit(".py")).alias("path"), lines.alias("start_line"), lines.alias("end_line")
+    )
+    rows = graph.chains(e, parse.in_order(found), 6)
+    return rows.select("src", "dst", "length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 def callee_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The callee trees of the first level (roots that nobody calls and whose id is below 200), depth 3."""
     v, e = _numbers(spark, sf_dir)
@@ -152,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_resolve, summary_counts, viz_elements, edge_dedup, module_totals, module_distances, degree_and_roots, bfs_depth,
-        bfs_callers, shortest_path, connections, direct_connections, depends_on, all_connections, callee_trees, topo_levels, scc, glob_names,
+        bfs_callers, shortest_path, connections, direct_connections, depends_on, all_connections, chains_in_order, callee_trees, topo_levels, scc, glob_names,
     )
 }
 
@@ -192,10 +204,10 @@ _N = """
 """
 
 
-def _walk(pairs: str, longest: int) -> str:
+def _walk(pairs: str, longest: int, more: str = "") -> str:
     """Least shortest paths by breadth-first rounds over sets of paths."""
     return f"""
-        WITH RECURSIVE {_N}, w AS ({pairs}),
+        WITH RECURSIVE {_N}, {more} w AS ({pairs}),
         p AS (
             SELECT DISTINCT src, src AS here, 0 AS length, [src] AS path FROM w
             UNION ALL
@@ -250,6 +262,9 @@ ORACLE_SQL = {
     """,
     "shortest_path": _walk("SELECT (n_nationkey + 1)::BIGINT AS src, (n_nationkey * 3 + 2)::BIGINT AS dst FROM nation", 10),
     "connections": _walk("SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id WHERE b.id <= 10", 10),
+    "chains_in_order": _walk(
+        """SELECT a.id AS src, b.id AS dst FROM m a JOIN m b ON (a.path, a.line, a.id) < (b.path, b.line, b.id)""", 6,
+        "m AS (SELECT c_custkey AS id, 'src/n' || c_nationkey || '.py' AS path, 1000 - c_custkey % 1000 AS line FROM customer WHERE c_name LIKE '%3'),"),
     "direct_connections": f"WITH {_N} SELECT * FROM e WHERE caller <= 100 AND callee <= 100",
     "depends_on": f"""
         WITH {_N} SELECT id, coalesce(d, '') AS depends_on FROM c
