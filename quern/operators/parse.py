@@ -253,9 +253,10 @@ def analysed(files: DataFrame) -> DataFrame:
 def in_order(definitions: DataFrame) -> DataFrame:
     """definitions (id, path, start_line, end_line) with seq, their order of insertion: by file, then line, the outer first.
 
-    seq is a struct that compares in that order, so nothing is numbered and nothing moves.
+    seq is a string that compares in that order, so nothing is numbered and nothing moves.
     """
-    return definitions.withColumn("seq", F.struct("path", "start_line", (-F.col("end_line")).alias("outer"), "id"))
+    place = F.format_string("%010d%010d", F.col("start_line"), F.lit(2**31 - 1) - F.col("end_line"))
+    return definitions.withColumn("seq", F.concat("path", F.lit("\0"), place, "id"))
 
 
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:

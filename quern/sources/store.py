@@ -1,42 +1,51 @@
-"""A versioned store of chunks and vectors in buckets of file paths: a write makes new files for the buckets that it touches.
+"""A transactional store of chunks and vectors in buckets of file paths: a write makes new files for the buckets it touches.
 
-A pointer row says which folder counts for each bucket, so a write is one commit, a reader never sees half of it, and
-untouched buckets stay as they are. The newest pointer row counts. All access goes through Spark; a lost executor costs
-a retry of a task.
+An entry of the commit log says which folder counts for each bucket, so a write is one commit, a reader never sees half
+of it, and untouched buckets stay as they are. Two writers lose nothing: the one that comes second keeps its files if
+the other touched neither its buckets nor its ids, and works on the new state otherwise. A batch of a stream that is
+replayed changes nothing. Folders that no kept entry names leave with `expire`. All rows move through Spark; a lost
+executor costs a retry of a task.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from quern.functions.vectors import is_valid
+from quern.sources.commits import RETRIES, Conflict, Log
 
-_ROW = "version string, state string, dimension int, rows long, schema string, parts array<struct<bucket:int,folder:string,rows:long>>"
-POINTER = f"{_ROW}, at timestamp"
+
+class Part(NamedTuple):
+    bucket: int
+    folder: str
+    rows: int
 
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.log = Log(spark, self.folder)
 
-    def state(self) -> dict | None:
-        """The row that counts: version, state (complete, incomplete or error), dimension, rows, schema, parts, at."""
-        try:
-            row = self.spark.read.schema(POINTER).parquet(f"{self.folder}/pointer").orderBy(F.desc("at"), F.desc("version")).first()
-        except AnalysisException:
+    @staticmethod
+    def _opened(entry: dict | None) -> dict | None:
+        if entry is None:
             return None
-        return row.asDict() if row else None
+        return {"version": entry["version"], **entry["state"], "parts": [Part(*p) for p in entry["state"]["parts"]]}
+
+    def state(self, version: int | None = None) -> dict | None:
+        """What counts now, or counted at a version that is still kept: version, state (complete, incomplete or error),
+        dimension, rows, schema, parts."""
+        return self._opened(self.log.latest() if version is None else self.log.read(version))
 
-    def _commit(self, version: str | None, state: str, dimension: int | None, schema: str | None, parts: list) -> None:
-        row = (version, state, dimension, sum(n for *_, n in parts), schema, [tuple(p) for p in parts])
-        mark = self.spark.createDataFrame([row], _ROW).withColumn("at", F.current_timestamp())
-        mark.coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
+    @staticmethod
+    def _said(state: str, dimension: int | None, schema: str | None, parts: list[Part]) -> dict:
+        return {"state": state, "dimension": dimension, "rows": sum(p.rows for p in parts), "schema": schema, "parts": [list(p) for p in parts]}
 
     def _bucket(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
@@ -46,42 +55,82 @@ class Store:
         at = [f"{self.folder}/{p.folder}/bucket={p.bucket}" for p in now["parts"] if only is None or p.bucket in only]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
-    def read(self) -> DataFrame | None:
+    def read(self, version: int | None = None) -> DataFrame | None:
         """The rows (id, file_path, embedding, ...) that count; None for a store that was never written."""
-        now = self.state()
+        now = self.state(version)
         return self._rows(now) if now and now["schema"] else None
 
-    def write(self, rows: DataFrame | None = None, gone: DataFrame | None = None, state: str = "complete", anew: bool = False) -> None:
+    def write(
+        self,
+        rows: DataFrame | None = None,
+        gone: DataFrame | None = None,
+        state: str = "complete",
+        anew: bool = False,
+        batch: tuple[str, int] | None = None,
+    ) -> None:
         """One commit: the rows of `gone` paths (file_path) leave, `rows` come by id in place of older ones.
 
         rows are computed once, to the store's own folder, and checked there. Vectors must be finite and of the store's
-        dimension; another dimension, or `anew`, rebuilds the store.
+        dimension; another dimension, or `anew`, rebuilds the store. A `batch` (stream, number) that is in already, or
+        one of a higher number of its stream, makes this a no-op.
         """
-        version, now, dimension = uuid.uuid4().hex, self.state(), None
-        fresh, touched = None, set()
-        if rows is not None:
-            rows.write.parquet(f"{self.folder}/new-{version}")
-            fresh = self.spark.read.parquet(f"{self.folder}/new-{version}").withColumn("bucket", self._bucket(F.col("file_path")))
-            bad = F.count_if(F.col("file_path").isNull() | ~is_valid(F.col("embedding")))
-            bad, least, dimension = fresh.agg(bad, F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-            if bad:
-                raise ValueError("rows need a file_path and a finite vector")
-            if least != dimension:
-                raise ValueError("vectors differ in dimension")
-            touched |= {r[0] for r in fresh.select("bucket").distinct().collect()}  # at most `buckets` rows
-        old = None
-        if now and now["schema"] and not anew and (dimension is None or now["dimension"] in (None, dimension)):
-            old, dimension = now, dimension or now["dimension"]
-        if old is None and fresh is None:
+        if self.log.has(batch, self.log.latest()):
             return
+        staged, fresh, dimension = f"new-{uuid.uuid4().hex}", None, None
+        try:
+            if rows is not None:
+                rows.write.parquet(f"{self.folder}/{staged}")
+                fresh = self.spark.read.parquet(f"{self.folder}/{staged}").withColumn("bucket", self._bucket(F.col("file_path")))
+                bad = F.count_if(F.col("file_path").isNull() | ~is_valid(F.col("embedding")))
+                bad, least, dimension = fresh.agg(bad, F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+                if bad:
+                    raise ValueError("rows need a file_path and a finite vector")
+                if least != dimension:
+                    raise ValueError("vectors differ in dimension")
+            self._merge(fresh, gone, dimension, state, anew, batch)
+        finally:
+            self.log.remove(staged)
+
+    def _merge(self, fresh: DataFrame | None, gone: DataFrame | None, dimension: int | None, state: str, anew: bool, batch: tuple[str, int] | None) -> None:
+        for _ in range(RETRIES):
+            entry = self.log.latest()
+            if self.log.has(batch, entry):
+                return
+            now = self._opened(entry)
+            made = self._made(now, fresh, gone, dimension, anew)
+            if made is None:
+                return
+            target, touched, dim, schema, parts, old = made
+            while True:
+                kept = [p for p in (now["parts"] if old else []) if p.bucket not in touched]
+                try:
+                    self.log.create(entry, self._said(state, dim, schema, kept + parts), batch)
+                    return
+                except Conflict:
+                    entry, before = self.log.latest(), now
+                    now = self._opened(entry)
+                    if self.log.has(batch, entry) or not (old and self._apart(before, now, touched, fresh, schema)):
+                        break
+            self.log.remove(target)
+        raise Conflict("too many writers")
+
+    def _made(self, now: dict | None, fresh: DataFrame | None, gone: DataFrame | None, dimension: int | None, anew: bool) -> tuple | None:
+        """Writes the buckets that change: (folder, buckets touched, dimension, schema, new parts, whether the old count)."""
+        touched: set[int] = set()
+        if fresh is not None:
+            touched |= {r[0] for r in fresh.select("bucket").distinct().collect()}  # at most `buckets` rows
+        old = bool(now and now["schema"] and not anew and (dimension is None or now["dimension"] in (None, dimension)))
+        if not old and fresh is None:
+            return None
         kept = None
         if old:
-            whole = self._rows(old).withColumn("bucket", self._bucket(F.col("file_path")))
+            dimension = dimension or now["dimension"]
+            whole = self._rows(now).withColumn("bucket", self._bucket(F.col("file_path")))
             if gone is not None:
                 touched |= {r[0] for r in gone.select(self._bucket(F.col("file_path"))).distinct().collect()}
             if fresh is not None:  # an id may have moved to another path
                 touched |= {r[0] for r in whole.select("id", "bucket").join(fresh.select("id"), "id", "left_semi").select("bucket").distinct().collect()}
-            kept = self._rows(old, touched).withColumn("bucket", self._bucket(F.col("file_path")))
+            kept = self._rows(now, touched).withColumn("bucket", self._bucket(F.col("file_path")))
             if gone is not None:
                 kept = kept.join(gone.select("file_path").distinct(), "file_path", "left_anti")
             if fresh is not None:
@@ -89,14 +138,22 @@ class Store:
         out = kept if fresh is None else fresh.dropDuplicates(["id"])
         if kept is not None and fresh is not None:
             out = out.unionByName(kept, allowMissingColumns=True)
-        schema, target = out.drop("bucket").schema.json(), f"{self.folder}/data-{version}"
-        out.repartition("bucket").write.partitionBy("bucket").parquet(target)
-        counts = self.spark.read.schema("file_path string, bucket int").parquet(target).groupBy("bucket").count().collect()
-        parts = [p for p in (old["parts"] if old else []) if p.bucket not in touched]
-        self._commit(version, state, dimension, schema, [*parts, *((r.bucket, f"data-{version}", r["count"]) for r in counts)])
-
-    def upsert(self, rows: DataFrame, state: str = "complete") -> None:
-        self.write(rows, state=state)
+        schema, target = out.drop("bucket").schema.json(), f"data-{uuid.uuid4().hex}"
+        out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{target}")
+        counts = self.spark.read.schema("file_path string, bucket int").parquet(f"{self.folder}/{target}").groupBy("bucket").count().collect()
+        return target, touched, dimension, schema, [Part(r["bucket"], target, r["count"]) for r in counts], old
+
+    def _apart(self, before: dict, now: dict, touched: set[int], fresh: DataFrame | None, schema: str) -> bool:
+        """Whether what others committed since `before` leaves a write on other buckets as it is."""
+        if (now["schema"], now["dimension"]) != (before["schema"], before["dimension"]) or now["schema"] != schema:
+            return False
+        changed = {p.bucket for p in set(now["parts"]) ^ set(before["parts"])}
+        if changed & touched:
+            return False
+        return fresh is None or not changed or self._rows(now, changed).join(fresh.select("id"), "id", "left_semi").isEmpty()
+
+    def upsert(self, rows: DataFrame, state: str = "complete", batch: tuple[str, int] | None = None) -> None:
+        self.write(rows, state=state, batch=batch)
 
     def delete_paths(self, paths: list[str] | DataFrame) -> None:
         if isinstance(paths, list):
@@ -104,14 +161,15 @@ class Store:
         self.write(gone=paths)
 
     def clear(self) -> None:
-        now = self.state()
-        if now and now["schema"]:
-            self._commit(uuid.uuid4().hex, "complete", now["dimension"], now["schema"], [])
+        self.log.update(lambda now: self._said("complete", now["dimension"], now["schema"], []) if now and now["schema"] else None)
 
     def mark(self, state: str) -> None:
         """Marks the index complete, incomplete or in error without touching its rows."""
-        now = self.state() or {"version": None, "dimension": None, "schema": None, "parts": []}
-        self._commit(now["version"], state, now["dimension"], now["schema"], now["parts"] or [])
+        self.log.update(lambda now: (now or self._said(state, None, None, [])) | {"state": state})
+
+    def expire(self, keep: int = 5, grace: float = 3600.0) -> list[str]:
+        """Keeps the last versions, and removes the folders that only older ones name; gives their names."""
+        return self.log.expire(lambda s: {p[1] for p in s["parts"]}, keep, grace)
 
     def has_data(self) -> bool:
         now = self.state()
