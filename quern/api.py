@@ -12,8 +12,9 @@ from quern.operators import chunk, graph, incremental, lines, parse, rerank, sea
 from quern.operators.graph import materialised
 from quern.operators.parse import outline_text
 from quern.plans.config import Config, query_prefix
-from quern.plans.requests import PathFilter, TextQuery, effective_min_score, glob_regex, valid_limit
+from quern.plans.requests import PathFilter, TextQuery, effective_min_score, glob_regex, leg_budgets, valid_limit
 from quern.sources import corpus
+from quern.sources.lexicon import LexicalIndex
 from quern.sources.store import Store
 
 
@@ -21,9 +22,11 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, config: Config | None = None, embedder: rerank.Embedder | None = None):
         self.spark, self.config = spark, config or Config()
         self.store, self.embedder = Store(spark, store), embedder or rerank.HashingEmbedder(self.config.dimension)
+        self.lexicon = LexicalIndex(spark, f"{store.rstrip('/')}/_lexicon")
 
     def index(self, root: str, force: bool = False, dry_run: bool = False) -> dict[str, int]:
-        """Brings the store up to date with a tree; files whose hash has not changed are not parsed. Counts by status."""
+        """Brings the store and the lexical index up to date with a tree; files whose hash has not changed are not parsed.
+        Counts by status."""
         files = materialised(corpus.scan(self.spark, root, most_bytes=self.config.file_bytes))
         old = None if force else self.store.read()
         known = self.spark.createDataFrame([], "path string, file_hash string") if old is None else old.select(F.col("file_path").alias("path"), "file_hash").distinct()
@@ -36,9 +39,21 @@ class Engine:
         made = made.withColumn("text", embedding_text(F.col("file_path"), F.col("type"), F.col("identifier"), F.col("parent_chain"), F.col("content")))
         made = rerank.embedded(made, self.embedder).drop("text").withColumn("id", uuid5(F.col("segment_hash")))
         gone = materialised(changes.where("status IN ('changed', 'deleted')").select(F.col("path").alias("file_path")))
+        fresh = bool(counts.get("new") or counts.get("changed"))
+        left = None if old is None else materialised(old.join(gone, "file_path", "left_semi").select("id"))
+        before = self.store.state()
         self.store.mark("incomplete")
         try:
-            self.store.write(made if counts.get("new") or counts.get("changed") else None, gone, anew=force)
+            self.store.write(made if fresh else None, gone, state="incomplete", anew=force)
+            rows, now = self.store.read(), self.store.state()
+            if rows is not None:
+                texts = rows.select("id", "file_path", F.col("content").alias("text"))
+                if left is None or before["dimension"] != now["dimension"] or not self.lexicon.exists():
+                    self.lexicon.build(texts.select("id", "text"))
+                elif fresh or counts.get("deleted"):
+                    came = texts.join(todo.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+                    self.lexicon.upsert(came.select("id", "text"), left)
+                    self.lexicon.merge()
             self.store.mark("complete")
         except Exception:
             self.store.mark("error")
@@ -51,7 +66,8 @@ class Engine:
         return {"incomplete": "indexing", "complete": "indexed", "error": "error"}[now["state"]] if now else "standby"
 
     def search(self, query: str, paths: list[str] | None = None, limit: int | None = None, min_score: float | None = None, hybrid: bool = True) -> DataFrame:
-        """Hits with their chunks, best first. The lexical leg reads the same chunks; the threshold holds for dense search."""
+        """Hits with their chunks, best first. The lexical leg asks the stored index and reads no text; the threshold holds
+        for dense search."""
         rows, limit = self.store.read(), valid_limit(limit)
         if rows is None:
             raise ValueError("the index is empty")
@@ -59,8 +75,9 @@ class Engine:
         where = PathFilter.compile(paths).column(F.col("file_path"), c.include_mode)
         vector = self.embedder.embed(pd.Series([query_prefix(query, c.provider, c.model)]))[0]
         if hybrid:
-            texts = rows.select("id", "file_path", F.col("content").alias("text"))
-            hits = search.hybrid(rows, texts, vector, TextQuery.parse(query), limit, c.sparse_guarantee, (c.dense_weight, c.sparse_weight), where)
+            n_dense, n_sparse = leg_budgets(limit, c.dense_weight, c.sparse_weight)
+            sparse = self.lexicon.search(TextQuery.parse(query), n_sparse, rows.where(where).select("id") if paths else None)
+            hits = search.hybrid_of(search.dense(rows, vector, n_dense, where=where), sparse, limit, c.sparse_guarantee)
         else:
             hits = search.dense(rows, vector, limit, effective_min_score(min_score, c.search_min_score), where)
         payload = rows.select("id", F.col("file_path").alias("path"), "start_line", "end_line", "type", "identifier", "hierarchy_display", "content")

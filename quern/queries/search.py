@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from quern.functions import ids, vectors
 from quern.operators import evaluate, pooling, search
 from quern.operators.graph import shared_dir
 from quern.plans.requests import PathFilter, TextQuery
+from quern.sources.ann import MOST_LISTS, VectorIndex
 from quern.sources.lexicon import LexicalIndex
-from quern.sources.tables import document_path, read, spread
+from quern.sources.tables import document_path, read, snapshot, spread
 
 LIMIT = 20
 TEXT = '"of the" worthless estion'
@@ -86,17 +88,41 @@ def two_hop_rrf60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_hop(_texts(spark, sf_dir).select("id", "text"), "worthless estion", first=10, passages=3, chars=200, limit=50).limit(LIMIT)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The stored index of the documents, built once a session and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def build_lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """A stored index of the documents."""
+    index = LexicalIndex(spark, _folder(spark, "lexicon"))
+    index.build(_texts(spark, sf_dir).select("id", "text"))
+    return index
+
+
+def build_vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """A stored index of the vectors, with their labels to filter by."""
+    index = VectorIndex(spark, _folder(spark, "vectors"))
+    index.fit(_vectors(spark, sf_dir), keep=("label",))
+    return index
+
+
+def _stored(spark: SparkSession, sf_dir: str, table: str, build: Callable) -> LexicalIndex | VectorIndex:
+    """The index of a table as it is now; a table whose files have changed gets a new one."""
+    key = (spark.sparkContext.applicationId, build.__name__, snapshot(spark, sf_dir, table))
     if key not in _INDEXES:
-        folder = f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}"
-        _INDEXES[key] = LexicalIndex(spark, folder)
-        _INDEXES[key].build(_texts(spark, sf_dir).select("id", "text"))
+        _INDEXES[key] = build(spark, sf_dir)
     return _INDEXES[key]
 
 
-_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    return _stored(spark, sf_dir, "documents", build_lexical_index)
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return _stored(spark, sf_dir, "embeddings", build_vector_index)
+
+
+_INDEXES: dict[tuple, LexicalIndex | VectorIndex] = {}
 
 
 def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +142,44 @@ def indexed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_of(dense, _index(spark, sf_dir).search(TextQuery.parse(TEXT), legs[1]), LIMIT, guarantee=False)
 
 
+def indexed_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk of an index that has seen changes: older texts of all documents, then their texts source by source, then
+    the French ones leave, and small segments are merged."""
+    docs = read(spark, sf_dir, "documents")
+    index = LexicalIndex(spark, _folder(spark, "changes"))
+    index.build(docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.lit("worthless"), "lang", "source").alias("text")))
+    for own in (F.col("source").rlike("[0-3]$"), F.col("source").rlike("[4-6]$"), ~F.coalesce(F.col("source").rlike("[0-6]$"), F.lit(False))):
+        index.upsert(docs.where(own).select(F.col("doc_id").alias("id"), "text"))
+    index.delete(docs.where("lang = 'fr'").select(F.col("doc_id").alias("id")))
+    index.merge()
+    return index.search(TextQuery.parse("worthless estion thing"), LIMIT)
+
+
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_topk of one label, asked of the vector index over all lists, so that its result is the exact one."""
+    index = _lists(spark, sf_dir)
+    return index.search(_query_vector(spark, sf_dir), LIMIT, probes=MOST_LISTS, refine=20, where=F.col("label") < 3)
+
+
+def ann_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_all, asked of the vector index over all lists."""
+    v = _vectors(spark, sf_dir)
+    near = _lists(spark, sf_dir).search_all(v.where(F.col("id") % 20 == 0), 6, probes=MOST_LISTS, refine=20).where("query_id <> id")
+    rank = F.row_number().over(search.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return near.withColumn("rank", rank).where("rank <= 5").select("query_id", "id", "score", "rank")
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index by its usual number of probed lists finds at least 0.9 of the 10 nearest vectors of all queries
+    (ids divisible by 20, the stated set) that an exhaustive search finds."""
+    v = _vectors(spark, sf_dir)
+    queries = v.where(F.col("id") % 20 == 0)
+    want = search.block_topk(queries, v, 10).select("query_id", "id")
+    got = _lists(spark, sf_dir).search_all(queries, 10).select("query_id", "id", F.lit(1).alias("found"))
+    both = want.join(got, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("enough"))
+
+
 def _paths(spark: SparkSession, sf_dir: str, patterns: list[str], mode: str = "or") -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return pages.where(PathFilter.compile(patterns).column(F.col("url"), mode)).select("page_id", "url")
@@ -216,7 +280,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_topk, dense_min_score, dense_topk_prefilter, bm25_topk, bm25_phrase, bm25_batch, bm25_statistics, rrf_hybrid,
-        rrf_hybrid_guarantee, two_hop_rrf60, indexed_topk, indexed_phrase, indexed_hybrid, path_filter_or, path_filter_and, path_filter_exclude, containment_dedup,
+        rrf_hybrid_guarantee, two_hop_rrf60, indexed_topk, indexed_phrase, indexed_hybrid,
+        indexed_after_changes, ann_topk, ann_all, ann_recall, path_filter_or, path_filter_and, path_filter_exclude, containment_dedup,
         file_grouping, knn_all, recall_at_k, mrr, mean_pool, softmax_pool, last_pool, centered_norms, vector_validity,
         file_hash, segment_hash, point_uuid5,
     )
@@ -230,8 +295,9 @@ _DENSE = """
 _TOKENS = r"SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_.$]+') AS ts FROM documents"
 
 
-def _bm25_sql(parts: list[list[str]], limit: int) -> str:
+def _bm25_sql(parts: list[list[str]], limit: int, where: str = "true") -> str:
     """BM25 over parts (lists of tokens)."""
+    tokens = f"{_TOKENS} WHERE {where}"
 
     def times(p: list[str]) -> str:
         if len(p) == 1:
@@ -249,8 +315,8 @@ def _bm25_sql(parts: list[list[str]], limit: int) -> str:
     hit = " OR ".join(f"tf{i} > 0" for i in range(len(parts)))
     return f"""
         SELECT id, round({total}, 6) AS score
-        FROM (SELECT id, len(ts) AS dl, {cols} FROM ({_TOKENS})) c,
-             (SELECT count(*) AS n, avg(dl) AS mean, {dfs} FROM (SELECT len(ts) AS dl, {cols} FROM ({_TOKENS})))
+        FROM (SELECT id, len(ts) AS dl, {cols} FROM ({tokens})) c,
+             (SELECT count(*) AS n, avg(dl) AS mean, {dfs} FROM (SELECT len(ts) AS dl, {cols} FROM ({tokens})))
         WHERE {hit} ORDER BY score DESC, id LIMIT {limit}
     """
 
@@ -317,6 +383,13 @@ ORACLE_SQL = {
     "indexed_topk": _bm25_sql([["worthless"], ["estion"], ["thing"]], LIMIT),
     "indexed_phrase": _bm25_sql(_PARTS, LIMIT),
     "indexed_hybrid": f"WITH {_LEGS} SELECT * FROM p WHERE place <= 20",
+    "indexed_after_changes": _bm25_sql([["worthless"], ["estion"], ["thing"]], LIMIT, "lang IS DISTINCT FROM 'fr'"),
+    "ann_topk": f"SELECT id, score FROM ({_DENSE} WHERE label < 3) ORDER BY score DESC, id LIMIT 20",
+    "ann_all": f"WITH {_KNN} SELECT query_id, id, score, rank FROM k",
+    "ann_recall": """
+        SELECT count(*) AS queries, CAST(sum(least(10, n)) AS BIGINT) AS wanted, true AS enough
+        FROM (SELECT vec_id, (SELECT count(*) FROM embeddings) AS n FROM embeddings WHERE vec_id % 20 = 0)
+    """,
     "two_hop_rrf60": f"""
         WITH t AS MATERIALIZED ({_TOKENS}), c AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
         p AS MATERIALIZED (

@@ -1,92 +1,232 @@
-"""A stored lexical index: postings in buckets of terms, with what BM25 needs to know of all texts.
+"""A maintained lexical index: postings in immutable segments, kept right under upserts and deletes.
 
-Postings (term, id, tf, dl, positions) lie sorted by term in one folder for each bucket of terms, so a query reads only
-the buckets of its terms, and of those the row groups that hold them. Scores are those of operators.search.bm25. A new
-build goes to a folder of its own; a pointer row says which build counts, so a reader never sees half an index.
+A segment holds, in buckets of terms, its postings (term, slice, id, tf, dl, positions) sorted by term and slice, and
+statistics of each term and slice: how many texts, the largest tf and the least dl. A slice is a range of text lengths,
+each about a fifth longer than the one before, so these three give a close bound on what a text of the slice can score.
+It also holds a forward list (id, dl, terms), by which a later delete finds what to take off the document frequencies
+without reading postings: every segment carries the counts (`minus`) that its dead ids take off each older one. Texts
+are read once, when they come; a search reads none.
+
+A search takes statistics of its terms first. From the slices with the highest bounds it reads postings until the k-th
+best score is known, then only from slices whose bound reaches that score; no posting is read twice, and scores equal
+operators.search.bm25 over the texts that count. Phrases need their positions everywhere, so they read all postings of
+their words, once. `last_read` says how many postings of the terms there were and how many were read.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from quern.functions.text import tokens
+from quern.operators.graph import materialised
 from quern.operators.search import B, K1, ROUND, postings, split_tokens
 from quern.plans.requests import TextQuery
+from quern.sources.segments import Segments
 
-POINTER = "build string, texts long, mean double, buckets int, id_type string, at timestamp"
+#: Slices a doubling of the length, and how many times the hits asked for the first slices should hold.
+FINE, FIRST = 4, 8
+#: Below so many postings everything is read at once.
+FEW = 50_000
+STATS = "term string, slice int, n long, most long, least long, bucket int"
+MINUS = "term string, n long, victim string, bucket int"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-class LexicalIndex:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._known = spark, folder.rstrip("/"), None
-
-    def build(self, texts: DataFrame, buckets: int = 64) -> None:
-        """Indexes texts (id, text); what was there before stays on disk but counts no more."""
-        build = uuid.uuid4().hex
-        words = postings(texts).withColumn("bucket", bucket_of(F.col("term"), buckets))
-        dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id")
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{build}")
-        n, mean = texts.select(F.coalesce(F.size(tokens(F.coalesce("text", F.lit("")))), F.lit(0)).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-        row = [(build, n, float(mean or 0.0), buckets, texts.schema["id"].dataType.simpleString())]
-        mark = self.spark.createDataFrame(row, "build string, texts long, mean double, buckets int, id_type string")
-        mark.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
-        self._known = None
-
-    def state(self) -> dict:
-        """The build that counts, read once."""
-        if self._known is None:
-            try:
-                row = self.spark.read.schema(POINTER).parquet(f"{self.folder}/pointer").orderBy(F.desc("at"), F.desc("build")).first()
-            except AnalysisException:
-                row = None
-            if row is None:
-                raise ValueError("the index is empty")
-            now = row.asDict()
-            at = f"term string, id {now['id_type']}, tf long, dl long, positions array<int>, bucket int"
-            self._known = now | {"postings": self.spark.read.schema(at).parquet(f"{self.folder}/{now['build']}")}
-        return self._known
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+class LexicalIndex(Segments):
+    """BM25 over texts (id, text) whose ids are unique."""
+
+    last_read: dict[str, int] | None = None
+
+    def build(self, texts: DataFrame, buckets: int = 64, batch: tuple[str, int] | None = None) -> None:
+        """Indexes texts anew; what was there before counts no more."""
+        config = {"buckets": buckets, "id_type": texts.schema["id"].dataType.simpleString()}
+        self._append(config, lambda at: self._write(texts, at, config), None, True, batch)
+
+    def upsert(self, texts: DataFrame, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+        """One segment: texts come in place of older ones of their ids, the ids of gone (id) leave."""
+        config = self.state()["config"]
+        killed = texts.select("id") if gone is None else texts.select("id").union(gone.select("id"))
+        self._append(config, lambda at: self._write(texts, at, config), killed, False, batch, self._settle)
+
+    def delete(self, ids: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        none = self.spark.createDataFrame([], f"id {self.state()['config']['id_type']}, text string")
+        self.upsert(none, ids, batch)
+
+    def _schema(self, config: dict) -> str:
+        return f"term string, slice int, id {config['id_type']}, tf long, dl long, positions array<int>, bucket int"
+
+    def _forward(self, config: dict) -> str:
+        return f"id {config['id_type']}, dl long, terms array<string>, part int"
+
+    def _write(self, texts: DataFrame, at: str, config: dict) -> dict:
+        words = postings(texts).withColumn("slice", F.floor(F.log2(F.col("dl")) * FINE).cast("int"))
+        return self._stored(words, texts.select("id"), at, config)
+
+    def _stored(self, words: DataFrame, ids: DataFrame, at: str, config: dict) -> dict:
+        """Writes postings, their statistics and the forward lists of ids; words are computed once."""
+        n = config["buckets"]
+        words = words.select("term", "slice", "id", "tf", "dl", "positions", bucket_of(F.col("term"), n).alias("bucket"))
+        words = words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "slice", "id")
+        words.write.partitionBy("bucket").parquet(f"{at}/postings")
+        words = self.spark.read.schema(self._schema(config)).parquet(f"{at}/postings")
+        stats = words.groupBy("bucket", "term", "slice").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+        stats.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/stats")
+        lists = words.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list("term").alias("terms"))
+        lists = ids.select("id").join(lists, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"), "terms")
+        lists = lists.withColumn("part", bucket_of(F.col("id"), n)).hint("rebalance", "part")
+        lists.sortWithinPartitions("part", "id").write.partitionBy("part").parquet(f"{at}/forward")
+        rows, tokens = self.spark.read.schema(self._forward(config)).parquet(f"{at}/forward").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return {"rows": rows, "tokens": tokens, "removed": {}}
+
+    def _settle(self, state: dict, killed: DataFrame, at: str) -> dict:
+        """What the killed ids take off each older segment: texts and tokens in the entry, words in a table of their own."""
+        config = state["config"]
+        ids = killed.withColumn("part", bucket_of(F.col("id"), config["buckets"]))
+        parts = sorted(r[0] for r in ids.select("part").distinct().collect())  # at most `buckets`
+        old = self._all(state["segments"], "forward", self._forward(config)).where(F.col("part").isin(parts))
+        hit = self._alive(old.join(ids.select("id").distinct(), "id", "left_semi"), state)
+        hit = materialised(hit.select("dl", "terms", "of"))
+        removed = {r["of"]: [r["n"], r["t"]] for r in hit.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).collect()}
+        minus = hit.select(F.explode("terms").alias("term"), F.col("of").alias("victim")).groupBy("term", "victim").agg(F.count(F.lit(1)).alias("n"))
+        minus.withColumn("bucket", bucket_of(F.col("term"), config["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{at}/minus")
+        return {"removed": removed, "minus": at}
+
+    def _merged(self, state: dict, run: list[dict], older: list[dict], folder: str) -> dict:
+        config, at = state["config"], f"{self.folder}/{folder}"
+        words = self._alive(self._all(run, "postings", self._schema(config)), state)
+        ids = self._alive(self._all(run, "forward", self._forward(config)).select("id", "seq"), state)
+        said = self._stored(words, ids, at, config)
+        before = {s["folder"] for s in older}
+        for s in run:  # what the run takes off segments that are older than all of it
+            for victim, (n, tokens) in s["removed"].items():
+                if victim in before:
+                    a, b = said["removed"].get(victim, [0, 0])
+                    said["removed"][victim] = [a + n, b + tokens]
+        carried = self._minus(run).where(F.col("victim").isin(sorted(before)))
+        if said["removed"]:
+            carried.groupBy("bucket", "term", "victim").agg(F.sum("n").alias("n")).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/0/minus")
+            said["minus"] = f"{folder}/0"
+        return said
+
+    def _minus(self, segments: list[dict]) -> DataFrame:
+        at = [f"{self.folder}/{s['minus']}/minus" for s in segments if s.get("minus")]
+        out = self.spark.createDataFrame([], MINUS)
+        for a in at:
+            out = out.unionByName(self.spark.read.schema(MINUS).parquet(a))
+        return out
+
+    @staticmethod
+    def counts(state: dict) -> tuple[int, float]:
+        """Texts that count and their mean length."""
+        held = {s["folder"] for s in state["segments"]}
+        off = [v for s in state["segments"] for victim, v in s["removed"].items() if victim in held]
+        n = sum(s["rows"] for s in state["segments"]) - sum(v[0] for v in off)
+        tokens = sum(s["tokens"] for s in state["segments"]) - sum(v[1] for v in off)
+        return n, tokens / n if n else 0.0
 
     def search(self, query: TextQuery, limit: int | None, where: DataFrame | None = None) -> DataFrame:
         """(id, score) as bm25 gives them; `where` (id) restricts the hits, not what is counted."""
-        now = self.state()
+        state = self.state()
+        config = state["config"]
         parts = list(dict.fromkeys(tuple(p) for p in map(split_tokens, [*query.phrases, *query.terms]) if p))
-        if not parts:
-            return self.spark.createDataFrame([], f"id {now['id_type']}, score double")
+        if not parts or not state["segments"]:
+            return self.spark.createDataFrame([], f"id {config['id_type']}, score double")
         words = sorted({w for p in parts for w in p})
-        numbers = self.spark.range(1).select(*[bucket_of(F.lit(w), now["buckets"]) for w in words]).first()
-        rows = now["postings"].where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(words))
+        numbers = self.spark.range(1).select(*[bucket_of(F.lit(w), config["buckets"]) for w in words]).first()
+        mine = F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(words)
+        n, mean = self.counts(state)
+        phrases = any(len(p) > 1 for p in parts)
+        rows = self._all(state["segments"], "postings", self._schema(config)).where(mine)
+        rows = rows.select("term", "slice", "id", "seq", "tf", "dl", *(["positions"] if phrases else []))
+        # a row for each term and slice of the query's own terms
+        stats = self._all(state["segments"], "stats", STATS).where(mine).groupBy("term", "slice").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect()
+        total = sum(r["n"] for r in stats)
+        if phrases:
+            self.last_read = {"postings": total, "read": total}
+            return self._with_phrases(self._alive(rows, state), parts, words, n, mean, limit, where)
+        held = {s["folder"] for s in state["segments"]}
+        off = {r["term"]: r["n"] for r in self._minus(state["segments"]).where(mine & F.col("victim").isin(sorted(held))).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        df = {w: sum(r["n"] for r in stats if r["term"] == w) - off.get(w, 0) for w in words}
+        order = [p[0] for p in parts]
+
+        def scored(some: DataFrame) -> DataFrame:
+            at = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(order)]
+            hits = self._alive(some, state).groupBy("id").agg(F.first("dl").alias("dl"), *at)
+            if where is not None:
+                hits = hits.join(where.select("id").distinct(), "id", "left_semi")
+            tfs = [F.coalesce(F.col(f"tf{i}"), F.lit(0)).cast("double") for i in range(len(order))]
+            return hits.select("id", F.round(_bm25(tfs, [F.lit(df[w]) for w in order], n, mean), ROUND).alias("score"))
+
+        if limit is None or total <= FEW:
+            self.last_read = {"postings": total, "read": total}
+            hits = scored(rows)
+            return hits if limit is None else hits.orderBy(F.desc("score"), "id").limit(limit)
+        bound: dict[int, float] = {}
+        size: dict[int, int] = {}
+        for r in stats:
+            most = _best(r["most"], r["least"], df[r["term"]], n, mean)
+            bound[r["slice"]] = bound.get(r["slice"], 0.0) + most
+            size[r["slice"]] = max(size.get(r["slice"], 0), r["n"])
+        ranked = sorted(bound, key=lambda s: -bound[s])
+        first, seen = [], 0
+        while ranked and seen < FIRST * limit:
+            seen += size[ranked[0]]
+            first.append(ranked.pop(0))
+        top = materialised(scored(rows.where(F.col("slice").isin(first))).orderBy(F.desc("score"), "id").limit(limit))
+        found = top.agg(F.count(F.lit(1)), F.min("score")).first()
+        least = found[1] if found[0] == limit else float("-inf")
+        rest = [s for s in ranked if bound[s] >= least - 2 * 10**-ROUND]
+        self.last_read = {"postings": total, "read": sum(r["n"] for r in stats if r["slice"] in {*first, *rest})}
+        if rest:
+            top = top.unionByName(scored(rows.where(F.col("slice").isin(rest))))
+        return top.orderBy(F.desc("score"), "id").limit(limit)
+
+    @staticmethod
+    def _with_phrases(rows: DataFrame, parts: list[tuple[str, ...]], words: list[str], n: int, mean: float, limit: int | None, where: DataFrame | None) -> DataFrame:
+        """Phrases by their positions: a narrow table of counts, kept, gives document frequencies and scores."""
         at = [F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)]
         held = rows.groupBy("id").agg(F.first("dl").alias("dl"), *at)
-        counts = [self._times([F.col(f"p{words.index(w)}") for w in p]).alias(f"tf{i}") for i, p in enumerate(parts)]
-        counted = held.select("id", "dl", *counts)
-        dfs = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(parts))])
-        total, tfs = F.lit(0.0), [F.col(f"tf{i}").cast("double") for i in range(len(parts))]
-        for i, tf in enumerate(tfs):
-            idf = F.log(1 + (F.lit(now["texts"]) - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-            total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(now["mean"] or 1.0)))
-        # one row of document frequencies, beside the postings of the query's own terms
-        hits = counted.join(F.broadcast(dfs)).where(reduce(lambda a, b: a | b, [tf > 0 for tf in tfs]))
+        counts = [_times([F.col(f"p{words.index(w)}") for w in p]).alias(f"tf{i}") for i, p in enumerate(parts)]
+        counted = materialised(held.select("id", "dl", *counts).where(_any([F.col(f"tf{i}") > 0 for i in range(len(parts))])))
+        dfs = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(parts))]).first()
         if where is not None:
-            hits = hits.join(where.select("id").distinct(), "id", "left_semi")
-        hits = hits.select("id", F.round(total, ROUND).alias("score"))
+            counted = counted.join(where.select("id").distinct(), "id", "left_semi")
+        tfs = [F.col(f"tf{i}").cast("double") for i in range(len(parts))]
+        hits = counted.select("id", F.round(_bm25(tfs, [F.lit(x) for x in dfs], n, mean), ROUND).alias("score"))
         return hits if limit is None else hits.orderBy(F.desc("score"), "id").limit(limit)
 
-    @staticmethod
-    def _times(places: list[Column]) -> Column:
-        """How often tokens at these positions follow one another."""
-        def back(p: Column, k: int) -> Column:
-            return F.transform(p, lambda x: x - k)
-
-        follow = places[0]
-        for k, p in enumerate(places[1:], 1):
-            follow = F.array_intersect(follow, back(p, k))
-        return F.coalesce(F.array_size(follow), F.lit(0)).cast("long")
+
+def _bm25(tfs: list[Column], dfs: list[Column], n: int, mean: float) -> Column:
+    total = F.lit(0.0)
+    for tf, df in zip(tfs, dfs, strict=True):
+        idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+    return total
+
+
+def _best(tf: int, dl: int, df: int, n: int, mean: float) -> float:
+    """The most that a term can add to a text of at least dl tokens that holds it at most tf times."""
+    from math import log
+
+    return log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (mean or 1.0)))
+
+
+def _times(places: list[Column]) -> Column:
+    """How often tokens at these positions follow one another."""
+
+    def back(p: Column, k: int) -> Column:
+        return F.transform(p, lambda x: x - k)
+
+    follow = places[0]
+    for k, p in enumerate(places[1:], 1):
+        follow = F.array_intersect(follow, back(p, k))
+    return F.coalesce(F.array_size(follow), F.lit(0)).cast("long")
