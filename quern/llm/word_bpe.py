@@ -1,12 +1,12 @@
 r"""BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split into words in Spark tasks; each task counts its own distinct words and one aggregation makes the
-   table of all words.
-2. Every distinct word is encoded once, by merging the pair of least (rank, place) until none is left.
-3. Ids are joined back by position. The most frequent words (at most `HOT` of at most `SHORT` bytes, a bound on what is
-   broadcast whatever the corpus) are joined map-side in one pass over the texts; a word beyond them leaves a hole with
-   its place in the text's own list of such words, and those few are joined by a shuffle and put into their holes. Both
-   ways give the same ids, and no text is shuffled for the words of the first kind.
+1. Each task splits its texts into words, some thousand texts (a chunk) at a time, and gives every distinct word of the
+   chunk a number: a text becomes a row of numbers. A chunk is compressed and named by its bytes, so one that has to be
+   made again is the same, and is shuffled once for both of the steps that read it.
+2. The words of all chunks meet by word. Each distinct word is encoded once, by merging the pair of least (rank, place)
+   until none is left, and its ids go back to the chunks that asked. A frequent word asks once a chunk, not once a text.
+3. Each chunk takes the ids of its words and puts them at the positions of its numbers. A chunk is bounded by its words
+   and texts, so is what meets for it; no text, and no table of all words, is held or sent anywhere.
 4. Decoding joins each id with its piece map-side (the vocabulary of the file bounds that table) and sets a space
    between the pieces, as a file without a decoder asks.
 
@@ -26,28 +26,28 @@ import hashlib
 import heapq
 import json
 import os
+import pickle
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from quern.llm.common import cut
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The file of the tokenizer; a parameter everywhere.
 TOKENIZER = os.environ.get("QUERN_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
-#: Words that are broadcast, and their bytes: at most 8 MB of words and 34 MB of ids.
-HOT, SHORT = 1 << 17, 64
-#: Distinct words that a task holds before it passes their counts on, and texts that it holds at a time.
-HELD, TEXTS = 200_000, 256
-#: Code points of a text that are split at a time.
-PIECE = 1 << 16
+#: A chunk ends with the text that reaches so many distinct words, words or texts. Texts that are decoded at a time.
+DISTINCT, WORDS, LIMIT, TEXTS = 400_000, 4_000_000, 50_000, 256
+#: Code points of a text that are split at a time, words that a task passes on at a time, and words of the texts of a
+#: chunk that are numbered or given their ids at a time (a longer text is one block).
+PIECE, ROWS, BLOCK = 1 << 16, 20_000, 1 << 18
 #: White space of Unicode, as the inside of a character class.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and digits of Unicode 16 that Python's tables lack.
@@ -198,118 +198,156 @@ def merged(word: str, rules: Rules) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def distinct_words(texts: DataFrame, rules: Rules) -> DataFrame:
-    """(word, n) of the one column of texts: every distinct word and how often it occurs."""
-    pattern, added = word_pattern(), rules.added
+def _packed(value: object) -> bytes:
+    raw = pickle.dumps(value, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> object:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen = Splitter(pattern, added), Counter()
+def short_numbers(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2**28 as bytes, seven bits each, the last of a number without its high bit: small ones are short."""
+    x = numbers.astype(np.uint32)
+    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        has = size > k
+        out[(ends - size)[has] + k] = ((x[has] >> 7 * k) & 0x7F) | np.where(size[has] > k + 1, 0x80, 0).astype(np.uint32)
+    return out
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
+def long_numbers(raw: np.ndarray) -> np.ndarray:
+    """What short_numbers was given."""
+    last = raw < 0x80
+    ends = np.flatnonzero(last)
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((raw & 0x7F).astype(np.int64) << 7 * place, starts) if len(ends) else np.zeros(0, np.int64)
+
+
+def chunked(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(chunk, body) of docs (id, text), dealt by chunk. A body holds, each compressed: the distinct words of the chunk in
+    order; and the ids of its texts, their numbers of words, and these as ranks by frequency with each rank's word."""
+    pattern, added = word_pattern(), rules.added
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(pattern, added)
+        place, ids, sizes, numbers = defaultdict(count().__next__), [], [], []
+
+        def chunk() -> pa.RecordBatch:
+            words = sorted(place)
+            often = np.zeros(len(words), np.int64)
+            flat = [np.concatenate([np.zeros(0, np.int32), *block]) for block in numbers]
+            for part in flat:
+                often += np.bincount(part, minlength=len(words))
+            by_rank = np.argsort(-often, kind="stable")
+            rank, sorted_at = np.empty(len(words), np.int32), np.empty(len(words), np.uint32)
+            rank[by_rank] = np.arange(len(words))
+            sorted_at[np.fromiter(map(place.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+            own = _packed(words)
+            blocks = [(one, np.array(n), short_numbers(rank[part])) for one, n, part in zip(ids, sizes, flat, strict=True)]
+            body = len(own).to_bytes(8, "little") + own + _packed((sorted_at[by_rank], blocks))
+            name = int.from_bytes(hashlib.sha256(body).digest()[:8], "little", signed=True)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([body])], ["chunk", "body"])
+
+        texts = words = filled = 0
         for batch in batches:
-            for text in batch.column(0):
-                for words in splitter.pieces(text.as_py()):
-                    seen.update(words)
-                    if len(seen) >= HELD:
-                        yield out()
-                        seen.clear()
-        yield out()
+            for one, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = [np.fromiter(map(place.__getitem__, some), np.int32, len(some)) for some in splitter.pieces(text.as_py())]
+                n = sum(map(len, own))
+                if not ids or filled + n > BLOCK:
+                    ids.append([])
+                    sizes.append([])
+                    numbers.append([])
+                    filled = 0
+                ids[-1].append(one.as_py())
+                sizes[-1].append(n)
+                numbers[-1] += own
+                texts, words, filled = texts + 1, words + n, filled + n
+                if len(place) >= DISTINCT or words >= WORDS or texts >= LIMIT:
+                    yield chunk()
+                    place, ids, sizes, numbers, texts, words = defaultdict(count().__next__), [], [], [], 0, 0
+        if ids:
+            yield chunk()
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(work, "chunk long, body binary").repartition("chunk")
 
 
-def encoded_words(words: DataFrame, rules: Rules) -> DataFrame:
-    """(word, n, ids): each distinct word encoded once."""
-    shared = words.sparkSession.sparkContext.broadcast(rules)
+def words_of(body: bytes) -> list[str]:
+    return _unpacked(body[8 : 8 + int.from_bytes(body[:8], "little")])
 
-    def encode_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+
+def texts_of(body: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """By blocks: ids of texts, their numbers of words, and the places of all these words among the words of the chunk."""
+    by_rank, blocks = _unpacked(body[8 + int.from_bytes(body[:8], "little") :])
+    for ids, sizes, ranks in blocks:
+        yield ids, sizes, by_rank[long_numbers(ranks)]
+
+
+def asked_words(chunks: DataFrame) -> DataFrame:
+    """(word, chunk, n): the words of each chunk and their places in it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [merged(w, own) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            for chunk, body in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(body.as_py())
+                for at in range(0, len(words), ROWS):
+                    part = words[at : at + ROWS]
+                    cols = [pa.array(part, pa.string()), pa.array([chunk.as_py()] * len(part)), pa.array(range(at, at + len(part)), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, ["word", "chunk", "n"])
 
-    return words.select("word", "n").mapInArrow(encode_each, "word string, n long, ids array<int>")
+    return chunks.mapInArrow(work, "word string, chunk long, n int")
 
 
-def frequent(table: DataFrame, hot: int = HOT) -> tuple[list, bool]:
-    """The (word, ids) of the most frequent short words, at most `hot`, and whether these are all the words.
+def encoded_words(asked: DataFrame, rules: Rules) -> DataFrame:
+    """(chunk, n, ids): each distinct word encoded once, its ids as bytes to each chunk that asked."""
+    shared = asked.sparkSession.sparkContext.broadcast(rules)
+    kind = "<u2" if len(rules.pieces) <= 1 << 16 else "<u4"
 
-    The words are taken by classes of frequency from the highest down, so nothing is sorted; a class that would pass
-    the bound is left to the shuffle as a whole.
-    """
-    level = F.when(F.octet_length("word") <= SHORT, F.floor(F.log2("n") * 16)).otherwise(-1)
-    classes = sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"])
-    taken, least = 0, None
-    for r in classes:
-        if r["level"] < 0 or taken + r["count"] > hot:
-            break
-        taken, least = taken + r["count"], r["level"]
-    whole = taken == sum(r["count"] for r in classes)
-    if least is None:
-        return [], whole
-    return [(r["word"], r["ids"]) for r in table.where(level >= least).select("word", "ids").collect()], whole
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before, ids = shared.value, None, b""
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                if word != before:
+                    before, ids = word, np.array(merged(word, own), kind).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["chunk", "n", "ids"])
 
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(work, "chunk long, n int, ids binary")
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, hot: int = HOT) -> DataFrame:
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids (array<int>), n_tokens for every row of docs."""
-    rules, spark = load(tokenizer), docs.sparkSession
-    table = cut(encoded_words(distinct_words(docs.select(text_col), rules), rules))
-    known, whole = frequent(table, hot)
-    sizes = np.fromiter((len(ids) for _, ids in known), np.int32, len(known))
-    flat = np.fromiter((x for _, ids in known for x in ids), np.int32, int(sizes.sum()))
-    shared = spark.sparkContext.broadcast(([w for w, _ in known], sizes, flat))
-    pattern, added, kind = word_pattern(), rules.added, docs.schema[id_col].dataType.simpleString()
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, flat = shared.value
-        place, splitter = {w: k for k, w in enumerate(words)}, Splitter(pattern, added)
-        starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        sizes, flat = np.r_[sizes, 1], np.r_[flat, 0]  # the last stands for a word that is not here
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                found, counts, cold = [], [], []
-                for text in part.column(1):
-                    own: dict[str, int] = {}
-                    n = 0
-                    for some in splitter.pieces(text.as_py()):
-                        try:
-                            where = np.fromiter(map(place.__getitem__, some), np.int64, len(some))
-                        except KeyError:
-                            where = np.fromiter((place[w] if w in place else ~own.setdefault(w, len(own)) for w in some), np.int64, len(some))
-                        row = np.where(where < 0, len(words), where)
-                        long = sizes[row]
-                        ends = np.cumsum(long)
-                        inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - long, long)
-                        base = np.repeat(where, long)
-                        ids = np.where(base < 0, base, flat[np.repeat(starts[row], long) + inside])
-                        found.append(ids.astype(np.int32))
-                        n += len(ids)
-                    counts.append(n)
-                    cold.append(list(own))
-                every = np.concatenate(found) if found else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(every))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(cold, pa.list_(pa.string()))], ["doc_id", "ids", "cold"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(fill, f"doc_id {kind}, ids array<int>, cold array<string>")
-    if not whole:
-        rows = _without_holes(rows, table)
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
-
-
-def _without_holes(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows whose ids below 0 point into `cold`, each with the ids of those words in their places."""
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    open_ = rows.where(F.size("cold") > 0)
-    asked = open_.select("row", F.posexplode("cold").alias("at", "word"))
-    given = asked.join(table.select("word", F.col("ids").alias("given")), "word").select("row", F.struct("at", "given").alias("one"))
-    given = given.groupBy("row").agg(F.array_sort(F.collect_list("one")).getField("given").alias("given"))
-    whole = F.transform("ids", lambda k: F.when(k < 0, F.get("given", -1 - k)).otherwise(F.array(k)))
-    filled = open_.join(given, "row").select("doc_id", F.flatten(whole).alias("ids"))
-    return rows.where(F.size("cold") == 0).select("doc_id", "ids").union(filled)
+    rules = load(tokenizer)
+    kind = docs.schema[id_col].dataType
+    own, width = to_arrow_type(kind), 2 if len(rules.pieces) <= 1 << 16 else 4
+    chunks = chunked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rules)
+    words = encoded_words(asked_words(chunks), rules)
+
+    def placed(texts: pa.Table, known: pa.Table) -> pa.Table:
+        _, first = np.unique(known.column("n").to_numpy(), return_index=True)  # chunks of equal bytes ask for the same
+        ids = known.column("ids").combine_chunks().take(pa.array(first)).to_pylist()
+        long = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        starts, flat = np.cumsum(long) - long, np.frombuffer(b"".join(ids), f"<u{width}")
+        names, lists, n_tokens = [], [], []
+        for doc_ids, sizes, words in chain.from_iterable(map(texts_of, texts.column("body").to_pylist())):
+            if len(words) and int(words.max()) >= len(ids):
+                raise ValueError("a chunk without its words: its input changed between two readings")
+            take = long[words]
+            stops = np.cumsum(take)
+            total = int(stops[-1]) if len(stops) else 0
+            every = flat[np.arange(total) + np.repeat(starts[words] - (stops - take), take)] if total else np.zeros(0)
+            bounds = np.r_[0, stops][np.r_[0, np.cumsum(sizes)]]
+            lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(every.astype(np.int32))))
+            names.append(pa.array(doc_ids, own))
+            n_tokens.append(pa.array(np.diff(bounds)))
+        return pa.table({"doc_id": pa.chunked_array(names), "ids": pa.chunked_array(lists), "n_tokens": pa.chunked_array(n_tokens)})
+
+    return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, f"doc_id {kind.simpleString()}, ids array<int>, n_tokens long")
 
 
 def spelt(ids: pa.Array, pieces: pa.Array) -> pa.Array:

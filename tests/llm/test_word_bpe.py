@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ def test_every_code_point(library):
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("hot", [word_bpe.HOT, 20, 0])
-def test_equals_library(spark, library, hot):
+@pytest.mark.parametrize(("distinct", "block"), [(word_bpe.DISTINCT, 30), (20, word_bpe.BLOCK), (1, 1)])
+def test_equals_library(spark, library, distinct, block, monkeypatch):
+    monkeypatch.setattr(word_bpe, "DISTINCT", distinct)
+    monkeypatch.setattr(word_bpe, "BLOCK", block)
     texts = hostile()
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "again", "y"), (3, "again", "z")], "doc_id long, text string, ids string")
-    found = word_bpe.decoded(word_bpe.encode(rows, hot=hot)).collect()
+    found = word_bpe.decoded(word_bpe.encode(rows)).collect()
     assert len(found) == len(texts) + 2
     seen = {(r["doc_id"], tuple(r["ids"])): r for r in found}
     for i, text in [*enumerate(texts), (None, "again"), (3, "again")]:
@@ -59,21 +62,46 @@ def test_report(spark, library):
     assert word_bpe.report(rows.where(F.lit(False))).count() == 0
 
 
-def test_each_distinct_word_once(spark):
-    rows = spark.createDataFrame([("b a b",), ("a b c",), (None,)], "text string")
-    words = word_bpe.distinct_words(rows, word_bpe.load(word_bpe.TOKENIZER)).collect()
-    assert sorted((r["word"], r["n"]) for r in words) == [("a", 2), ("b", 3), ("c", 1)]
+def test_each_distinct_word_once(spark, monkeypatch):
+    rules = word_bpe.load(word_bpe.TOKENIZER)
+    rows = spark.createDataFrame([(1, "b a b"), (2, "a b c"), (3, None)], "id long, text string").repartition(2)
+    asked = word_bpe.asked_words(word_bpe.chunked(rows, rules))
+    words = [(r["word"], r["chunk"]) for r in asked.collect()]
+    assert len(words) == len(set(words)) and {w for w, _ in words} == {"a", "b", "c"}
+    marks = asked.repartition("word").sortWithinPartitions("word")  # as encoded_words deals them: equal words in a row
+    parts = marks.selectExpr("word", "spark_partition_id() AS p").collect()
+    assert all(len({r["p"] for r in parts if r["word"] == w}) == 1 for w in "abc")
 
 
-def test_broadcast_is_bounded(spark):
-    rows = spark.createDataFrame([(f"w{i}", 1 + i % 7, [i]) for i in range(100)] + [("x" * 65, 1000, [1])], "word string, n long, ids array<int>")
-    for hot in (0, 13, 50, 100):
-        taken, whole = word_bpe.frequent(rows, hot)
-        assert len(taken) <= hot and not whole
-        assert all(len(w) <= word_bpe.SHORT for w, _ in taken)
-    assert word_bpe.frequent(rows.where("length(word) < 65"), 100)[1]
+def test_chunks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(word_bpe, "LIMIT", 3)
+    rows = spark.createDataFrame([(i, f"w{i} a") for i in range(10)], "id long, text string").coalesce(1)
+    chunks = word_bpe.chunked(rows, word_bpe.load(word_bpe.TOKENIZER)).collect()
+    assert sorted(sum(len(ids) for ids, _, _ in word_bpe.texts_of(r["body"])) for r in chunks) == [1, 3, 3, 3]
 
 
 def test_foreign_ids(spark):
     rows = spark.createDataFrame([(1, [320, -1, 10**8, 320]), (2, None)], "doc_id long, ids array<int>")
     assert [r["decoded"] for r in word_bpe.decoded(rows).orderBy("doc_id").collect()] == ["a</w> a</w>", ""]
+
+
+def test_short_numbers():
+    rnd = random.Random(2)
+    numbers = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1] + [rnd.randrange(2 ** rnd.randint(1, 28)) for _ in range(999)])
+    assert word_bpe.long_numbers(word_bpe.short_numbers(numbers)).tolist() == numbers.tolist()
+    assert len(word_bpe.long_numbers(word_bpe.short_numbers(numbers[:0]))) == 0
+
+
+def test_a_chunk_is_shuffled_once(spark):
+    rows = spark.createDataFrame([(i, f"w{i} a") for i in range(50)], "doc_id long, text string")
+    done = word_bpe.encode(rows)
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0] or "ReusedExchange" in plan
+
+
+def test_equal_chunks(spark, library):
+    rows = spark.createDataFrame([(1, "the same words"), (2, None)], "doc_id long, text string").coalesce(1)
+    ids = library.encode("the same words", add_special_tokens=False).ids
+    found = sorted((r["doc_id"], r["ids"]) for r in word_bpe.encode(rows.union(rows).union(rows)).collect())
+    assert found == [(1, ids)] * 3 + [(2, [])] * 3
