@@ -30,7 +30,7 @@ import pickle
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, count
 
@@ -320,8 +320,18 @@ def encoded_words(asked: DataFrame, rules: Rules) -> DataFrame:
     return asked.repartition("word").sortWithinPartitions("word").mapInArrow(work, "chunk long, n int, ids binary")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, ids (array<int>), n_tokens for every row of docs."""
+def encode(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = TOKENIZER,
+    then: Callable[[pa.Table], pa.Table] | None = None,
+    columns: str = "ids array<int>, n_tokens long",
+) -> DataFrame:
+    """doc_id, ids (array<int>), n_tokens for every row of docs.
+
+    `then` turns a table of some of these rows into one of doc_id and other `columns`, in the task that has them.
+    """
     rules = load(tokenizer)
     kind = docs.schema[id_col].dataType
     own, width = to_arrow_type(kind), 2 if len(rules.pieces) <= 1 << 16 else 4
@@ -333,7 +343,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         ids = known.column("ids").combine_chunks().take(pa.array(first)).to_pylist()
         long = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         starts, flat = np.cumsum(long) - long, np.frombuffer(b"".join(ids), f"<u{width}")
-        names, lists, n_tokens = [], [], []
+        found = []
         for doc_ids, sizes, words in chain.from_iterable(map(texts_of, texts.column("body").to_pylist())):
             if len(words) and int(words.max()) >= len(ids):
                 raise ValueError("a chunk without its words: its input changed between two readings")
@@ -342,12 +352,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             total = int(stops[-1]) if len(stops) else 0
             every = flat[np.arange(total) + np.repeat(starts[words] - (stops - take), take)] if total else np.zeros(0)
             bounds = np.r_[0, stops][np.r_[0, np.cumsum(sizes)]]
-            lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(every.astype(np.int32))))
-            names.append(pa.array(doc_ids, own))
-            n_tokens.append(pa.array(np.diff(bounds)))
-        return pa.table({"doc_id": pa.chunked_array(names), "ids": pa.chunked_array(lists), "n_tokens": pa.chunked_array(n_tokens)})
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(every.astype(np.int32)))
+            some = pa.table({"doc_id": pa.array(doc_ids, own), "ids": lists, "n_tokens": pa.array(np.diff(bounds))})
+            found.append(some if then is None else then(some))
+        return pa.concat_tables(found)
 
-    return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, f"doc_id {kind.simpleString()}, ids array<int>, n_tokens long")
+    return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, f"doc_id {kind.simpleString()}, {columns}")
 
 
 def spelt(ids: pa.Array, pieces: pa.Array) -> pa.Array:
@@ -385,20 +395,16 @@ def decoded(rows: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -
 
 def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
-    rows = encode(docs, tokenizer=tokenizer)
     shared = docs.sparkSession.sparkContext.broadcast(_pieces(load(tokenizer)))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(start, TEXTS)
-                ids = part.column(1)
-                offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                hashed = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:])]
-                texts = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in spelt(ids, shared.value)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(hashed, pa.string()), pa.array(texts, pa.string())], names)
-
-    return rows.mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(rows: pa.Table) -> pa.Table:
+        hashed, texts = [], []
+        for start in range(0, rows.num_rows, TEXTS):
+            ids = rows.column("ids").slice(start, TEXTS).combine_chunks()
+            offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            hashed += [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:])]
+            texts += [hashlib.sha256(t.as_py().encode()).hexdigest() for t in spelt(ids, shared.value)]
+        return pa.table([rows.column("doc_id"), rows.column("n_tokens"), pa.array(hashed, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, tokenizer=tokenizer, then=digests, columns="n_tokens long, ids_sha256 string, decoded_sha256 string")
