@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as t
 from quern.functions.ids import content_hash
-from quern.operators import caches, chunk, incremental
+from quern.operators import caches, chunk, incremental, packing
 from quern.sources.tables import document_path, read
 
 
@@ -109,11 +109,18 @@ def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("page_id", F.concat("base", F.when(k > 1, F.concat(F.lit("_"), k)).otherwise("")).alias("name"))
 
 
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches in which the documents, in order of their ids, would be embedded: at most 20000 estimated tokens each;
+    a document of more than 8191 is in none."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", t.token_estimate(F.coalesce("text", F.lit(""))).alias("size"))
+    return packing.batches(docs, ["doc_id"], most=20_000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         line_chunks, md_chunks, line_chunk_sizes, line_counts, embedding_text, hierarchy, token_totals, incremental_diff, dry_run_counts,
-        reconcile_stale, upsert_latest, summary_cache_join, cache_stats, safe_filenames,
+        reconcile_stale, upsert_latest, summary_cache_join, cache_stats, safe_filenames, embed_batches,
     )
 }
 
@@ -165,4 +172,15 @@ ORACLE_SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS k FROM n)
         SELECT page_id, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM k
     """,
+    "embed_batches": """
+        WITH RECURSIVE d AS (SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS size FROM documents),
+        p AS (
+            SELECT *, row_number() OVER (ORDER BY doc_id) AS i, sum(size) OVER (ORDER BY doc_id)::BIGINT AS upto FROM d WHERE size <= 8191),
+        s AS (
+            SELECT 1::BIGINT AS i, 0::BIGINT AS before, 0::BIGINT AS batch
+            UNION ALL
+            SELECT n.i, n.upto - n.size, batch + 1
+            FROM (SELECT min(p.i) AS i, any_value(batch) AS batch FROM s JOIN p ON p.upto > s.before + 20000) m JOIN p n ON n.i = m.i)
+        SELECT d.doc_id, d.size, (SELECT max(batch) FROM s WHERE s.i <= p.i) AS batch FROM d LEFT JOIN p USING (doc_id)
+    """,
 }
