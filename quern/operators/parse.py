@@ -205,13 +205,17 @@ def brace_file(path: str, text: str) -> Parsed:
     return Parsed(nodes, calls, imports)
 
 
+#: Analyzers by language (see operators.analyzers); others are read by their braces.
+ANALYZERS = {"python": python_file} | dict.fromkeys(("javascript", "typescript", "go", "rust", "c", "cpp", "java"), brace_file)
+
+
 def parsed(path: str, text: str, language: str) -> Parsed:
     """Nodes, calls with their callers, and imports of a file; builtin calls are left out.
 
     A call outside every definition belongs to a node of the file itself, which exists only if there is such a call.
     """
     try:
-        p = python_file(path, text) if language == "python" else brace_file(path, text)
+        p = ANALYZERS.get(language, brace_file)(path, text)
     except SyntaxError:
         return Parsed([], [], {})
     local = {n.name: n.id for n in p.nodes if n.type != "method"}

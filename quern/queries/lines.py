@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import escape_controls, is_symbol_line
-from quern.operators import lines, models
+from quern.operators import analyzers, fuzzy, lines, models
 from quern.sources.tables import read
 
 TERMS = ["worthless", "the", "estion"]
@@ -69,11 +69,27 @@ def fuzzy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.fuzzy_paths(paths, "blogfr1")
 
 
+def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fuzzy_paths by the best alignment of the query instead of the first."""
+    paths = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^\w+://(.*)$", 1).alias("path"))
+    return fuzzy.best_paths(paths, FUZZY)
+
+
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions and calls of a small Python file for each part, by the lateral table functions."""
+    text = F.concat(F.lit("class P:\n    def made(self, x):\n        return size"), "p_size", F.lit("(len(x))\n\n\ndef all_"), "p_partkey", F.lit("():\n    return other.f()\n"))
+    files = read(spark, sf_dir, "part").select(F.concat(F.lit("parts/p"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"), F.lit("python").alias("language"))
+    analyzers.register(spark)
+    nodes = analyzers.table(files, "definitions").select("path", "id", F.col("component_type").alias("what"), F.col("start_line").alias("line"))
+    calls = analyzers.table(files, "calls").select("path", F.col("caller").alias("id"), F.col("callee").alias("what"), "line")
+    return nodes.unionByName(calls)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         grep_context, line_highlight_topk, line_threshold, kept_groups, lonely_symbols, symbol_lines, control_escapes, repeated_lines,
-        tag_sections, fuzzy_paths,
+        tag_sections, fuzzy_paths, fuzzy_best, table_functions,
     )
 }
 
@@ -88,7 +104,40 @@ _SCORED = f"""
                     * CASE WHEN {_SYMBOL} THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END AS score FROM l),
     b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, line_number) <= 3)
 """
+FUZZY = "blogfr1"
+
+
+def _fuzzy_sql(query: str) -> str:
+    """The best alignment by one step a character: each place of it, from the best place of the one before."""
+    steps = [f"s0 AS (SELECT path, i, own AS score FROM c WHERE ch = '{query[0]}')"]
+    for k, ch in enumerate(query[1:], 1):
+        steps.append(f"""s{k} AS (
+            SELECT c.path, c.i, max(s.score + CASE WHEN c.i = s.i + 1 THEN 4 ELSE 1 + s.i - c.i - 2 END) + any_value(c.own) AS score
+            FROM s{k - 1} s JOIN c ON c.path = s.path AND c.i > s.i AND c.ch = '{ch}' GROUP BY c.path, c.i)""")
+    return ", ".join(steps)
+
+
 ORACLE_SQL = {
+    "fuzzy_best": rf"""
+        WITH f AS (SELECT DISTINCT regexp_extract(url, '^\w+://(.*)$', 1) AS path FROM pages),
+        g AS (SELECT string_split(path, '/') AS a FROM f),
+        d AS (SELECT DISTINCT array_to_string(a[1:n], '/') AS path FROM (SELECT a, unnest(range(1, len(a))) AS n FROM g)),
+        p AS (SELECT path, 'file' AS kind FROM f UNION ALL SELECT path, 'folder' FROM d WHERE path <> ''),
+        l AS (SELECT path, string_split(lower(path), '') AS cs FROM (SELECT DISTINCT path FROM p)),
+        c AS (SELECT path, i, cs[i] AS ch, 16 + CASE WHEN i = 1 OR cs[i - 1] IN ('/', '.', '_', '-', ' ') THEN 8 ELSE 0 END AS own
+              FROM (SELECT path, cs, unnest(range(1, len(cs) + 1)) AS i FROM l)),
+        {_fuzzy_sql(FUZZY)}
+        SELECT * FROM (SELECT path, kind, max(score)::BIGINT AS score FROM s{len(FUZZY) - 1} JOIN p USING (path) GROUP BY ALL)
+        ORDER BY score DESC, length(path), path, kind LIMIT 20
+    """,
+    "table_functions": """
+        WITH p AS (SELECT p_partkey AS k, p_size AS n, 'parts/p' || p_partkey AS m FROM part)
+        SELECT m || '.py' AS path, m || '.P' AS id, 'class' AS what, 1 AS line FROM p
+        UNION ALL SELECT m || '.py', m || '.P.made', 'method', 2 FROM p
+        UNION ALL SELECT m || '.py', m || '.all_' || k, 'function', 6 FROM p
+        UNION ALL SELECT m || '.py', m || '.P.made', 'size' || n, 3 FROM p
+        UNION ALL SELECT m || '.py', m || '.all_' || k, 'other.f', 7 FROM p
+    """,
     "grep_context": f"""
         WITH {_LINES},
         m AS (SELECT *, max(line_number) OVER (PARTITION BY id) AS n,
