@@ -273,7 +273,7 @@ def described(root: str, callees: list[tuple], callers: list[tuple], names: dict
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): callers before callees, by peeling off vertices that nobody left calls; cycles and what only they
     lead to have no level."""
-    adj = materialised(adjacency(vertices, edges).where("caller <> callee").unionByName(adjacency(vertices, edges).where("caller = callee")))
+    adj = materialised(adjacency(vertices, edges))
     left = materialised(vertices.select("id"))
     out = None
     level = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import math
@@ -178,14 +179,13 @@ def token_lines(text: str, tokens: list[str]) -> list[int]:
     for line in text.split("\n"):
         at += len(line) + 1
         ends.append(at)
-    out, cursor, line = [], 0, 0
+    out, cursor = [], 0
     for token in tokens:
         bare = token.strip()
         low = max(0, cursor - 5)
         found = text.find(bare, low, cursor + len(token) + 10 + len(bare)) if bare else -1
         start = found if found >= 0 else cursor
-        line = next((i for i, e in enumerate(ends) if start < e), len(ends) - 1)
-        out.append(line)
+        out.append(min(bisect.bisect_right(ends, start), len(ends) - 1))
         cursor = start + len(bare or token)
     return out
 
