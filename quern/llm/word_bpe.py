@@ -45,9 +45,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 TOKENIZER = os.environ.get("QUERN_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
 #: A chunk ends with the text that reaches so many distinct words, words or texts. Texts that are decoded at a time.
 DISTINCT, WORDS, LIMIT, TEXTS = 400_000, 4_000_000, 50_000, 256
-#: Code points of a text that are split at a time, words that a task passes on at a time, and words of the texts of a
-#: chunk that are numbered or given their ids at a time (a longer text is one block).
-PIECE, ROWS, BLOCK = 1 << 16, 20_000, 1 << 18
+#: Code points of a text that are split at a time, words that a task asks for and answers at a time, and words of the
+#: texts of a chunk that are numbered or given their ids at a time (a longer text is one block).
+PIECE, ROWS, ANSWERS, BLOCK = 1 << 16, 20_000, 300_000, 1 << 18
 #: White space of Unicode, as the inside of a character class.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and digits of Unicode 16 that Python's tables lack.
@@ -302,22 +302,57 @@ def asked_words(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(work, "word string, chunk long, n int")
 
 
+def _answer(places: list[int], ids: list[bytes]) -> bytes:
+    """Ids of the words at some places of a chunk as bytes: steps from place to place, lengths, ids; many are compressed."""
+    steps = short_numbers(np.diff(np.array(places, np.int64), prepend=0)).tobytes()
+    sizes = short_numbers(np.fromiter(map(len, ids), np.int64, len(ids))).tobytes()
+    raw = np.array([len(steps), len(sizes)], "<u4").tobytes() + steps + sizes + b"".join(ids)
+    if len(ids) < 64:
+        return b"\0" + raw
+    return b"\1" + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Places, lengths in bytes, ids."""
+    raw = blob[1:] if blob[0] == 0 else pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), codec="zstd", asbytes=True)
+    a, b = np.frombuffer(raw[:8], "<u4").tolist()
+    steps, sizes = np.frombuffer(raw[8 : 8 + a], np.uint8), np.frombuffer(raw[8 + a : 8 + a + b], np.uint8)
+    return np.cumsum(long_numbers(steps)), long_numbers(sizes), raw[8 + a + b :]
+
+
 def encoded_words(asked: DataFrame, rules: Rules) -> DataFrame:
-    """(chunk, n, ids): each distinct word encoded once, its ids as bytes to each chunk that asked."""
+    """(chunk, ids): each distinct word encoded once, its ids to each chunk that asked, many words in one row.
+
+    Words come in order, and so do the places of a chunk, whose words are in order too.
+    """
     shared = asked.sparkSession.sparkContext.broadcast(rules)
     kind = "<u2" if len(rules.pieces) <= 1 << 16 else "<u4"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before, ids = shared.value, None, b""
+        own, before, ids, held = shared.value, None, b"", 0
+        places: dict[int, list[int]] = defaultdict(list)
+        found: dict[int, list[bytes]] = defaultdict(list)
+
+        def out() -> pa.RecordBatch:
+            rows = [_answer(places[c], found[c]) for c in places]
+            made = pa.RecordBatch.from_arrays([pa.array(list(places), pa.int64()), pa.array(rows, pa.binary())], ["chunk", "ids"])
+            places.clear()
+            found.clear()
+            return made
+
         for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
+            for word, chunk, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if word != before:
                     before, ids = word, np.array(merged(word, own), kind).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["chunk", "n", "ids"])
+                places[chunk].append(n)
+                found[chunk].append(ids)
+            held += batch.num_rows
+            if held >= ANSWERS:
+                yield out()
+                held = 0
+        yield out()
 
-    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(work, "chunk long, n int, ids binary")
+    return asked.select("word", "chunk", "n").repartition("word").sortWithinPartitions("word", "chunk").mapInArrow(work, "chunk long, ids binary")
 
 
 def encode(
@@ -339,19 +374,23 @@ def encode(
     words = encoded_words(asked_words(chunks), rules)
 
     def placed(texts: pa.Table, known: pa.Table) -> pa.Table:
-        _, first = np.unique(known.column("n").to_numpy(), return_index=True)  # chunks of equal bytes ask for the same
-        ids = known.column("ids").combine_chunks().take(pa.array(first)).to_pylist()
-        long = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        starts, flat = np.cumsum(long) - long, np.frombuffer(b"".join(ids), f"<u{width}")
+        answers = [_answered(blob) for blob in known.column("ids").to_pylist()]
+        places = np.concatenate([np.zeros(0, np.int64), *[a[0] for a in answers]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[a[1] for a in answers]]) // width
+        flat, ends = np.frombuffer(b"".join(a[2] for a in answers), f"<u{width}"), np.cumsum(sizes)
+        known_at, first = np.unique(places, return_index=True)  # chunks of equal bytes ask for the same
+        if len(known_at) and known_at[-1] != len(known_at) - 1:
+            raise ValueError("a chunk without some of its words")
+        long, starts = sizes[first], (ends - sizes)[first]
         found = []
-        for doc_ids, sizes, words in chain.from_iterable(map(texts_of, texts.column("body").to_pylist())):
-            if len(words) and int(words.max()) >= len(ids):
+        for doc_ids, counts, words in chain.from_iterable(map(texts_of, texts.column("body").to_pylist())):
+            if len(words) and int(words.max()) >= len(long):
                 raise ValueError("a chunk without its words: its input changed between two readings")
             take = long[words]
             stops = np.cumsum(take)
             total = int(stops[-1]) if len(stops) else 0
             every = flat[np.arange(total) + np.repeat(starts[words] - (stops - take), take)] if total else np.zeros(0)
-            bounds = np.r_[0, stops][np.r_[0, np.cumsum(sizes)]]
+            bounds = np.r_[0, stops][np.r_[0, np.cumsum(counts)]]
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(every.astype(np.int32)))
             some = pa.table({"doc_id": pa.array(doc_ids, own), "ids": lists, "n_tokens": pa.array(np.diff(bounds))})
             found.append(some if then is None else then(some))

@@ -38,6 +38,7 @@ def test_every_code_point(library):
 def test_equals_library(spark, library, distinct, block, monkeypatch):
     monkeypatch.setattr(word_bpe, "DISTINCT", distinct)
     monkeypatch.setattr(word_bpe, "BLOCK", block)
+    monkeypatch.setattr(word_bpe, "ANSWERS", block)
     texts = hostile()
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "again", "y"), (3, "again", "z")], "doc_id long, text string, ids string")
     found = word_bpe.decoded(word_bpe.encode(rows)).collect()
@@ -68,7 +69,7 @@ def test_each_distinct_word_once(spark, monkeypatch):
     asked = word_bpe.asked_words(word_bpe.chunked(rows, rules))
     words = [(r["word"], r["chunk"]) for r in asked.collect()]
     assert len(words) == len(set(words)) and {w for w, _ in words} == {"a", "b", "c"}
-    marks = asked.repartition("word").sortWithinPartitions("word")  # as encoded_words deals them: equal words in a row
+    marks = asked.repartition("word").sortWithinPartitions("word", "chunk")  # as encoded_words deals them
     parts = marks.selectExpr("word", "spark_partition_id() AS p").collect()
     assert all(len({r["p"] for r in parts if r["word"] == w}) == 1 for w in "abc")
 
@@ -105,3 +106,12 @@ def test_equal_chunks(spark, library):
     ids = library.encode("the same words", add_special_tokens=False).ids
     found = sorted((r["doc_id"], r["ids"]) for r in word_bpe.encode(rows.union(rows).union(rows)).collect())
     assert found == [(1, ids)] * 3 + [(2, [])] * 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 5000])
+def test_answers(n):
+    rnd = random.Random(n)
+    places = sorted(rnd.sample(range(10**6), n))
+    ids = [bytes(2 * rnd.randrange(5)) for _ in places]
+    got = word_bpe._answered(word_bpe._answer(places, ids))
+    assert got[0].tolist() == places and got[1].tolist() == [len(x) for x in ids] and got[2] == b"".join(ids)
