@@ -2,11 +2,13 @@
 
 Unit vectors are dealt to lists by the nearest of `lists` coarse centroids. A list keeps a byte a component of what is
 left of a vector (its residual, in steps of `scale`), the columns that filters need, and the vector itself, each in
-columns of its own. A search reads the codes of the `probes` nearest lists, drops what a filter or a tombstone excludes,
+columns of its own. A search reads the codes of the `probes` nearest lists, as many as the data need (below), drops what a filter or a tombstone excludes,
 ranks the rest by their codes, and ranks the `refine` * k best again by their vectors, so scores are exact cosines.
 
-The centroids and the scale are fitted on at most `SAMPLE` vectors, chosen by hash; every vector is indexed. Their
-number is the square root of that of the vectors, at most `MOST_LISTS`, so what the driver and the tasks hold of the
+The centroids and the scale are fitted on at most `SAMPLE` vectors, chosen by hash; every vector is indexed. The number
+of lists that a search probes unless told otherwise is measured: at most `ASKED` of the sampled vectors are compared with
+all vectors, and the least number of lists that hold a share of `REACH` of their nearest neighbours is kept with the
+model. Vectors that fall into groups need few lists, vectors without structure many. The number of lists is the square root of that of the vectors, at most `MOST_LISTS`, so what the driver and the tasks hold of the
 model is bounded. Upserts and deletes add segments (sources.segments); nothing is fitted again. Vectors that are null,
 not finite, of another length or zero have no direction and are not indexed.
 """
@@ -30,8 +32,10 @@ from quern.sources.segments import Segments
 
 #: Vectors that the model is fitted on, rounds of fitting, and the largest number of lists.
 SAMPLE, ROUNDS, MOST_LISTS = 20_000, 12, 16_384
-#: Lists that a search reads, and candidates for each hit that are ranked by their vectors.
-PROBES, REFINE = 16, 4
+#: Queries, neighbours of each and the share of these by which the number of probed lists is measured.
+ASKED, NEIGHBOURS, REACH = 256, 10, 0.96
+#: Candidates for each hit that are ranked by their vectors.
+REFINE = 4
 #: Queries and vectors that one task compares at a time in a search for many.
 BLOCK, SLICE = 512, 8192
 
@@ -75,9 +79,38 @@ class VectorIndex(Segments):
         told = [(i, v.tolist()) for i, v in enumerate(c)] + [(-1, scale.tolist())]
         self.spark.createDataFrame(told, "list int, v array<double>").coalesce(1).write.parquet(f"{self.folder}/{folder}")
         kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-        config = {"model_folder": folder, "dim": dim, "id_type": rows.schema["id"].dataType.simpleString(), "keep": list(keep), "kept": kept}
+        probes = self._needed(good.select("embedding"), x[:: max(1, len(x) // ASKED)][:ASKED], c)
+        config = {"model_folder": folder, "probes": probes, "dim": dim, "id_type": rows.schema["id"].dataType.simpleString(), "keep": list(keep), "kept": kept}
         self._append(config, lambda at: self._write(rows, at, config), None, True, None)
 
+    @staticmethod
+    def _needed(vectors: DataFrame, asked: np.ndarray, c: np.ndarray) -> int:
+        """How many lists hold REACH of the nearest neighbours of asked. A task keeps a few rows for each asked vector."""
+        most = NEIGHBOURS + 1  # the vector itself is one of them
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score, at = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    x = unit(part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                    lists = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
+                    score, at = np.c_[score, asked @ x.T], np.c_[at, np.broadcast_to(lists, (len(asked), len(lists)))]
+                    top = np.argsort(-score, 1)[:, :most]
+                    score, at = np.take_along_axis(score, top, 1), np.take_along_axis(at, top, 1)
+            q = np.repeat(np.arange(len(asked)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score.ravel()), pa.array(at.ravel(), pa.int32())], ["q", "score", "list"])
+
+        w = Window.partitionBy("q").orderBy(F.desc("score"))
+        rows = vectors.mapInArrow(nearest, "q int, score double, list int").withColumn("k", F.row_number().over(w))
+        rows = rows.where((F.col("k") > 1) & (F.col("k") <= most)).select("q", "list").collect()  # at most ASKED * NEIGHBOURS
+        if not rows:
+            return 1
+        order = np.argsort(-(asked @ c.T - (c * c).sum(1) / 2), 1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(len(c)), order.shape), 1)
+        return 1 + int(np.quantile([place[r["q"], r["list"]] for r in rows], REACH, method="higher"))
+
     @staticmethod
     def _good(rows: DataFrame, dim: int) -> DataFrame:
         v = F.col("embedding")
@@ -130,13 +163,13 @@ class VectorIndex(Segments):
         rows = self._all(state["segments"], "rows", self._schema(state["config"])).select("list", "id", "seq", *columns)
         return rows if only is None else rows.where(F.col("list").isin(only))
 
-    def search(self, query: list[float], k: int, probes: int = PROBES, refine: int = REFINE, where: Column | None = None) -> DataFrame:
+    def search(self, query: list[float], k: int, probes: int | None = None, refine: int = REFINE, where: Column | None = None) -> DataFrame:
         """(id, score) of the k nearest of the probed lists, best first; `where` is a predicate over `keep`."""
         state = self.state()
         config = state["config"]
         c, scale = self.model(config)
         q = unit(np.array([query], np.float64))[0]
-        near = np.argsort(-(c @ q - (c * c).sum(1) / 2), kind="stable")[:probes].tolist()
+        near = np.argsort(-(c @ q - (c * c).sum(1) / 2), kind="stable")[: probes or config["probes"]].tolist()
         base, step = {i: float(c[i] @ q) for i in near}, q * scale
 
         def approx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +189,7 @@ class VectorIndex(Segments):
         scored = self._alive(exact, state).select("id", F.round(cosine(F.col("embedding"), v), ROUND).alias("score"))
         return scored.orderBy(F.desc("score"), "id").limit(k)
 
-    def search_all(self, queries: DataFrame, k: int, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
+    def search_all(self, queries: DataFrame, k: int, probes: int | None = None, refine: int = REFINE) -> DataFrame:
         """(query_id, id, score, rank) of the k nearest for each query (id, embedding), from 1.
 
         Queries meet the lists that they probe. A list is dealt into slices and its queries into blocks of bounded size;
@@ -166,7 +199,7 @@ class VectorIndex(Segments):
         state = self.state()
         config = state["config"]
         c, scale = self.model(config)
-        probes, id_type = min(probes, len(c)), config["id_type"]
+        probes, id_type = min(probes or config["probes"], len(c)), config["id_type"]
         kind = queries.schema["id"].dataType.simpleString()
 
         def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
