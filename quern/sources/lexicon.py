@@ -141,8 +141,8 @@ class LexicalIndex(Segments):
         if not parts or not state["segments"]:
             return self.spark.createDataFrame([], f"id {config['id_type']}, score double")
         words = sorted({w for p in parts for w in p})
-        numbers = self.spark.range(1).select(*[bucket_of(F.lit(w), config["buckets"]) for w in words]).first()
-        mine = F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(words)
+        # buckets of constants are constants to the optimizer, which prunes by them
+        mine = F.col("bucket").isin(*[bucket_of(F.lit(w), config["buckets"]) for w in words]) & F.col("term").isin(words)
         n, mean = self.counts(state)
         phrases = any(len(p) > 1 for p in parts)
         rows = self._all(state["segments"], "postings", self._schema(config)).where(mine)
@@ -153,8 +153,10 @@ class LexicalIndex(Segments):
         if phrases:
             self.last_read = {"postings": total, "read": total}
             return self._with_phrases(self._alive(rows, state), parts, words, n, mean, limit, where)
-        held = {s["folder"] for s in state["segments"]}
-        off = {r["term"]: r["n"] for r in self._minus(state["segments"]).where(mine & F.col("victim").isin(sorted(held))).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        held, off = {s["folder"] for s in state["segments"]}, {}
+        if any(s.get("minus") for s in state["segments"]):
+            minus = self._minus(state["segments"]).where(mine & F.col("victim").isin(sorted(held)))
+            off = {r["term"]: r["n"] for r in minus.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         df = {w: sum(r["n"] for r in stats if r["term"] == w) - off.get(w, 0) for w in words}
         order = [p[0] for p in parts]
 
