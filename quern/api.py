@@ -65,10 +65,18 @@ class Engine:
         now = self.store.state()
         return {"incomplete": "indexing", "complete": "indexed", "error": "error"}[now["state"]] if now else "standby"
 
-    def search(self, query: str, paths: list[str] | None = None, limit: int | None = None, min_score: float | None = None, hybrid: bool = True) -> DataFrame:
+    def search(
+        self,
+        query: str,
+        paths: list[str] | None = None,
+        limit: int | None = None,
+        min_score: float | None = None,
+        hybrid: bool = True,
+        folders: list[str] | None = None,
+    ) -> DataFrame:
         """Hits with their chunks, best first. The lexical leg asks the stored index and reads no text; the threshold holds
-        for dense search."""
-        rows, limit = self.store.read(), valid_limit(limit)
+        for dense search. With `folders` only the buckets of the store that hold a path in one of them are opened."""
+        rows, limit = self.store.beneath(folders) if folders else self.store.read(), valid_limit(limit)
         if rows is None:
             raise ValueError("the index is empty")
         c = self.config
@@ -76,7 +84,7 @@ class Engine:
         vector = self.embedder.embed(pd.Series([query_prefix(query, c.provider, c.model)]))[0]
         if hybrid:
             n_dense, n_sparse = leg_budgets(limit, c.dense_weight, c.sparse_weight)
-            sparse = self.lexicon.search(TextQuery.parse(query), n_sparse, rows.where(where).select("id") if paths else None)
+            sparse = self.lexicon.search(TextQuery.parse(query), n_sparse, rows.where(where).select("id") if paths or folders else None)
             hits = search.hybrid_of(search.dense(rows, vector, n_dense, where=where), sparse, limit, c.sparse_guarantee)
         else:
             hits = search.dense(rows, vector, limit, effective_min_score(min_score, c.search_min_score), where)

@@ -5,12 +5,17 @@ of it, and untouched buckets stay as they are. Two writers lose nothing: the one
 the other touched neither its buckets nor its ids, and works on the new state otherwise. A batch of a stream that is
 replayed changes nothing. Folders that no kept entry names leave with `expire`. All rows move through Spark; a lost
 executor costs a retry of a task.
+
+Beside its rows each folder keeps an inverted index of the segments of their paths, with the bucket of each path, sorted
+so that a scan skips what lies elsewhere. Reading or deleting what lies beneath folders asks it first, and then opens
+only the buckets that hold such a path.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.vectors import is_valid
+from quern.operators import paths as segments
 from quern.sources.commits import RETRIES, Conflict, Log
 
 
+#: The index of a folder's paths; Spark does not take a folder of such a name for rows.
+PATHS = "_paths"
+
+
 class Part(NamedTuple):
     bucket: int
     folder: str
@@ -63,12 +73,13 @@ class Store:
     def write(
         self,
         rows: DataFrame | None = None,
-        gone: DataFrame | None = None,
+        gone: DataFrame | Callable[[dict], DataFrame] | None = None,
         state: str = "complete",
         anew: bool = False,
         batch: tuple[str, int] | None = None,
     ) -> None:
-        """One commit: the rows of `gone` paths (file_path) leave, `rows` come by id in place of older ones.
+        """One commit: the rows of `gone` paths (file_path; or what gives them for a state) leave, `rows` come by id in place
+        of older ones.
 
         rows are computed once, to the store's own folder, and checked there. Vectors must be finite and of the store's
         dimension; another dimension, or `anew`, rebuilds the store. A `batch` (stream, number) that is in already, or
@@ -91,7 +102,7 @@ class Store:
         finally:
             self.log.remove(staged)
 
-    def _merge(self, fresh: DataFrame | None, gone: DataFrame | None, dimension: int | None, state: str, anew: bool, batch: tuple[str, int] | None) -> None:
+    def _merge(self, fresh: DataFrame | None, gone: DataFrame | Callable[[dict], DataFrame] | None, dimension: int | None, state: str, anew: bool, batch: tuple[str, int] | None) -> None:
         for _ in range(RETRIES):
             entry = self.log.latest()
             if self.log.has(batch, entry):
@@ -114,7 +125,7 @@ class Store:
             self.log.remove(target)
         raise Conflict("too many writers")
 
-    def _made(self, now: dict | None, fresh: DataFrame | None, gone: DataFrame | None, dimension: int | None, anew: bool) -> tuple | None:
+    def _made(self, now: dict | None, fresh: DataFrame | None, gone: DataFrame | Callable[[dict], DataFrame] | None, dimension: int | None, anew: bool) -> tuple | None:
         """Writes the buckets that change: (folder, buckets touched, dimension, schema, new parts, whether the old count)."""
         touched: set[int] = set()
         if fresh is not None:
@@ -125,11 +136,15 @@ class Store:
         kept = None
         if old:
             dimension = dimension or now["dimension"]
+            if callable(gone):
+                gone = gone(now)
             whole = self._rows(now).withColumn("bucket", self._bucket(F.col("file_path")))
             if gone is not None:
                 touched |= {r[0] for r in gone.select(self._bucket(F.col("file_path"))).distinct().collect()}
             if fresh is not None:  # an id may have moved to another path
                 touched |= {r[0] for r in whole.select("id", "bucket").join(fresh.select("id"), "id", "left_semi").select("bucket").distinct().collect()}
+            if fresh is None and not touched:
+                return None
             kept = self._rows(now, touched).withColumn("bucket", self._bucket(F.col("file_path")))
             if gone is not None:
                 kept = kept.join(gone.select("file_path").distinct(), "file_path", "left_anti")
@@ -140,7 +155,10 @@ class Store:
             out = out.unionByName(kept, allowMissingColumns=True)
         schema, target = out.drop("bucket").schema.json(), f"data-{uuid.uuid4().hex}"
         out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{target}")
-        counts = self.spark.read.schema("file_path string, bucket int").parquet(f"{self.folder}/{target}").groupBy("bucket").count().collect()
+        written = self.spark.read.schema("file_path string, bucket int").parquet(f"{self.folder}/{target}")
+        counts = written.groupBy("bucket").count().collect()
+        index = segments.postings(written.distinct()).repartitionByRange("position", "segment").sortWithinPartitions("position", "segment")
+        index.write.parquet(f"{self.folder}/{target}/{PATHS}")
         return target, touched, dimension, schema, [Part(r["bucket"], target, r["count"]) for r in counts], old
 
     def _apart(self, before: dict, now: dict, touched: set[int], fresh: DataFrame | None, schema: str) -> bool:
@@ -160,6 +178,36 @@ class Store:
             paths = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
         self.write(gone=paths)
 
+    def _beneath(self, now: dict, folders: Iterable[str]) -> DataFrame:
+        """(file_path, bucket) of the paths that lie in one of the folders, from the indexes of the folders that count."""
+        held: dict[str, list[int]] = {}
+        for p in now["parts"]:
+            held.setdefault(p.folder, []).append(p.bucket)
+        found = self.spark.createDataFrame([], segments.POSTINGS)
+        for name, buckets in sorted(held.items()):  # at most one a bucket
+            part = self.spark.read.schema(segments.POSTINGS).parquet(f"{self.folder}/{name}/{PATHS}")
+            found = found.unionByName(part.where(F.col("bucket").isin(buckets)))
+        return segments.beneath(found, folders)
+
+    def buckets_beneath(self, folders: Iterable[str]) -> set[int]:
+        """The buckets that hold a path in one of the folders, without a look at the rows."""
+        now = self.state()
+        return {r[0] for r in self._beneath(now, folders).select("bucket").distinct().collect()} if now and now["schema"] else set()
+
+    def beneath(self, folders: Iterable[str]) -> DataFrame | None:
+        """The rows that count and lie in one of the folders; only buckets that hold such a path are opened."""
+        now = self.state()
+        if not now or not now["schema"]:
+            return None
+        found = self._beneath(now, folders)
+        buckets = {r[0] for r in found.select("bucket").distinct().collect()}  # at most `buckets` rows
+        return self._rows(now, buckets).join(found.select("file_path"), "file_path", "left_semi")
+
+    def delete_beneath(self, folders: Iterable[str]) -> None:
+        """One commit that drops what lies in the folders; no commit where nothing does."""
+        folders = list(folders)
+        self.write(gone=lambda now: self._beneath(now, folders).select("file_path"))
+
     def clear(self) -> None:
         self.log.update(lambda now: self._said("complete", now["dimension"], now["schema"], []) if now and now["schema"] else None)
 
