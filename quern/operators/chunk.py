@@ -223,6 +223,23 @@ def chunks(files: DataFrame, path_col: str = "path", text_col: str = "text") ->
     return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(work, SCHEMA)
 
 
+def section_table(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(id, n, type, start_line, end_line, identifier, display, content): the sections of Markdown texts before packing,
+    numbered from 0; identifier and display (the chain of open headers) are null where no header is. Null counts as empty."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (key, n, s.type, s.start_line, s.end_line, s.identifier, s.display, s.content)
+                for key, text in zip(batch["id"], batch["text"], strict=True)
+                for n, s in enumerate(sections((text or "").split("\n")))
+            ]
+            yield pd.DataFrame(rows, columns=["id", "n", "type", "start_line", "end_line", "identifier", "display", "content"])
+
+    schema = f"id {texts.schema[id_col].dataType.simpleString()}, n int, type string, start_line int, end_line int, identifier string, display string, content string"
+    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, schema)
+
+
 def contained(blocks: list[tuple[int, int, str]]) -> list[bool]:
     """For blocks (start, end, content) in order, whether each stays: not inside an earlier kept block that holds its text."""
     kept: list[tuple[int, int, str]] = []

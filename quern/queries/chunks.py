@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as t
 from quern.functions.ids import content_hash
-from quern.operators import caches, chunk, incremental, packing
+from quern.operators import caches, chunk, incremental, packing, paths
 from quern.sources.tables import document_path, read
 
 
@@ -26,6 +26,29 @@ def md_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunks(_files(spark, sf_dir)).drop("parent_chain")
 
 
+def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their chains of headers, of a Markdown text an order: its items are headers of levels 1 to 3, marked
+    by signs or underlined, in the order of their lines; every other text has a line before its first header."""
+    level, title = F.col("l_suppkey") % 3 + 1, F.concat(F.lit("part "), F.col("l_partkey"))
+    underlined = F.concat(title, F.lit("\n"), F.when(level == 1, "=====").otherwise("---"))
+    marked = F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), title)
+    head = F.when((F.col("l_partkey") % 2 == 0) & (level < 3), underlined).otherwise(marked)
+    body = F.concat(head, F.lit("\nquantity "), F.col("l_quantity").cast("int"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", body.alias("text"))  # line numbers may repeat
+    orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))  # what one order holds
+    text = F.concat(F.when(F.col("l_orderkey") % 2 == 1, "items:\n").otherwise(""), F.array_join(F.col("items.text"), "\n"))
+    found = chunk.section_table(orders.select("l_orderkey", text.alias("text")), "l_orderkey")
+    return found.select(F.col("id").alias("l_orderkey"), "n", "type", "start_line", "end_line", "identifier", "display", F.char_length("content").cast("long").alias("chars"))
+
+
+def paths_beneath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of pages that lie in two folders, by the index of their segments."""
+    pages = read(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^\w+://|[?#].*$", "").alias("file_path"))
+    first = F.split("file_path", "/")[0]
+    rows = pages.select(F.concat(F.substring_index(first, ".", -2), F.lit("/"), "file_path").alias("file_path"))
+    return paths.beneath(paths.postings(rows), ["example.com", "/example.org/"])
+
+
 def line_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = line_chunks(spark, sf_dir).groupBy("type", "chunk_source")
     return sizes.agg(F.count(F.lit(1)).alias("n"), F.min(F.char_length("content")).alias("least"), F.max(F.char_length("content")).alias("most"))
@@ -120,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_chunks, md_chunks, line_chunk_sizes, line_counts, embedding_text, hierarchy, token_totals, incremental_diff, dry_run_counts,
-        reconcile_stale, upsert_latest, summary_cache_join, cache_stats, safe_filenames, embed_batches,
+        reconcile_stale, upsert_latest, summary_cache_join, cache_stats, safe_filenames, embed_batches, md_sections, paths_beneath,
     )
 }
 
@@ -140,6 +163,29 @@ _CACHE = """
     s AS (SELECT doc_id, file, CASE WHEN state = 'hit' THEN 'summary of ' || first END AS summary, state FROM t)
 """
 ORACLE_SQL = {
+    "md_sections": """
+        WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 + 1 AS level, 'part ' || l_partkey AS title, l_partkey % 2 = 0 AND l_suppkey % 3 < 2 AS under,
+                   'quantity ' || l_quantity::INTEGER AS body, l_partkey, l_suppkey, l_quantity FROM lineitem),
+        s AS (SELECT *, l_orderkey % 2 AS lead, row_number() OVER w AS k, CASE WHEN under THEN 3 ELSE 2 END AS lines,
+              length(title) + length(body) + CASE WHEN NOT under THEN level + 2 WHEN level = 1 THEN 7 ELSE 5 END AS chars
+              FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+        o AS (SELECT *, sum(lines) OVER w AS upto, max(CASE WHEN level = 1 THEN k END) OVER b AS k1, max(CASE WHEN level = 2 THEN k END) OVER b AS k2
+              FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY k), b AS (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT o.*, h1.title AS t1, h2.title AS t2 FROM o LEFT JOIN s h1 ON h1.l_orderkey = o.l_orderkey AND h1.k = o.k1
+              LEFT JOIN s h2 ON h2.l_orderkey = o.l_orderkey AND h2.k = o.k2 AND o.k2 > coalesce(o.k1, 0))
+        SELECT l_orderkey, (k - 1 + lead)::INTEGER AS n, 'markdown_header_h' || level AS type, (upto - lines + 1 + lead)::INTEGER AS start_line,
+               (upto + lead)::INTEGER AS end_line, title AS identifier,
+               CASE WHEN level = 2 AND t1 IS NOT NULL OR level = 3 AND t2 IS NOT NULL AND t1 IS NOT NULL THEN 'header_1 ' || t1 || ' > ' ELSE '' END
+               || CASE WHEN level = 3 AND t2 IS NOT NULL THEN 'header_2 ' || t2 || ' > ' ELSE '' END || 'header_' || level || ' ' || title AS display, chars
+        FROM c
+        UNION ALL
+        SELECT DISTINCT l_orderkey, 0, 'markdown_content', 1, 1, NULL, NULL, 6 FROM i WHERE l_orderkey % 2 = 1
+    """,
+    "paths_beneath": r"""
+        WITH p AS (SELECT regexp_replace(url, '^\w+://|[?#].*$', '', 'g') AS p FROM pages),
+        f AS (SELECT array_to_string(string_split(string_split(p, '/')[1], '.')[-2:], '.') || '/' || p AS file_path FROM p)
+        SELECT DISTINCT file_path FROM f WHERE starts_with(file_path, 'example.com/') OR starts_with(file_path, 'example.org/')
+    """,
     "line_counts": """
         SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest,
                length(text) AS n_chars FROM documents
