@@ -11,8 +11,8 @@ from quern.functions.text import embedding_text
 from quern.operators import chunk, graph, incremental, lines, parse, rerank, search
 from quern.operators.graph import materialised
 from quern.operators.parse import outline_text
-from quern.plans.config import Config, query_prefix
-from quern.plans.requests import PathFilter, TextQuery, effective_min_score, glob_regex, leg_budgets, valid_limit
+from quern.plans.config import MODEL_MIN_SCORES, Config, document_prefix, query_prefix
+from quern.plans.requests import PathFilter, TextQuery, effective_min_score, file_glob, glob_regex, leg_budgets, valid_limit
 from quern.sources import corpus
 from quern.sources.lexicon import LexicalIndex
 from quern.sources.store import Store
@@ -36,7 +36,9 @@ class Engine:
             return counts
         todo = files.join(changes.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
         made = chunk.chunks(todo).join(todo.select(F.col("path").alias("file_path"), "file_hash"), "file_path")
-        made = made.withColumn("text", embedding_text(F.col("file_path"), F.col("type"), F.col("identifier"), F.col("parent_chain"), F.col("content")))
+        prefix = document_prefix(self.config.provider, self.config.model, self.config.instruct)
+        shown = embedding_text(F.col("file_path"), F.col("type"), F.col("identifier"), F.col("parent_chain"), F.col("content"))
+        made = made.withColumn("text", F.concat(F.lit(prefix), shown) if prefix else shown)
         made = rerank.embedded(made, self.embedder).drop("text").withColumn("id", uuid5(F.col("segment_hash")))
         gone = materialised(changes.where("status IN ('changed', 'deleted')").select(F.col("path").alias("file_path")))
         fresh = bool(counts.get("new") or counts.get("changed"))
@@ -81,16 +83,26 @@ class Engine:
             raise ValueError("the index is empty")
         c = self.config
         where = PathFilter.compile(paths).column(F.col("file_path"), c.include_mode)
-        vector = self.embedder.embed(pd.Series([query_prefix(query, c.provider, c.model)]))[0]
+        vector = self.embedder.embed(pd.Series([query_prefix(query, c.provider, c.model, instruct=c.instruct)]))[0]
         if hybrid:
             n_dense, n_sparse = leg_budgets(limit, c.dense_weight, c.sparse_weight)
             sparse = self.lexicon.search(TextQuery.parse(query), n_sparse, rows.where(where).select("id") if paths or folders else None)
             hits = search.hybrid_of(search.dense(rows, vector, n_dense, where=where), sparse, limit, c.sparse_guarantee)
         else:
-            hits = search.dense(rows, vector, limit, effective_min_score(min_score, c.search_min_score), where)
+            wanted = c.search_min_score if min_score is None else min_score
+            hits = search.dense(rows, vector, limit, effective_min_score(wanted, MODEL_MIN_SCORES.get(c.model)), where)
         payload = rows.select("id", F.col("file_path").alias("path"), "start_line", "end_line", "type", "identifier", "hierarchy_display", "content")
         return hits.select("id", "score").join(payload, "id").orderBy(F.desc("score"), "id")
 
+    def grep(self, root: str, pattern: str, files: str | None = None, limit: int = lines.MATCHES) -> DataFrame:
+        """(path, first_line, last_line, matches, text): matches of a regular expression in the files of a tree that fit a
+        file pattern, with a line around them; the first `limit` by path and line."""
+        found = corpus.scan(self.spark, root)
+        if files:
+            found = found.where(F.col("path").rlike(file_glob(files)))
+        rows = lines.grep(found.select(F.col("path").alias("id"), "text"), pattern)
+        return rows.withColumnRenamed("id", "path").orderBy("path", "first_line").limit(limit)
+
     def highlight(self, text: str, query: str, k: int | None = None) -> str:
         """The lines of a text that answer a query best, in runs."""
         rows = self.spark.createDataFrame([(0, text)], "id int, text string")

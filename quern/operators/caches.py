@@ -76,5 +76,17 @@ def chosen(rows: DataFrame, which: str) -> DataFrame:
     return rows.join(rows.sparkSession.createDataFrame(names, "kind string, project string"), ["kind", "project"], "left_semi")
 
 
+def clear(spark: SparkSession, root: str, which: str) -> list[tuple[str, str, int]]:
+    """Removes the caches below root that a request names by number; what was removed: (kind, project, bytes), in order.
+
+    A request outside the list is an error, and then nothing is removed.
+    """
+    gone = chosen(inventory(spark, root), which).select("kind", "project", "bytes").orderBy("kind", "project").collect()  # as shown to the user
+    for kind, project, _ in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{kind}/{project}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return [tuple(r) for r in gone]
+
+
 def expired(rows: DataFrame, at: str = "accessed", days: int = DAYS) -> DataFrame:
     return rows.where(F.col(at) < F.current_timestamp() - F.make_dt_interval(F.lit(days)))

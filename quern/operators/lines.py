@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from quern.functions.text import is_symbol_line, truncated_line
 
 
+#: How many stretches a search of a tree shows.
+MATCHES = 300
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
     """(id, line_number from 1, line) from (id, text)."""
     parts = texts.select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))

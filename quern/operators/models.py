@@ -63,11 +63,28 @@ def in_batches(items: list, call: Callable[[list], list], size: int = 2) -> list
     return out
 
 
-def summarised(blocks: DataFrame, summarizer: Summarizer, text_col: str = "content", most_lines: int = 1000) -> DataFrame:
-    """blocks with `summary`; blocks of more lines than `most_lines` have none."""
-    to = F.pandas_udf(lambda s: summarizer.summarize(pd.Series(s)), "string")
+def summarised(blocks: DataFrame, summarizer: Summarizer, text_col: str = "content", most_lines: int = 1000, size: int = 2) -> DataFrame:
+    """blocks with `summary`, asked for in batches; blocks of more lines than `most_lines` have none, nor have those for which
+    the summarizer fails alone."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        asked = [i for i, x in enumerate(texts) if x is not None]
+        got = in_batches([texts.iloc[i] for i in asked], lambda part: list(summarizer.summarize(pd.Series(part))), size)
+        out: list = [None] * len(texts)
+        for i, x in zip(asked, got, strict=True):
+            out[i] = x
+        return pd.Series(out, dtype=object)
+
     lines = F.size(F.split(text_col, "\n", -1))
-    return blocks.withColumn("summary", F.when(lines <= most_lines, to(F.col(text_col))))
+    fitting = F.when(lines <= most_lines, F.col(text_col))
+    return blocks.withColumn("summary", F.pandas_udf(work, "string")(fitting))
+
+
+def outcomes(rows: DataFrame, answer: str = "summary", asked: str = "content") -> DataFrame:
+    """(asked, done, failed): how many rows had something to ask, and how many of those have an answer or none."""
+    there = F.col(asked).isNotNull()
+    done = F.count_if(there & F.col(answer).isNotNull())
+    return rows.agg(F.count_if(there).alias("asked"), done.alias("done"), F.count_if(there & F.col(answer).isNull()).alias("failed"))
 
 
 def repaired_json(text: str):

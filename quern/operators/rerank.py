@@ -7,6 +7,7 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: How many hits a language model scores at once.
+BATCH = 10
+
+
 class Embedder(Protocol):
     def embed(self, texts: pd.Series) -> pd.Series: ...
 
@@ -85,6 +90,55 @@ def reranked(hits: DataFrame, query: str, scorer: Scorer, text_col: str = "text"
     return rows.orderBy(F.desc("score"), F.desc("original_score"), "id")
 
 
+def scoring_prompt(query: str, snippets: list[tuple[str, str]]) -> str:
+    """What a language model is asked about snippets (context header, text): one score from 0 to 10 each, as one JSON object."""
+    shown = [f"## snippet {i} {head}\n```\n{text}\n```\n---" for i, (head, text) in enumerate(snippets, 1)]
+    wanted = ", ".join(f"score of snippet {i}" for i in range(1, len(snippets) + 1))
+    ask = (
+        "Judge how well each snippet answers the search. Give a number from 0 (has nothing to do with it) to 10 (is what was asked for);"
+        " what only touches the subject gets less than 4, what treats it at least 7."
+    )
+    return "\n".join([ask, f"Search: {query}", *shown, f'Answer with one JSON object and nothing else: {{"scores": [{wanted}]}}'])
+
+
+def model_reranked(
+    hits: DataFrame, query: str, answer: Callable[[str], str], size: int = BATCH, least: float | None = None, attempts: int = 3, pause: float = 1.0
+) -> DataFrame:
+    """hits (id, path, hierarchy_display, content, score, ...) with `original_score` and a language model's `score`, best first.
+
+    The hits are a page of results. They go to the model in batches by their order, each batch a task of its own; a batch
+    that fails is tried again after pauses that double, and at last gets scores that keep its place and order. What the
+    model leaves out counts 0.
+    """
+    order = Window.orderBy(F.desc("score"), "id")  # a page of hits, never a table
+    head = context_header(F.col("hierarchy_display"), F.col("path"))
+    rows = hits.withColumn("__n", F.row_number().over(order) - 1).withColumn("__batch", F.floor(F.col("__n") / size).cast("int")).withColumn("__head", head)
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        from quern.operators.models import retried
+
+        part = part.sort_values("__n")
+        prompt = scoring_prompt(query, list(zip(part["__head"], part["content"].fillna(""), strict=True)))
+
+        def once(text: str) -> list[float]:
+            got = scores_from_object(answer(text), len(part))
+            if got is None:
+                raise ValueError("no scores in the answer")
+            return got
+
+        try:
+            scores = retried(once, prompt, attempts=attempts, pause=pause)
+        except Exception:
+            scores = [fallback_score(int(part["__batch"].iloc[0]), i) for i in range(len(part))]
+        return pd.DataFrame({"__n": part["__n"], "__score": scores})
+
+    scored = rows.select("__n", "__batch", "__head", "content").groupBy("__batch").applyInPandas(work, "__n int, __score double")
+    out = rows.join(scored, "__n").withColumn("original_score", F.col("score")).withColumn("score", F.col("__score")).orderBy(F.desc("score"), "__n")
+    if least is not None:
+        out = out.where(F.col("score") >= least)
+    return out.drop("__n", "__batch", "__head", "__score")
+
+
 def highlighted(hits: DataFrame, query: str, highlighter: Highlighter, text_col: str = "content") -> DataFrame:
     """hits with `highlighted`; what a highlighter leaves empty is not related to the query."""
     to = F.pandas_udf(lambda s: highlighter.highlight(query, s), "string")

@@ -136,6 +136,22 @@ def glob_regex(pattern: str) -> str:
     return "(?i)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
 
 
+def file_glob(pattern: str) -> str:
+    """A file pattern as a regular expression on a path: * and ? stay within a part, ** crosses parts, [..] and {a,b} as usual.
+
+    A pattern without a slash is matched with the last part, one with a slash with the whole path.
+    """
+    tokens = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+    def one(p: str) -> str:
+        parts = re.findall(r"\*\*/|\*\*|\*|\?|\[[!^]?\]?[^\]]*\]|.", p, re.S)
+        return "".join(tokens.get(x) or ("[" + ("^" if x[1] in "!^" else "") + x[1:-1].lstrip("!^").replace("\\", "\\\\") + "]" if len(x) > 2 and x[0] == "[" else re.escape(x)) for x in parts)
+
+    options = expand_braces(pattern.lstrip("/"))
+    start = "^" if "/" in pattern else "(?:^|/)"
+    return start + "(?:" + "|".join(map(one, options)) + ")$"
+
+
 def index_ranges(text: str, n: int) -> list[int]:
     """'1,3-5' or 'all' as sorted indexes from 1 to n; what lies outside is an error."""
     if text.strip().lower() == "all":
