@@ -195,3 +195,18 @@ def test_vectors_without_direction(spark, tmp_path):
     assert index.search([1.0] * 16, 3).count() == 0 and index.search_all(vectors(spark, blobs(3)), 2).count() == 0
     index.upsert(vectors(spark, blobs(3)))
     assert index.search([1.0] * 16, 5).count() == 3
+
+
+def test_near_copies_over_all_lists(spark, tmp_path):
+    """A group of near copies that codes cannot tell apart, larger than the candidates, keeps its exact order over all lists."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([blobs(300), blobs(1)[:1] + rng.normal(size=(600, 16)) * 1e-3])
+    rows = vectors(spark, x)
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.fit(rows)
+    queries = rows.where("id % 20 = 0")
+    got = {(r.query_id, r.id, r.score, r["rank"]) for r in index.search_all(queries, 6, probes=ann.MOST_LISTS).collect()}
+    assert got == {(r.query_id, r.id, r.score, r["rank"]) for r in search.block_topk(queries, rows, 6).collect()}
+    q = [float(v) for v in rows.where("id = 400").first().embedding]
+    got = index.search(q, 6, probes=ann.MOST_LISTS).collect()
+    assert [(r.id, r.score) for r in got] == [(r.id, r.score) for r in search.dense(rows, q, 6).collect()]
