@@ -210,3 +210,15 @@ def test_near_copies_over_all_lists(spark, tmp_path):
     q = [float(v) for v in rows.where("id = 400").first().embedding]
     got = index.search(q, 6, probes=ann.MOST_LISTS).collect()
     assert [(r.id, r.score) for r in got] == [(r.id, r.score) for r in search.dense(rows, q, 6).collect()]
+
+
+def test_few_pairs_of_row_and_list_at_a_time(spark, tmp_path, monkeypatch):
+    rows = vectors(spark, blobs(400))
+    queries = rows.where("id % 20 = 0")
+    seen = []
+    for i, held in enumerate((ann.PROBED, 30)):  # all queries of a batch at once, or one at a time
+        monkeypatch.setattr(ann, "PROBED", held)
+        index = VectorIndex(spark, str(tmp_path / f"v{i}"))
+        index.fit(rows)
+        seen.append((index.state()["config"]["probes"], pairs(index.search_all(queries, 10))))
+    assert seen[0] == seen[1]
