@@ -24,6 +24,11 @@ def test_order_and_last_definition(spark):
     assert found[-1].start_line == 5 and found[-1].seq.startswith("b.py\0" + "0" * 9 + "1")
 
 
+def test_numbers_order_as_numbers(spark):
+    rows = spark.createDataFrame([(i, "a.py", 1, 1) for i in (13, 1013, -2, -13, 2)], "id long, path string, start_line int, end_line int")
+    assert [r.id for r in parse.in_order(rows).orderBy("seq").collect()] == [-13, -2, 2, 13, 1013]
+
+
 def test_builtins():
     text = "def f():\n    print(len([]))\n    frozenset()\n    other()\n    self.print()\n"
     assert [c[1] for c in parse.parsed("a.py", text, "python").calls] == ["other", "print"]
