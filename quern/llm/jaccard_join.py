@@ -427,15 +427,15 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell, sub and kind, pivots (kind 0) before texts (kind 1): the texts with their distances to the
-    pivots of their cell and the pivots that they link with. Holds the pivots of one cell and a batch."""
-    at, pivots = None, []
+    pivots of their cell and links to pivots that connect all that they link with. Holds the pivots of one cell and a batch."""
+    at, pivots, joined = None, [], Joined()
     for batch in batches:
         cell, sub, kind, node = (batch.column(i).to_numpy() for i in range(4))
         raw = batch.column(7)
         rows, far, near = [], [], []
         for i in range(batch.num_rows):
             if (cell[i], sub[i]) != at:
-                at, pivots = (cell[i], sub[i]), []
+                at, pivots, joined = (cell[i], sub[i]), [], Joined()
             s = np.frombuffer(raw[i].as_py(), np.uint64)
             if kind[i] == 0:
                 pivots.append((int(node[i]), s))
@@ -444,7 +444,9 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = [np.count_nonzero(p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s) for _, p in pivots]
             total = [len(s) + len(p) - c for (_, p), c in zip(pivots, common, strict=True)]
             far.append([1 - c / t for c, t in zip(common, total, strict=True)])
-            near.append([p for (p, _), c, t in zip(pivots, common, total, strict=True) if 100 * c >= NEAR * t])
+            close = [p for (p, _), c, t in zip(pivots, common, total, strict=True) if 100 * c >= NEAR * t]
+            # one link to a text's core, and more only where they connect pivots that no text before it has
+            near.append(close[:1] + [p for p in close[1:] if joined.add(close[0], p)])
         part = batch.take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [part.column(0), part.column(3), part.column(4), part.column(5), part.column(6), pa.array(far, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64()))],
@@ -452,8 +454,27 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class Joined:
+    """What links have connected so far, of a group that one task holds."""
+
+    def __init__(self):
+        self.over: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.over.get(x, x)) != x:
+            self.over[x] = x = self.over.get(y, y)
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether a and b were apart until now."""
+        a, b = self.root(a), self.root(b)
+        self.over[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _cells(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links between the outside texts (side 0) and the home texts (side 1) of a block of a cell."""
+    """Links between the outside texts (side 0) and the home texts (side 1) of a block of a cell: of all that there are,
+    those that connect what others of the block do not, so fewer than the block has texts."""
     side, node, root = (group.column(c).to_numpy() for c in ("side", "node", "root"))
     far = np.array(group.column("far").to_pylist(), dtype=float)
     sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
@@ -463,7 +484,9 @@ def _cells(group: pa.Table) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(home)), sizes[home])
     order = np.argsort(words, kind="stable")
     words, owner = words[order], owner[order]
-    links = []
+    links, joined = [], Joined()
+    for k, r in zip(node, root, strict=True):
+        joined.add(int(k), int(r))  # a core is connected by the links to its pivot
     for i in np.flatnonzero(side == 0):
         near = (np.abs(far[home] - far[i]) <= 1 - NEAR / 100 + 1e-9).all(axis=1) & (root[home] != root[i])
         near &= 100 * np.minimum(sizes[home], sizes[i]) >= NEAR * np.maximum(sizes[home], sizes[i])
@@ -474,7 +497,8 @@ def _cells(group: pa.Table) -> Iterator[pa.RecordBatch]:
         common = np.bincount(np.concatenate(hit), minlength=len(home)) if hit else np.zeros(len(home), int)
         linked = near & (100 * common >= NEAR * (sizes[home] + sizes[i] - common))
         for j in np.flatnonzero(linked):
-            links.append((int(node[i]), int(node[home[j]])))
+            if joined.add(int(node[i]), int(node[home[j]])):
+                links.append((int(node[i]), int(node[home[j]])))
     if links:
         a, b = zip(*links, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -87,3 +87,20 @@ def test_the_join_with_large_regions(spark, monkeypatch, hot):
     got = {r.doc_id: r.component_id for r in j.components(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
     assert entered and entered[0] > 20
+
+
+def test_links_of_a_block_are_fewer_than_its_texts():
+    import pyarrow as pa
+
+    from quern.llm import jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    groups = [rng.integers(0, 1 << 62, 100, dtype=np.uint64) for _ in range(2)]
+    sets = [np.sort(np.r_[groups[i % 2], rng.integers(0, 1 << 62, 5, dtype=np.uint64)]) for i in range(40)]
+    rows = [(side, i, i, [], sets[i].tobytes()) for i in range(40) for side in (0, 1)]
+    group = pa.table(dict(zip(("side", "node", "root", "far", "shingles"), map(list, zip(*rows, strict=True)), strict=True)))
+    links = [(a, b) for out in J._cells(group) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    assert len(links) == 38 and all((a - b) % 2 == 0 for a, b in links)
+    joined = J.Joined()
+    assert all(joined.add(a, b) for a, b in links)
+    assert len({joined.root(i) for i in range(40)}) == 2
