@@ -222,3 +222,20 @@ def test_few_pairs_of_row_and_list_at_a_time(spark, tmp_path, monkeypatch):
         index.fit(rows)
         seen.append((index.state()["config"]["probes"], pairs(index.search_all(queries, 10))))
     assert seen[0] == seen[1]
+
+
+def test_words_are_counted_text_by_text():
+    """Counting words of a text groups nothing across texts: what one batch gives are whole texts, however it is sliced."""
+    import pyarrow as pa
+
+    from quern.sources import lexicon
+
+    texts = [["a", "b", "a"], None, [], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6, 7]), pa.array(texts, pa.list_(pa.string()))], ["id", "ts"])
+    for cut in (batch, batch.slice(1)):
+        found = pa.Table.from_batches(lexicon._counted(iter([cut]))).to_pylist()
+        want = {"id": 7, "dl": 1, "terms": ["b"], "tfs": [1], "positions": [0]}
+        assert found[-1] == want and found[-2]["terms"] == [] and found[-3]["dl"] == 0
+    first = pa.Table.from_batches(lexicon._counted(iter([batch])))
+    rows = pa.Table.from_batches(lexicon._posted(iter(first.to_batches()))).to_pylist()
+    assert sorted((r["term"], r["id"], r["dl"], r["positions"]) for r in rows) == [("a", 4, 3, [0, 2]), ("b", 4, 3, [1]), ("b", 7, 1, [0])]
