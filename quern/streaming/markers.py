@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed values of the format.
@@ -62,14 +63,19 @@ def verdicts(pieces: DataFrame) -> DataFrame:
     """(stream, seq, verdict) for text pieces (stream, seq, piece) of replies, a batch or a stream in order of seq."""
     if not pieces.isStreaming:
 
-        def whole(group: pd.DataFrame) -> pd.DataFrame:
-            line, verdict, out = "", MORE, []
-            for r in group.sort_values("seq").itertuples():
-                line, verdict = feed(line, verdict, r.piece or "")
-                out.append((r.stream, r.seq, verdict))
-            return pd.DataFrame(out, columns=["stream", "seq", "verdict"])
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, line, verdict = None, "", MORE  # of the stream that the rows are in; a null one comes first
+            for batch in batches:
+                said = []
+                for stream, piece in zip(batch["stream"].tolist(), batch["piece"].tolist(), strict=True):
+                    if stream != at:
+                        at, line, verdict = stream, "", MORE
+                    line, verdict = feed(line, verdict, piece or "")
+                    said.append(verdict)
+                yield pd.DataFrame({"stream": batch["stream"], "seq": batch["seq"], "verdict": said})
 
-        return pieces.groupBy("stream").applyInPandas(whole, "stream string, seq long, verdict string")
+        dealt = pieces.select("stream", "seq", "piece").repartition("stream").sortWithinPartitions("stream", F.asc_nulls_last("seq"))
+        return dealt.mapInPandas(whole, "stream string, seq long, verdict string")
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         line, verdict = state.get if state.exists else ("", MORE)

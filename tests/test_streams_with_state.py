@@ -312,3 +312,12 @@ def test_changes_into_the_store(spark, tmp_path):
     run()
     assert {r.id: r.embedding[0] for r in store.read().collect()} == {"f0.py": 6.0, "f2.py": 11.0, "f3.py": 6.0}
     assert streams.QUERIES["live_prefixes"] is not None
+
+
+def test_verdicts_of_a_batch_are_streamed(spark):
+    """No call of Python for each stream: whole sorted partitions go by, and a stream may cross batches."""
+    rows = [(f"s{i}", k, p) for i in range(30) for k, p in enumerate(["<<<NEEDS", "_PRO", ">>>" if i % 2 else "x", None])]
+    df = markers.verdicts(spark.createDataFrame(rows, "stream string, seq long, piece string"))
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    last = {r.stream: r.verdict for r in df.where("seq = 3").collect()}
+    assert last == {f"s{i}": "matched-pro" if i % 2 else "no-marker" for i in range(30)}
