@@ -19,6 +19,7 @@ from pyspark.sql.functions import udtf
 
 from quern.operators import parse
 from quern.sources import corpus
+from quern.sources.tables import spread
 
 Analyzer = Callable[[str, str], parse.Parsed]
 
@@ -69,6 +70,6 @@ def register(spark: SparkSession) -> None:
 
 
 def table(files: DataFrame, function: str) -> DataFrame:
-    """files (path, text, language) with the columns of a registered table function."""
-    files.createOrReplaceTempView("__files")
+    """files (path, text, language) with the columns of a registered table function, parsed on all cores."""
+    spread(files).createOrReplaceTempView("__files")
     return files.sparkSession.sql(f"SELECT f.path, t.* FROM __files f, LATERAL {function}(f.path, f.text, f.language) t")

@@ -2,7 +2,9 @@
 
 import random
 
-from quern.operators import graph
+from pyspark.sql import functions as F
+
+from quern.operators import analyzers, graph
 
 
 def test_cycles_take_few_rounds_on_long_paths(spark, monkeypatch):
@@ -16,3 +18,12 @@ def test_cycles_take_few_rounds_on_long_paths(spark, monkeypatch):
     got = {r.id: r.component for r in graph.cycles(v, spark.createDataFrame(edges, "caller long, callee long")).collect()}
     assert got == dict.fromkeys(range(n), 0) | {200: 200, 201: 200}
     assert len(calls) < n
+
+
+def test_table_functions_work_on_all_cores(spark):
+    text = F.concat(F.lit("def f"), F.col("id"), F.lit("():\n    return g()\n"))
+    files = spark.range(40).coalesce(1).select(F.concat(F.lit("p"), F.col("id"), F.lit(".py")).alias("path"), text.alias("text"), F.lit("python").alias("language"))
+    analyzers.register(spark)
+    nodes = analyzers.table(files, "definitions")
+    assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in nodes.collect()) == sorted(f"p{i}.f{i}" for i in range(40))
