@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.operators import analyzers, graph
+from quern.operators import analyzers, chunk, graph
 
 
 def test_cycles_take_few_rounds_on_long_paths(spark, monkeypatch):
@@ -27,3 +28,12 @@ def test_table_functions_work_on_all_cores(spark):
     nodes = analyzers.table(files, "definitions")
     assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in nodes.collect()) == sorted(f"p{i}.f{i}" for i in range(40))
+
+
+def test_chunks_leave_in_small_lists():
+    text = "\n".join(["x" * 99] * 200)
+    one = chunk.pack_lines(text.split("\n"), "fallback_chunk")
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{i}.txt" for i in range(400)], "text": [text] * 399 + [None]})
+    lists = list(chunk.rows_of(iter([batch])))
+    assert [r[5] for rows in lists for r in rows] == [c.content for c in one] * 399
+    assert max(sum(len(r[5]) for r in rows) for rows in lists) < chunk.HELD + len(text)
