@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.operators import analyzers, chunk, graph
+from quern.operators import analyzers, chunk, graph, search
 
 
 def test_cycles_take_few_rounds_on_long_paths(spark, monkeypatch):
@@ -37,3 +37,18 @@ def test_chunks_leave_in_small_lists():
     lists = list(chunk.rows_of(iter([batch])))
     assert [r[5] for rows in lists for r in rows] == [c.content for c in one] * 399
     assert max(sum(len(r[5]) for r in rows) for rows in lists) < chunk.HELD + len(text)
+
+
+def test_two_hops_read_each_text_once_a_hop(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    texts = [(i, f"alpha{i % 3} beta word{i} Caf\u00e9" if i else None) for i in range(30)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    rows = search.two_hop(df.mapInPandas(seen, df.schema), "alpha1 beta", first=5, passages=2, limit=10).collect()
+    assert [r.id for r in rows][:2] == [1, 4]
+    assert read.value <= 3 * len(texts)  # two hops, and the texts of the best passages
